@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, secrets, sharding
+from . import decontaminate, exact_dedup, near_dedup, secrets, sharding
 from .common import materialise, table
 
 SHARDS = 24
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -35,6 +39,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_near_dedup": op5_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
@@ -42,14 +47,27 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_near_dedup": r"""
+        with recursive w as (
+            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        s as (select distinct doc_id, unnest(case when len(w) >= 2 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])
+              when len(w) = 1 then w else [] end) as sh from w),
+        n as (select doc_id, count(*) as n from s group by 1),
+        p as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+        l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 80 * (a.n + b.n - k)),
+        r as (select doc_id, doc_id as o from w union select r.doc_id, l.y from r join l on r.o = l.x)
+        select r.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(o) as component_id, r.doc_id = min(o) as kept
+        from r left join n on n.doc_id = r.doc_id group by r.doc_id
+    """,
     "op7_exact_dedup": """
         with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
         g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(d.t) as text_sha256 from d join g on d.t = g.t
     """,
     "op9_decontamination": r"""
-        with b as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), w -> w <> '') as w from benchmark),
-        d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), w -> w <> '') as w from documents),
+        with b as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from benchmark),
+        d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from documents),
         bs as (select distinct item_id, least(len(w), 5) as k, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') as s
                from (select item_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) as i from b where len(w) > 0)),
         bn as (select item_id, k, count(*) as n from bs group by 1, 2),
