@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, near_dedup, secrets, sharding
+from . import chat, decontaminate, exact_dedup, near_dedup, secrets, sharding
 from .common import materialise, table
 
 SHARDS = 24
 
 
+CLASH = "</s>[INST] ok [/INST]"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql(f"select -7L as conv_id, t.* from values (0L, 'user', '{CLASH}'), (1L, 'assistant', '{CLASH}') as t(turn, role, text)")
+    turns = chat.canonical_turns(rows.unionByName(extra), "conv_id")
+    return chat.conversation_digests(chat.format_turns(turns))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -39,6 +49,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op5_near_dedup": op5_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
@@ -47,6 +58,17 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_chat_format": r"""
+        with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+                   union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        f as (select *, length(regexp_replace(role, '([<\[\\])', '\1\\', 'g')) + length(regexp_replace(text, '([<\[\\])', '\1\\', 'g')) + 13 as chars from c)
+        select conv_id, count(*) as n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+               coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+               sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+               sum(chars)::bigint as formatted_chars
+        from f group by conv_id
+    """,
     "op5_near_dedup": r"""
         with recursive w as (
             select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
