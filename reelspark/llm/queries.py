@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, near_dedup, quality, secrets, sharding, toxicity
+from . import chat, decontaminate, exact_dedup, near_dedup, pieces, quality, secrets, sharding, toxicity
 from .common import materialise, table
 
 SHARDS = 24
@@ -33,6 +33,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), pieces.load())
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -61,6 +65,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
