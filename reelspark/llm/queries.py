@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, near_dedup, pieces, quality, secrets, sharding, toxicity
+from . import chat, decontaminate, exact_dedup, licenses, near_dedup, pieces, quality, secrets, sharding, toxicity
 from .common import materialise, table
 
 SHARDS = 24
@@ -25,6 +25,19 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least=0.3)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id``. The table has no file names, so a document that
+    is nearly all licence statement (at most 24 words, half of them terms of its matching line) stands
+    for its directory's licence file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    words = licenses.terms(F.coalesce("text", F.lit("")))
+    stated = F.flatten(F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(licenses.ANCHOR)), licenses.terms))
+    short = F.when(F.char_length("text") <= 400, (F.size(words) <= 24) & (F.size(stated) * 2 >= F.size(words))).otherwise(False)
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    found = licenses.scan(docs, path, F.col("text"), short)
+    return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "license", "similarity", "origin", "from_dir")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least=0.5)
 
@@ -63,6 +76,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality": op2_quality,
+    "op3_licenses": op3_licenses,
     "op4_toxicity": op4_toxicity,
     "op5_near_dedup": op5_near_dedup,
     "op6_sentencepiece": op6_sentencepiece,
