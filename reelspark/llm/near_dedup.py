@@ -39,7 +39,7 @@ TREES = 12
 SKETCH = 64
 #: a pair is a candidate if this many of its 64 sketch bytes agree: at a similarity of 0.8, 51 are expected, and fewer than 38 have a probability of 1e-5
 AGREE = 0.59
-LEAF = 1024
+LEAF = 4096
 BRANCHES = 2
 LEVELS = 6
 PIVOTS = 4
@@ -188,10 +188,11 @@ def _blocks(rows: DataFrame, key: str, lead: Column, n_blocks: Column, n_leads:
     return members.unionByName(leads).withColumn("task", F.xxhash64(key, "block", "part"))
 
 
-def _home(met: DataFrame, key: str) -> DataFrame:
-    """The pivot that most rows of a group meet: (key, home)."""
+def _home(met: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """The pivot that most rows of a group meet, and how many don't: (key, home, n_rows, n_odd)."""
     counts = met.groupBy(key, "pivot").agg(F.count("*").alias("n"))
-    return counts.groupBy(key).agg(F.max_by("pivot", F.struct("n", "pivot")).alias("home"))
+    top = counts.groupBy(key).agg(F.max(F.struct("n", "pivot")).alias("top"))
+    return top.join(sizes, key).select(key, F.col("top.pivot").alias("home"), "n_rows", (F.col("n_rows") - F.col("top.n")).alias("n_odd"))
 
 
 def _parts_of(n: Column, most: int) -> Column:
@@ -200,11 +201,11 @@ def _parts_of(n: Column, most: int) -> Column:
 
 def _split(nodes: DataFrame, level: int, leaf: int, branches: int) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
     """Leaves, edges and children of one level's nodes (node, id, sketch)."""
-    sizes = materialise(nodes.groupBy("node").agg(F.count("*").alias("rows")).where(F.col("rows") > leaf), "large-nodes")
+    sizes = materialise(nodes.groupBy("node").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > leaf), "large-nodes")
     if sizes.isEmpty():
         return [nodes.withColumn("lead", F.lit(True))], [], None
     leaves = [nodes.join(sizes, "node", "left_anti").withColumn("lead", F.lit(True))]
-    large = nodes.join(sizes.drop("rows"), "node")
+    large = nodes.join(sizes, "node", "left_semi")
     # pivots: the members that are smallest under a few hashes, by partial aggregation
     picks = [F.min_by(F.struct("id", "sketch"), F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)]
     pivots = large.groupBy("node").agg(*picks).select("node", F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("pivots"))
@@ -212,10 +213,9 @@ def _split(nodes: DataFrame, level: int, leaf: int, branches: int) -> tuple[list
     judged = materialise(judged.mapInArrow(_pivot_rows, "node long, id long, sketch binary, met array<long>"), "pivoted")
     edges = [judged.select(F.col("id").alias("src"), F.explode("met").alias("dst"))]
     # two rows that meet the same pivot are connected; all other pairs hold a row that doesn't meet the home pivot
-    home = _home(judged.select("node", F.explode("met").alias("pivot")), "node")
-    judged = judged.join(home, "node").withColumn("odd", ~F.array_contains("met", F.col("home")))
-    counts = judged.groupBy("node").agg(F.count("*").alias("n_rows"), F.sum(F.col("odd").cast("long")).alias("n_odd")).where("n_odd > 0")
-    rest = materialise(judged.select("node", "id", "sketch", "odd").join(counts, "node"), "unsettled")
+    home = _home(judged.select("node", F.explode("met").alias("pivot")), "node", sizes).where("n_odd > 0")
+    rest = judged.join(home, "node").withColumn("odd", ~F.array_contains("met", F.col("home"))).drop("met", "home")
+    rest = materialise(rest, "unsettled")
     last = F.lit(level + 1 >= LEVELS)
     dealt = _blocks(rest.where((F.col("n_odd") <= leaf) | last), "node", F.col("odd"), _parts_of(F.col("n_rows"), leaf), _parts_of(F.col("n_odd"), leaf))
     leaves.append(dealt.select(F.col("task").alias("node"), "id", "sketch", "lead"))
@@ -358,7 +358,7 @@ def verified_edges(docs: DataFrame, sets: DataFrame, parts: DataFrame, width: in
     dealt = _blocks(big.join(pivots, "id", "left"), "comp", F.col("pivot"), F.col("blocks"), F.lit(1).cast("long"))
     met = _sorted_by(dealt.select("task", "id", "lead", "tokens"), "task", "id").mapInArrow(_pivot_matches(percent), "pivot long, id long")
     met = materialise(met.distinct().join(own, "id"), "pivot-matches")
-    home = _home(met, "comp")
+    home = _home(met, "comp", own.groupBy("comp").agg(F.count("*").alias("n_rows")))
     settled = met.join(home, "comp").where("pivot = home").select("id").distinct()
     odd = materialise(own.join(settled, "id", "left_anti"), "unsettled-sets")
     counts = odd.groupBy("comp").agg(F.count("*").alias("n_odd"))
