@@ -118,6 +118,17 @@ def score(docs: DataFrame, model: gbdt.Trees, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: gbdt.Trees, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, in one pass and with all their columns."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.predict(features(*text_buffer(batch.column(place)))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, least: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from ``least`` on)."""
     scored = score(docs, fit(docs, labels, sample_rows=sample_rows))
