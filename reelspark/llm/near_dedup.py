@@ -204,6 +204,8 @@ def _split(nodes: DataFrame, level: int, leaf: int, branches: int) -> tuple[list
     sizes = materialise(nodes.groupBy("node").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > leaf), "large-nodes")
     if sizes.isEmpty():
         return [nodes.withColumn("lead", F.lit(True))], [], None
+    if not level:  # children are written already
+        nodes = materialise(nodes, "nodes")
     leaves = [nodes.join(sizes, "node", "left_anti").withColumn("lead", F.lit(True))]
     large = nodes.join(sizes, "node", "left_semi")
     # pivots: the members that are smallest under a few hashes, by partial aggregation
