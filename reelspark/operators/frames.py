@@ -31,10 +31,10 @@ def masked_sse(a: DataFrame, b: DataFrame, mask: Column, limit: int, by: list[st
 
 def intra_sad(a: DataFrame, size: int = 8) -> DataFrame:
     """Sum of absolute differences from a block's rounded-down mean, by block."""
-    block = a.withColumn("by", div(F.col("y"), size)).withColumn("bx", div(F.col("x"), size))
-    w = Window.partitionBy("frame", "plane", "by", "bx")
+    block = a.withColumn("block_y", div(F.col("y"), size)).withColumn("block_x", div(F.col("x"), size))
+    w = Window.partitionBy("frame", "plane", "block_y", "block_x")
     mean = div(F.sum("v").over(w), F.count("*").over(w))
-    return block.withColumn("m", mean).groupBy("frame", "plane", "by", "bx").agg(F.sum(F.abs(F.col("v") - F.col("m"))).alias("sad"))
+    return block.withColumn("m", mean).groupBy("frame", "plane", "block_y", "block_x").agg(F.sum(F.abs(F.col("v") - F.col("m"))).alias("sad"))
 
 
 def psnr(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -77,24 +77,23 @@ def pad_edges(a: DataFrame, multiple: int = 16) -> DataFrame:
 
 def block_mean(a: DataFrame, size: int = 4) -> DataFrame:
     """Rounded mean of each block."""
-    keys = ["frame", "plane", div(F.col("y"), size).alias("by"), div(F.col("x"), size).alias("bx")]
+    keys = ["frame", "plane", div(F.col("y"), size).alias("block_y"), div(F.col("x"), size).alias("block_x")]
     return a.groupBy(*keys).agg(div(F.sum("v") + div(F.count("*"), 2), F.count("*")).alias("mean"))
 
 
 def upsample_chroma(a: DataFrame) -> DataFrame:
     """Double a chroma plane both ways with the weights 3 and 1; edges repeat themselves."""
-    vertical = Window.partitionBy("frame", "plane", "x").orderBy("y")
-    up, down = (F.coalesce(f("v").over(vertical), F.col("v")) for f in (F.lag, F.lead))
-    rows = a.select("*", F.explode(F.array(F.struct(F.lit(0).alias("o"), mix_rows(F.col("v"), up).alias("t")), F.struct(F.lit(1).alias("o"), mix_rows(F.col("v"), down).alias("t")))).alias("e"))
-    rows = rows.select("frame", "plane", (F.col("y") * 2 + F.col("e.o")).alias("y"), "x", F.col("e.t").alias("v"))
-    across = Window.partitionBy("frame", "plane", "y").orderBy("x")
-    left, right = (F.coalesce(f("v").over(across), F.col("v")) for f in (F.lag, F.lead))
-    out = rows.select("*", F.explode(F.array(F.struct(F.lit(0).alias("o"), mix_rows(F.col("v"), left).alias("t")), F.struct(F.lit(1).alias("o"), mix_rows(F.col("v"), right).alias("t")))).alias("e"))
-    return out.select("frame", "plane", "y", (F.col("x") * 2 + F.col("e.o")).alias("x"), F.col("e.t").alias("v"))
+    def doubled(rows: DataFrame, axis: str, other: str) -> DataFrame:
+        w = Window.partitionBy("frame", "plane", other).orderBy(axis)
+        near = rows.withColumn("before", F.coalesce(F.lag("v").over(w), F.col("v"))).withColumn("after", F.coalesce(F.lead("v").over(w), F.col("v")))
+        two = F.explode(F.array(*(F.struct(F.lit(k).alias("o"), mix_rows(F.col("v"), F.col(c)).alias("t")) for k, c in enumerate(("before", "after")))))
+        return near.withColumn("e", two).select("frame", "plane", (F.col(axis) * 2 + F.col("e.o")).alias(axis), other, F.col("e.t").alias("v"))
+
+    return doubled(doubled(a, "y", "x"), "x", "y").select(*POSITION, "v")
 
 
 def compensate(blocks: DataFrame, reference: DataFrame, size: int = 8) -> DataFrame:
-    """Motion compensation in half pixels: pixels of blocks (frame, plane, by, bx, ref, dy, dx).
+    """Motion compensation in half pixels: pixels of blocks (frame, plane, block_y, block_x, ref, dy, dx).
 
     A pixel averages one, two or four pixels of the reference frame, rounded up at a half.
     Blocks whose vector leaves the frame lose no pixel silently: they come back with
@@ -102,7 +101,7 @@ def compensate(blocks: DataFrame, reference: DataFrame, size: int = 8) -> DataFr
     """
     offs = F.explode(F.sequence(F.lit(0), F.lit(size * size - 1)))
     px = blocks.withColumn("k", offs).select(
-        "frame", "plane", "ref", (F.col("by") * size + div(F.col("k"), size)).alias("y"), (F.col("bx") * size + F.col("k") % size).alias("x"), "dy", "dx"
+        "frame", "plane", "ref", (F.col("block_y") * size + div(F.col("k"), size)).alias("y"), (F.col("block_x") * size + F.col("k") % size).alias("x"), "dy", "dx"
     )
     whole = lambda c: F.shiftright(c, 1)
     half = lambda c: c.bitwiseAND(1)
@@ -130,7 +129,7 @@ def in_bounds(y: Column, x: Column, dy: Column, dx: Column, size: int, height: i
 
 
 def motion_search(current: DataFrame, reference: DataFrame, reach: int = 7, size: int = 4) -> DataFrame:
-    """(frame, plane, by, bx, dy, dx, sse): the best whole-pixel vector of each block against the frame before.
+    """(frame, plane, block_y, block_x, dy, dx, sse): the best whole-pixel vector of each block against the frame before.
 
     Displacements run from -reach - 1 to reach; ties go to the zero vector, then in scan
     order. Each candidate is one position of an equi-join, so a block costs
@@ -138,15 +137,15 @@ def motion_search(current: DataFrame, reference: DataFrame, reach: int = 7, size
     """
     span = F.sequence(F.lit(-reach - 1), F.lit(reach))
     cur = current.select(
-        "frame", "plane", div(F.col("y"), size).alias("by"), div(F.col("x"), size).alias("bx"), "y", "x", "v", F.explode(span).alias("dy")
+        "frame", "plane", div(F.col("y"), size).alias("block_y"), div(F.col("x"), size).alias("block_x"), "y", "x", "v", F.explode(span).alias("dy")
     ).withColumn("dx", F.explode(span))
     ref = reference.select((F.col("frame") + 1).alias("frame"), "plane", F.col("y").alias("ry"), F.col("x").alias("rx"), F.col("v").alias("w"))
     cur = cur.withColumn("ry", F.col("y") + F.col("dy")).withColumn("rx", F.col("x") + F.col("dx"))
     met = cur.join(ref, ["frame", "plane", "ry", "rx"])
     d = (F.col("v") - F.col("w")).cast("long")
-    cand = met.groupBy("frame", "plane", "by", "bx", "dy", "dx").agg(F.sum(d * d).alias("sse"), F.count("*").alias("n")).where(F.col("n") == size * size)
+    cand = met.groupBy("frame", "plane", "block_y", "block_x", "dy", "dx").agg(F.sum(d * d).alias("sse"), F.count("*").alias("n")).where(F.col("n") == size * size)
     rank = F.struct("sse", F.when((F.col("dy") == 0) & (F.col("dx") == 0), 0).otherwise(1).alias("z"), "dy", "dx")
-    return cand.groupBy("frame", "plane", "by", "bx").agg(F.min(rank).alias("m")).select("frame", "plane", "by", "bx", "m.dy", "m.dx", "m.sse")
+    return cand.groupBy("frame", "plane", "block_y", "block_x").agg(F.min(rank).alias("m")).select("frame", "plane", "block_y", "block_x", "m.dy", "m.dx", "m.sse")
 
 
 def copy_vector(code: Column, base_x: Column, base_y: Column) -> Column:
