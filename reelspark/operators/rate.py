@@ -22,21 +22,24 @@ def pareto(options: DataFrame, block: str = "block_id") -> DataFrame:
 def hull(options: DataFrame, block: str = "block_id") -> DataFrame:
     """Lower convex hull of each block's options, from least distortion to fewest bits: adds ``step``.
 
-    A block has a handful of options, so a group is small.
+    From the best option on, each step goes to the option with the least added distortion
+    for each bit saved. A block has a handful of options, so they fit in one array.
     """
+    rows = options.groupBy(block).agg(F.sort_array(F.collect_list(F.struct("dist", "bits", "opt"))).alias("o"))
+    best = F.struct(*(F.get("o", F.lit(0))[c].alias(c) for c in ("dist", "bits", "opt")))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["dist", "bits", "opt"]).to_dict("records")
-        out = [rows[0]]
-        while True:
-            base = out[-1]
-            cand = [r for r in rows if r["dist"] > base["dist"] and r["bits"] < base["bits"]]
-            if not cand:
-                break
-            out.append(min(cand, key=lambda r: ((r["dist"] - base["dist"]) / (base["bits"] - r["bits"]), r["dist"], r["opt"])))
-        return pd.DataFrame([{**r, "step": i} for i, r in enumerate(out)])[[block, "opt", "bits", "dist", "step"]]
+    def nxt(base):
+        cheaper = F.filter("o", lambda o: (o["dist"] > base["dist"]) & (o["bits"] < base["bits"]))
+        ranked = F.transform(cheaper, lambda o: F.struct(((o["dist"] - base["dist"]) / (base["bits"] - o["bits"])).alias("slope"), o["dist"].alias("dist"), o["opt"].alias("opt"), o["bits"].alias("bits")))
+        return F.array_min(ranked)
+
+    def step(path, _):
+        more = F.transform(F.filter(F.array(nxt(F.element_at(path, -1))), lambda m: m.isNotNull()), lambda m: F.struct(m["dist"].alias("dist"), m["bits"].alias("bits"), m["opt"].alias("opt")))
+        return F.concat(path, more)
 
-    return options.groupBy(block).applyInPandas(walk, f"{block} long, opt long, bits long, dist long, step int")
+    path = F.aggregate("o", F.array(best), step)
+    walked = rows.select(block, F.posexplode(path).alias("step", "p"))
+    return walked.select(block, "p.opt", "p.bits", "p.dist", "step")
 
 
 def marginal_steps(frontier: DataFrame, block: str = "block_id") -> DataFrame:

@@ -73,14 +73,17 @@ def packets(spark, d) -> DataFrame:
 
 def macroblocks(spark, d) -> DataFrame:
     """Order lines as macroblocks of a slice; a difference and, on some lines, a quantiser."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     return table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("slice_id"), F.col("l_linenumber").cast("long").alias("mb_addr"), (F.col("l_quantity").cast("long") * 7 - 150).alias("diff"),
+        F.col("l_orderkey").alias("slice_id"), F.row_number().over(w).cast("long").alias("mb_addr"), (F.col("l_quantity").cast("long") * 7 - 150).alias("diff"),
         F.when(F.col("l_partkey") % 3 == 0, F.col("l_partkey") % 31 + 1).alias("q"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"),
     )
 
 
-BLOCKS_SQL = """(select l_orderkey as slice_id, cast(l_linenumber as bigint) as mb_addr, cast(l_quantity as bigint) * 7 - 150 as diff,
-    case when l_partkey % 3 = 0 then l_partkey % 31 + 1 end as q, l_partkey as part, l_suppkey as supp from lineitem)"""
+BLOCKS_SQL = """(select l_orderkey as slice_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as mb_addr,
+    cast(l_quantity as bigint) * 7 - 150 as diff, case when l_partkey % 3 = 0 then l_partkey % 31 + 1 end as q, l_partkey as part, l_suppkey as supp from lineitem)"""
 
 
 def options(spark, d) -> DataFrame:

@@ -1,5 +1,6 @@
 """All queries of the library proper."""
 
+from . import stream_queries  # noqa: F401  registers its queries
 from .queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
