@@ -141,7 +141,7 @@ def interleave(video: DataFrame, audio: DataFrame, rate: int, num: int, den: int
         out.insert(1, "out", range(len(out)))
         return out
 
-    return v.unionByName(a).groupBy("file").applyInPandas(merge, "file long, out long, kind string, stream int, ref long, target long")
+    return v.unionByName(a).groupBy("file").applyInPandas(merge, f"file {video.schema['file'].dataType.simpleString()}, out long, kind string, stream int, ref long, target long")
 
 
 def packet_statistics(packets: DataFrame, file: str = "file", order: str = "seq") -> DataFrame:
