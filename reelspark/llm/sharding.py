@@ -6,8 +6,8 @@ into runs of near equal bytes are found without sorting: each round counts the e
 bytes and rows between candidate boundaries, over all partitions, and keeps only the
 intervals that hold an unmet target. Boundaries are the key's leading digits, so a
 round narrows an interval 2^DIGIT times whatever the key's distribution. A splitter
-is met when the bytes below it are within ``tolerance`` of its target; then the rows
-are exchanged once.
+is met when the bytes below it are within ``tolerance`` of its target, or when only one
+row is left to choose; then the rows are exchanged once.
 
 Each shard is cut into several runs, by the same counts, so that the final sort is
 spread over many tasks; the exact rows below each splitter give every run its first
@@ -76,9 +76,11 @@ def find_splitters(keys: DataFrame, runs: int, tolerance: float) -> tuple[list[d
                     last = (1 << DIGIT, b, n)
                 d, b, n = last
                 cb, cn = counts.get((prefix, d), (0, 0))
-                if goal - b <= slack or level == LEVELS - 1 and goal - b <= cb / 2:
+                # one row, or one whole key, can't be split: the nearer side is the best there is
+                whole = cn == 1 or level == LEVELS - 1
+                if goal - b <= slack or whole and goal - b <= cb / 2:
                     found[t] = {"prefix": (*prefix, d), "bytes": b, "rows": n}
-                elif b + cb - goal <= slack or level == LEVELS - 1:
+                elif b + cb - goal <= slack or whole:
                     found[t] = {"prefix": (*prefix, d + 1), "bytes": b + cb, "rows": n + cn}
                 else:
                     kept = nxt.setdefault((*prefix, d), (b, n, []))
