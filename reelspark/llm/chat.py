@@ -7,9 +7,9 @@ instruction with an optional input and output, or one row for each turn. All of
 yield canonical turns (conv_id, turn, role, text), which one template formats.
 
 Template: ``<|role|>\n`` + text + ``<|end|>\n`` for each turn. In roles and texts a
-backslash follows every ``<``, ``[`` and backslash, so no control string of this or
-another template can stand in the output; taking these backslashes out again
-restores the text. The loss mask is a list of spans of code points: assistants' texts.
+backslash follows every ``<``, ``[`` and backslash, and in roles every ``|``, so no
+control string of this or another template can stand in the output; taking these
+backslashes out again restores the text. The loss mask is a list of spans of code points: assistants' texts.
 
 The formatted conversation is kept as one segment for each turn, in order: its text
 is their concatenation. A conversation of any length streams through a sorted
@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 END = "<|end|>\n"
 ASSISTANT = "assistant"
-_ESCAPE = r"([<\[\\])"
-_SEGMENT = re.compile(r"<\|((?:[^<\[\\]|[<\[\\]\\)*)\|>\n((?:[^<\[\\]|[<\[\\]\\)*)<\|end\|>\n", re.S)
+_ESCAPE, _ESCAPE_ROLE = r"([<\[\\])", r"([<\[\\|])"
+_SEGMENT = re.compile(r"<\|((?:[^<\[\\|]|[<\[\\|]\\)*)\|>\n((?:[^<\[\\]|[<\[\\]\\)*)<\|end\|>\n", re.S)
 
 
 # ---------------------------------------------------------------- fingerprints and mappings
@@ -163,16 +163,16 @@ def _schema_of(paths: list[str]) -> T.StructType:
 # ---------------------------------------------------------------- template
 
 
-def escape(text: Column) -> Column:
-    return F.regexp_replace(text, _ESCAPE, r"$1\\")
+def escape(text: Column, which: str = _ESCAPE) -> Column:
+    return F.regexp_replace(text, which, r"$1\\")
 
 
 def unescape(text: Column) -> Column:
     return F.regexp_replace(text, _ESCAPE + r"\\", "$1")
 
 
-def _plain(text: str) -> str:
-    return re.sub(_ESCAPE + r"\\", r"\1", text)
+def _plain(text: str, which: str = _ESCAPE) -> str:
+    return re.sub(which + r"\\", r"\1", text)
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     The loss span is in code points of the segment, end exclusive; empty (0, 0) for
     turns that are not the assistant's.
     """
-    head = F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n"))
+    head = F.concat(F.lit("<|"), escape(F.col("role"), _ESCAPE_ROLE), F.lit("|>\n"))
     body = escape(F.col("text"))
     lossy = F.col("role") == ASSISTANT
     return turns.select(
@@ -196,7 +196,7 @@ def read_back(segment: str) -> list[tuple[str, str]]:
     for m in _SEGMENT.finditer(segment):
         if m.start() != at:
             break
-        out.append((_plain(m[1]), _plain(m[2])))
+        out.append((_plain(m[1], _ESCAPE_ROLE), _plain(m[2])))
         at = m.end()
     if at != len(segment):
         raise ValueError("the text does not follow the template")

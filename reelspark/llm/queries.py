@@ -90,7 +90,7 @@ ORACLE_SQL = {
     "op1_chat_format": r"""
         with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
                    union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
-        f as (select *, length(regexp_replace(role, '([<\[\\])', '\1\\', 'g')) + length(regexp_replace(text, '([<\[\\])', '\1\\', 'g')) + 13 as chars from c)
+        f as (select *, length(regexp_replace(role, '([<\[\\|])', '\1\\', 'g')) + length(regexp_replace(text, '([<\[\\])', '\1\\', 'g')) + 13 as chars from c)
         select conv_id, count(*) as n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
                coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
