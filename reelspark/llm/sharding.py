@@ -35,11 +35,13 @@ def _digit(level: int) -> Column:
 LEVELS = PARTS * -(-64 // DIGIT)
 
 
-def find_splitters(keys: DataFrame, runs: int, tolerance: float) -> tuple[list[dict], int, int]:
+def find_splitters(keys: DataFrame, runs: int, tolerance: float, together: float = 0.0) -> tuple[list[dict], int, int]:
     """Splitters 1 .. runs - 1 as digit prefixes, with exact bytes and rows below each.
 
     ``keys`` has k0, k1 (unsigned order) and size. Targets are multiples of the
-    total over ``runs``; ``tolerance`` is a share of a run's bytes.
+    total over ``runs``; ``tolerance`` is a share of a run's bytes. A target inside the
+    rows of one k0 moves to their nearer end if that is at most ``together`` (a share of
+    a run's bytes) away; else these rows are split by k1.
     """
     found: dict[int, dict] = {}
     spark = keys.sparkSession
@@ -78,6 +80,8 @@ def find_splitters(keys: DataFrame, runs: int, tolerance: float) -> tuple[list[d
                 cb, cn = counts.get((prefix, d), (0, 0))
                 # one row, or one whole key, can't be split: the nearer side is the best there is
                 whole = cn == 1 or level == LEVELS - 1
+                if level == LEVELS // PARTS - 1 and min(goal - b, b + cb - goal) <= together * total / runs:
+                    whole = True
                 if goal - b <= slack or whole and goal - b <= cb / 2:
                     found[t] = {"prefix": (*prefix, d), "bytes": b, "rows": n}
                 elif b + cb - goal <= slack or whole:
@@ -100,11 +104,13 @@ def _lowest_key(prefix: tuple) -> int:
     return value
 
 
-def shard_by_bytes(df: DataFrame, key: list[Column], size: Column, shards: int, tolerance: float = 0.002, runs_per_shard: int | None = None) -> DataFrame:
+def shard_by_bytes(df: DataFrame, key: list[Column], size: Column, shards: int, tolerance: float = 0.002, together: float = 0.005, runs_per_shard: int | None = None) -> DataFrame:
     """Append ``shard`` and ``slot`` to the rows of ``df``: shards of near equal bytes.
 
     ``key`` has one or two integral columns, compared as signed numbers, nulls as
-    the smallest; rows with an equal whole key stay in one run. ``slot`` numbers a
+    the smallest; rows with an equal whole key stay in one run. Rows with an equal first
+    part (here: equal texts) stay in one shard where moving a cut by at most ``together``
+    of a shard's bytes does it; larger groups are split between neighbouring shards. ``slot`` numbers a
     shard's rows from 0 without gaps, in key order. An empty table gives an empty
     result. Columns of ``df`` named like the helper columns are kept as they are,
     since all helpers live in one struct until the end.
@@ -117,7 +123,7 @@ def shard_by_bytes(df: DataFrame, key: list[Column], size: Column, shards: int,
     smallest = -(1 << 63)
     flip = [F.coalesce(k.cast("long"), F.lit(smallest)).bitwiseXOR(F.lit(smallest)) for k in key]
     row = df.select(F.struct("*").alias("row"), *(f.alias(f"k{i}") for i, f in enumerate(flip)), size.cast("long").alias("size"))
-    splitters, total, rows = find_splitters(row.select("k0", "k1", "size"), runs, tolerance)
+    splitters, total, rows = find_splitters(row.select("k0", "k1", "size"), runs, tolerance, together * runs_per_shard)
 
     # a fixed table of the first digit's cells: the run that a cell starts in, and the splitters inside it
     cells: list[list] = [[d, 0, []] for d in range(1 << DIGIT)]
