@@ -63,3 +63,23 @@ def mix_rows(near: Column, far: Column) -> Column:
 
 def median3(a: Column, b: Column, c: Column) -> Column:
     return a + b + c - F.greatest(a, b, c) - F.least(a, b, c)
+
+
+def texture_scale(size: Column, work: Column) -> Column:
+    """Share of a work frame that the video fills."""
+    return size.cast("double") / work.cast("double")
+
+
+def prefix_lookup(bits: Column, codes: list[tuple[str, int]]) -> Column:
+    """Struct (value, length) of the first code of a bit string, by a dense table of the longest code's width; null if none fits."""
+    width = max(len(c) for c, _ in codes)
+    table: list = [None] * (1 << width)
+    for code, value in codes:
+        rest = width - len(code)
+        for k in range(1 << rest):
+            table[(int(code, 2) << rest) + k] = (value, len(code))
+    kind = "array<struct<value:int,length:int>>"
+    dense = F.array(*(F.lit(None) if e is None else F.struct(F.lit(e[0]).alias("value"), F.lit(e[1]).alias("length")) for e in table)).cast(kind)
+    index = F.conv(F.rpad(F.substring(bits, 1, width), width, "0"), 2, 10).cast("int")
+    found = F.get(dense, index)
+    return F.when(F.length(bits) >= found["length"], found)

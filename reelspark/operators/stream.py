@@ -170,3 +170,15 @@ def mix_groups(sources: DataFrame) -> DataFrame:
 def sort_sources(sources: DataFrame) -> DataFrame:
     """Sources with a device first, then by device, layout and metaID: adds ``rank``."""
     return sources.withColumn("rank", F.row_number().over(Window.orderBy(F.col("device").asc_nulls_last(), "layout", "meta_id", "source_id")))
+
+
+def with_audio_syncs(frames: DataFrame, samples: int, file: str = "file", order: str = "seq") -> DataFrame:
+    """Two rows for each audio frame: the frame, and the sync that commits it."""
+    period = F.row_number().over(Window.partitionBy(file).orderBy(order)) * samples
+    rows = frames.withColumn("period", period)
+    return rows.withColumn("ptype", F.explode(F.array(F.lit("audio_frame"), F.lit("audio_sync"))))
+
+
+def header_bytes(size: Column, stream: Column) -> Column:
+    """Bytes of a packet's header: 7 where the short form holds it, else 10."""
+    return F.when((stream == 0) & (size < 32768), 7).otherwise(10)

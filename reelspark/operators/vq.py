@@ -188,3 +188,13 @@ def mersenne(seed: int, n: int) -> pd.Series:
     """The first n 32-bit numbers of the MT19937 generator seeded with one integer."""
     state = np.random.RandomState(seed)
     return pd.Series(state.randint(0, 2**32, size=n, dtype=np.uint64))
+
+
+def scrub(assigned: DataFrame, least: int) -> DataFrame:
+    """Points whose distance exceeds a threshold; the others are cheap to predict already."""
+    return assigned.where(F.col("dist") > least)
+
+
+def merge_cells(assigned: DataFrame, moves: DataFrame) -> DataFrame:
+    """Give the points of a cell (cb_id) to another (into); moves are a small table."""
+    return assigned.join(F.broadcast(moves), "cb_id", "left").withColumn("cb_id", F.coalesce("into", "cb_id")).drop("into")

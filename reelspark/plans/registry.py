@@ -1,6 +1,6 @@
 """All queries of the library proper."""
 
-from . import source_queries, stream_queries  # noqa: F401  they register their queries
+from . import codec_queries, source_queries, stream_queries  # noqa: F401  they register their queries
 from .queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -274,3 +274,19 @@ def ogg_packets(pages: DataFrame) -> DataFrame:
         F.sum("lace").cast("long").alias("size"), F.max("granule").alias("granule"), F.max(F.col("lost") & (F.col("k") == 0)).alias("hole"), F.min("lace").alias("least")
     )
     return ended.where("least < 255").drop("least")
+
+
+def picture_header(head: Column) -> Column:
+    """Struct (temporal, kind, vbv_delay) of the bytes behind a picture start code."""
+    word = field(head, 0, 4)
+    return F.struct(bits(word, 0, 10, 32).alias("temporal"), picture_kind(head).alias("kind"), bits(word, 13, 16, 32).alias("vbv_delay"))
+
+
+def write_pages(packets: DataFrame, fill: int = 4096) -> DataFrame:
+    """(file, content): packets (file, seq, granule, payload) of each stream as pages; a group is one stream."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        return pd.DataFrame({"file": [pdf["file"].iloc[0]], "content": [build_pages([(bytes(p), int(g)) for p, g in zip(pdf["payload"], pdf["granule"])], fill=fill)]})
+
+    return packets.groupBy("file").applyInPandas(run, "file string, content binary")

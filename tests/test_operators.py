@@ -271,3 +271,73 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "file long, seq long, kind string")
     assert stream.drop_policy(none, "bp").count() == 0 and stream.sync_points(none).count() == 0
     assert isinstance(pd.DataFrame(), pd.DataFrame)
+
+
+def test_coder_laplace_and_pulses():
+    from reelspark.functions import entropy
+
+    rng = random.Random(11)
+    for _ in range(300):
+        symbols = []
+        for _ in range(rng.randrange(1, 80)):
+            total = rng.randrange(2, 1 << rng.randrange(2, 16))
+            low = rng.randrange(total)
+            symbols.append((low, rng.randrange(low + 1, total + 1), total))
+        src = entropy.Decoder(entropy.encode_symbols(symbols))
+        for low, high, total in symbols:
+            assert low <= src.peek(total) < high
+            src.take(low, high, total)
+    for _ in range(500):
+        v, decay = rng.randrange(-7, 8), rng.randrange(5000, 16000)
+        low, high, total = entropy.laplace_interval(v, decay)
+        assert low < high and entropy.laplace_value(rng.randrange(low, high), decay) == v
+    for n, k in ((1, 3), (3, 4), (5, 3), (8, 2)):
+        seen = [tuple(entropy.pulse_vector(i, n, k)) for i in range(entropy.pulse_count(n, k))]
+        assert len(set(seen)) == len(seen) and all(sum(map(abs, y)) == k for y in seen)
+        assert all(entropy.pulse_index(list(y)) == i for i, y in enumerate(seen))
+
+
+def test_prefix_tree():
+    from reelspark.functions import entropy
+
+    codes = [("0", 4), ("10", 9), ("110", 1), ("111", 30)]
+    assert entropy.tree_codes(entropy.tree_bits(codes)) == codes
+    with pytest.raises(ValueError):
+        entropy.tree_codes("000")
+
+
+def test_plans_codecs_and_profiles(spark):
+    from reelspark.plans import encode
+
+    df = spark.range(10)
+    plan = encode.Plan("p", needs={"id"}).then("a", lambda d: d.where("id > 3"))
+    assert plan.run(df).count() == 6
+    with pytest.raises(ValueError, match="missing"):
+        encode.Plan("p", needs={"x"}).then("a", lambda d: d).run(df)
+    with pytest.raises(ValueError, match="twice"):
+        plan.then("a", lambda d: d).run(df)
+    codecs_ = encode.Codecs()
+    codecs_.add("raw", lambda c: c)
+    with pytest.raises(ValueError):
+        codecs_.decode("other", F.col("id"))
+    same, seen = encode.profiled(df, rows=F.count("*"), top=F.max("id"))
+    assert same.count() == 10 and seen.get == {"rows": 10, "top": 9}
+
+
+def test_comment_lists(spark):
+    from reelspark.functions import tags
+    from reelspark.sources import headers
+
+    items = ["ARTIST=a", "TITLE=b", "artist=c"]
+    df = spark.createDataFrame([(headers.build_comments("v", items),), (headers.build_comments("v", items)[:-1],), (b"x",), (None,)], "d binary")
+    rows = df.select(headers.comments("d").alias("c")).collect()
+    assert [r.c for r in rows] == [items, None, None, None]
+    c = spark.createDataFrame([(items,)], "c array<string>").select(tags.lookup(F.col("c"), "Artist", 1).alias("v"), tags.lookup(F.col("c"), "artist", 2).alias("none"), tags.count(F.col("c"), "ARTIST").alias("n")).first()
+    assert (c.v, c.none, c.n) == ("c", None, 2)
+
+
+def test_pages_written_by_stream(spark):
+    rows = [(f"s{k % 2}", k, k, bytearray(b"p" * (k * 50))) for k in range(20)]
+    content = scans.write_pages(spark.createDataFrame(rows, "file string, seq long, granule long, payload binary"), 500)
+    got = {(r.file, r["packet"]): r["size"] for r in scans.ogg_packets(scans.ogg_pages(content)).collect()}
+    assert got == {(f"s{k % 2}", k // 2): k * 50 for k in range(20)}
