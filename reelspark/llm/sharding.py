@@ -35,6 +35,21 @@ def _digit(level: int) -> Column:
 LEVELS = PARTS * -(-64 // DIGIT)
 
 
+def _shared_digit(ends, level: int) -> int | None:
+    """The digit of a level if the smallest and largest keys prove that all keys share it.
+
+    The last digit of a part is always counted, as decisions are taken there.
+    """
+    per_part = -(-64 // DIGIT)
+    part, k = divmod(level, per_part)
+    low, high = ends[f"low{part}"], ends[f"high{part}"]
+    if k == per_part - 1 or low is None:
+        return None
+    shift = 64 - DIGIT * (k + 1)
+    low, high = (low + (1 << 63)) >> shift, (high + (1 << 63)) >> shift
+    return low & ((1 << DIGIT) - 1) if low == high else None
+
+
 def find_splitters(keys: DataFrame, runs: int, tolerance: float, together: float = 0.0) -> tuple[list[dict], int, int]:
     """Splitters 1 .. runs - 1 as digit prefixes, with exact bytes and rows below each.
 
@@ -45,16 +60,23 @@ def find_splitters(keys: DataFrame, runs: int, tolerance: float, together: float
     """
     found: dict[int, dict] = {}
     spark = keys.sparkSession
-    total = rows = 0
+    ends = keys.agg(
+        F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.count("*").alias("rows"),
+        *(f(F.col(f"k{i}").bitwiseXOR(F.lit(-(1 << 63)))).alias(f"{n}{i}") for i in range(PARTS) for n, f in (("low", F.min), ("high", F.max))),
+    ).first()
+    total, rows = ends.total, ends.rows
     # prefix of digits -> (bytes below, rows below, the targets not yet met)
     open_: dict[tuple, tuple[int, int, list[int]]] = {(): (0, 0, list(range(1, runs)))}
     for level in range(LEVELS):
         if not open_:
             break
+        same = _shared_digit(ends, level)
+        if same is not None:  # all keys have this digit, so there is nothing to count
+            open_ = {(*prefix, same): v for prefix, v in open_.items()}
+            continue
         if level == 0:
             counted = keys.groupBy(_digit(0).alias("d")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
             counts = {((), r.d): (r.b, r.n) for r in counted}
-            total, rows = sum(v[0] for v in counts.values()), sum(v[1] for v in counts.values())
         else:
             order = sorted(open_)
             live = spark.createDataFrame([(i, *p) for i, p in enumerate(order)], "iv int, " + ", ".join(f"p{k} long" for k in range(level)))
