@@ -36,6 +36,7 @@ SHIFT = 50.0
 ALPHA = 0.7
 SEED = 20_240_101
 UNIT_BYTES = 512
+LATTICE_BYTES = 1 << 19  # text whose lattices are in memory at once
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 0xD1B54A32D192ED03
 
@@ -289,7 +290,7 @@ def _encode(vocabulary: Vocabulary, alpha: float, seed: int):
         for batch in batches:
             buf, off = text_buffer(batch.column(1))
             keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            for a, b in slices(off):
+            for a, b in slices(off, LATTICE_BYTES):
                 ids, at = sample_slice(buf[off[a] : off[b]], off[a : b + 1] - off[a], keys[a:b], vocabulary, alpha, seed)
                 values = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), values], ["doc_id", "text", "ids"])
