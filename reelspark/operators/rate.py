@@ -6,6 +6,9 @@ functions of one stream each.
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -66,26 +69,33 @@ def greedy_budget(hulls: DataFrame, frame: str, size_limit: int, entry_cost: int
     """
 
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = {b: g.sort_values("step").to_dict("records") for b, g in pdf.groupby("block_id")}
+        lists: dict[int, list] = {}
+        for row in sorted(zip(*(pdf[c].tolist() for c in ("block_id", "step", "bits", "dist", "entry")))):
+            lists.setdefault(row[0], []).append(row[2:])
         at = dict.fromkeys(lists, 0)
-        use: dict = {}
-        for b in lists:
-            use[lists[b][0]["entry"]] = use.get(lists[b][0]["entry"], 0) + 1
-        size = lambda: sum(lists[b][at[b]]["bits"] for b in lists) + entry_cost * sum(1 for e, n in use.items() if n and e >= 0)
-        while size() > size_limit:
-            options = []
-            for b, rows in lists.items():
-                if at[b] + 1 < len(rows):
-                    a, c = rows[at[b]], rows[at[b] + 1]
-                    options.append(((c["dist"] - a["dist"]) / max(1, a["bits"] - c["bits"]), b))
-            if not options:
-                break
-            _, b = min(options)
-            use[lists[b][at[b]]["entry"]] -= 1
-            at[b] += 1
-            use[lists[b][at[b]]["entry"]] = use.get(lists[b][at[b]]["entry"], 0) + 1
-        total = size()
-        return pd.DataFrame([(pdf[frame].iloc[0], b, at[b], total) for b in lists], columns=[frame, "block_id", "step", "frame_bits"])
+        uses = Counter(rows[0][2] for rows in lists.values())
+        total = sum(rows[0][0] for rows in lists.values()) + entry_cost * sum(1 for e in uses if e >= 0)
+
+        def push(block: int):
+            k, rows = at[block], lists[block]
+            if k + 1 < len(rows):
+                slope = (rows[k + 1][1] - rows[k][1]) / max(1, rows[k][0] - rows[k + 1][0])
+                heapq.heappush(queue, (slope, block))
+
+        queue: list[tuple[float, int]] = []
+        for block in lists:
+            push(block)
+        while total > size_limit and queue:
+            _, block = heapq.heappop(queue)
+            old, new = lists[block][at[block]], lists[block][at[block] + 1]
+            total += new[0] - old[0]
+            uses[old[2]] -= 1
+            total -= entry_cost * (old[2] >= 0 and not uses[old[2]])
+            total += entry_cost * (new[2] >= 0 and not uses[new[2]])
+            uses[new[2]] += 1
+            at[block] += 1
+            push(block)
+        return pd.DataFrame([(pdf[frame].iloc[0], b, k, total) for b, k in at.items()], columns=[frame, "block_id", "step", "frame_bits"])
 
     return hulls.groupBy(frame).applyInPandas(reduce, f"{frame} long, block_id long, step int, frame_bits long")
 

@@ -123,21 +123,30 @@ def interleave(video: DataFrame, audio: DataFrame, rate: int, num: int, den: int
     a = audio.select("file", F.lit("a").alias("kind"), F.col("stream").cast("int").alias("stream"), F.col("block").alias("ref"), F.col("stop").alias("at"), F.lit(0).cast("long").alias("target"))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        streams: dict[int, list] = {}
+        syncs = []
+        for kind, s, ref, at, target in zip(*(pdf[c].tolist() for c in ("kind", "stream", "ref", "at", "target"))):
+            if kind == "v":
+                syncs.append((ref, target))
+            else:
+                streams.setdefault(s, []).append((at, ref))
+        order = sorted(streams)
+        for s in order:
+            streams[s].sort()
+        head, end = dict.fromkeys(order, 0), dict.fromkeys(order, 0)
         rows = []
-        file = pdf["file"].iloc[0]
-        streams = {s: g.sort_values(["at", "ref"])[["ref", "at"]].values.tolist() for s, g in pdf[pdf.kind == "a"].groupby("stream")}
-        head, end = dict.fromkeys(streams, 0), dict.fromkeys(streams, 0)
-        for seq, target in pdf[pdf.kind == "v"].sort_values("ref")[["ref", "target"]].values.tolist():
-            for s, blocks in streams.items():
-                k = head[s]
-                if k < len(blocks) and blocks[k][1] <= target and end[s] < target:
+        for seq, target in sorted(syncs):
+            for s in order:
+                blocks, k = streams[s], head[s]
+                if k < len(blocks) and blocks[k][0] <= target and end[s] < target:
                     while k < len(blocks) and end[s] < target:
-                        rows.append((file, "a", s, blocks[k][0], target))
-                        end[s] = blocks[k][1]
+                        end[s], ref = blocks[k]
+                        rows.append(("a", s, ref, target))
                         k += 1
                     head[s] = k
-            rows.append((file, "v", -1, seq, target))
-        out = pd.DataFrame(rows, columns=["file", "kind", "stream", "ref", "target"])
+            rows.append(("v", -1, seq, target))
+        out = pd.DataFrame(rows, columns=["kind", "stream", "ref", "target"])
+        out.insert(0, "file", pdf["file"].iloc[0])
         out.insert(1, "out", range(len(out)))
         return out
 

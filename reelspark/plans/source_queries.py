@@ -123,8 +123,8 @@ def _adpcm(s, d):
 
     def run(batches):
         for pdf in batches:
-            out = [codecs.adpcm_decode(bytes([0, 40]) + (t or "").encode(), 1) or [] for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(o) for o in out], "total": [sum(o) for o in out], "last": [o[-1] if o else 0 for o in out]})
+            out = codecs.adpcm_decode_many([bytes([40, 0]) + (t or "").encode() for t in pdf["text"]])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(o) for o in out], "total": [int(o.sum()) for o in out], "last": [int(o[-1]) if len(o) else 0 for o in out]})
 
     return table(s, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, n long, total long, last long")
 
@@ -178,9 +178,11 @@ def _clusters(s, d):
 
     def run(batches):
         for pdf in batches:
+            rows = []
             for file, granule, p in zip(pdf["file"], pdf["granule"], pdf["p"]):
-                rows = codecs.parse_cluster(codecs.build_cluster(int(granule), [bytes(r["payload"]) for r in p]))
-                yield pd.DataFrame({"file": file, "granule": [r["granule"] for r in rows], "n": [r["n"] for r in rows], "size": [len(r["payload"]) for r in rows]})
+                back = codecs.parse_cluster(codecs.build_cluster(int(granule), [bytes(r["payload"]) for r in p]))
+                rows += [(file, r["granule"], r["n"], len(r["payload"])) for r in back]
+            yield pd.DataFrame(rows, columns=["file", "granule", "n", "size"])
 
     return grouped.mapInPandas(run, "file string, granule long, n int, size long")
 

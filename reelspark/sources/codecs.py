@@ -60,6 +60,36 @@ def adpcm_decode(packet: bytes, channels: int) -> list[int] | None:
     return out
 
 
+def adpcm_decode_many(packets: list[bytes]) -> list[np.ndarray | None]:
+    """``adpcm_decode`` of many one-channel packets side by side: each step advances all that still have codes."""
+    out: list[np.ndarray | None] = [None] * len(packets)
+    good = [k for k, p in enumerate(packets) if len(p) >= 2 and p[0] & 0x7F < len(STEPS)]
+    good.sort(key=lambda k: -len(packets[k]))
+    if not good:
+        return out
+    words = np.array([int.from_bytes(packets[k][:2], "little") for k in good])
+    index, pred = words & 0x7F, words & 0xFF80
+    pred = np.where(pred >= 32768, pred - 65536, pred | pred >> 8)
+    size = np.array([2 * (len(packets[k]) - 2) for k in good])
+    start = np.concatenate([[0], np.cumsum(size)])
+    raw = np.frombuffer(b"".join(packets[k][2:] for k in good), np.uint8)
+    codes = np.empty(2 * len(raw), np.int64)
+    codes[0::2], codes[1::2] = raw & 15, raw >> 4
+    samples = np.empty(len(codes), np.int64)
+    steps, changes = np.array(STEPS), np.array(CHANGES)
+    live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1 if len(size) else 1), "right")
+    for t, n in enumerate(live.tolist()):
+        at = start[:n] + t
+        code = codes[at]
+        delta = (2 * code - 15) * steps[index[:n]]
+        pred[:n] = np.clip(pred[:n] + np.sign(delta) * (np.abs(delta) >> 3), -32768, 32767)
+        index[:n] = np.clip(index[:n] + changes[code], 0, len(STEPS) - 1)
+        samples[at] = pred[:n]
+    for k, a, b in zip(good, start[:-1], start[1:]):
+        out[k] = samples[a:b]
+    return out
+
+
 def adpcm_code(sample: int, pred: int, index: int) -> int:
     """The code that lands nearer to a sample, of the two that enclose it; a tie takes the smaller."""
     step, diff = STEPS[index], sample - pred

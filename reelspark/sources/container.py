@@ -26,6 +26,7 @@ TYPES = ("video_params", "video_inline", "video_sync", "audio_params", "audio_fr
 ESCAPED, CHECKSUM, IS_COMPACT = 0x80, 0x40, 0x20
 NONE = 1  # stream types up to this have no stream
 
+GATHER_ROWS = 10_000
 PACKETS = "file string, seq long, offset long, ptype string, flags int, stream int, size long, payload binary, bad string"
 HEADERS = """file string, video_type int, audio_type int, largest_packet long, readahead long, width int, height int, rate_num long, rate_den int,
     rw_frames int, wo_frames int, frame_format int, layout int, sample_rate long, audio_readahead long, audio array<struct<layout:int,meta_id:string>>"""
@@ -124,14 +125,21 @@ def build_headers(h: dict) -> bytes:
 
 def read_packets(files: DataFrame) -> DataFrame:
     """Packets of a table (file, content) such as ``binaryFile`` gives."""
+    names = [c.split()[0] for c in PACKETS.split(", ")]
 
     def run(batches):
         for pdf in batches:
+            held: list[tuple] = []
             for file, content in zip(pdf["file"], pdf["content"]):
                 data = bytes(content)
                 headers, at = parse_headers(data)
                 rows = parse_packets(data, at) if headers else [(0, 0, None, None, None, None, None, "bad movie header")]
-                yield pd.DataFrame([(file, *r) for r in rows], columns=[c.split()[0] for c in PACKETS.split(", ")])
+                for r in rows:
+                    held.append((file, *r))
+                    if len(held) == GATHER_ROWS:
+                        yield pd.DataFrame(held, columns=names)
+                        held = []
+            yield pd.DataFrame(held, columns=names)
 
     return files.select("file", "content").mapInPandas(run, PACKETS)
 

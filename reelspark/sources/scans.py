@@ -6,22 +6,33 @@ is left to column expressions, so that it stays visible to the optimiser.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bytes import bits, field, page_crc_bytes
 
 
+GATHER_ROWS, GATHER_BYTES = 20_000, 16 << 20
+
+
 def _flat(files: DataFrame, fn, schema: str) -> DataFrame:
     """Rows fn(content) yields, with the file's name in front."""
     names = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(batches):
         for pdf in batches:
+            rows: list[tuple] = []
+            size = 0
             for file, content in zip(pdf["file"], pdf["content"]):
-                rows = [(file, *r) for r in fn(bytes(content))]
-                yield pd.DataFrame(rows, columns=names)
+                rows += [(file, *r) for r in fn(bytes(content))]
+                size += len(content)
+                if len(rows) >= GATHER_ROWS or size >= GATHER_BYTES:  # few large frames, but bounded
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     return files.select("file", "content").mapInPandas(run, schema)
 
@@ -149,19 +160,27 @@ def wav_samples(files: DataFrame, frame: int = 1) -> DataFrame:
     fmt = tree.where("path = '/WAVE/fmt '").select("file", wav_format(F.col("payload")).alias("f")).select("file", "f.channels", "f.bits")
     both = tree.where("path = '/WAVE/data'").select("file", "payload").join(fmt, "file")
 
-    def run(batches):
-        import numpy as np
+    def gathered(held):
+        names = pa.concat_arrays([pa.repeat(file, len(n)) for file, n, _, _ in held])
+        return pa.RecordBatch.from_arrays([names, *(pa.array(np.concatenate([h[k] for h in held])) for k in (1, 2, 3))], ["file", "n", "ch", "v"])
 
-        for pdf in batches:
-            for file, payload, channels, width in zip(pdf["file"], pdf["payload"], pdf["channels"], pdf["bits"]):
-                raw = bytes(payload)
-                v = np.frombuffer(raw, "<i2").astype(int) if width == 16 else (np.frombuffer(raw, np.uint8).astype(int) - 128) * 256
+    def run(batches):
+        for batch in batches:
+            held, size = [], 0
+            for file, raw, channels, width in zip(*(batch.column(c).to_pylist() for c in ("file", "payload", "channels", "bits"))):
+                v = np.frombuffer(raw, "<i2").astype(np.int32) if width == 16 else (np.frombuffer(raw, np.uint8).astype(np.int32) - 128) * 256
                 v = v[: len(v) // channels * channels].reshape(-1, channels)
-                v = np.vstack([v, np.zeros((-len(v) % frame, channels), int)])
+                v = np.vstack([v, np.zeros((-len(v) % frame, channels), np.int32)])
                 n, ch = np.divmod(np.arange(v.size), channels)
-                yield pd.DataFrame({"file": file, "n": n, "ch": ch, "v": v.ravel()})
-
-    return both.mapInPandas(run, "file string, n long, ch int, v int")
+                held.append((file, n, ch.astype(np.int32), v.ravel()))
+                size += v.size
+                if size >= GATHER_BYTES // 16:
+                    yield gathered(held)
+                    held, size = [], 0
+            if held:
+                yield gathered(held)
+
+    return both.mapInArrow(run, "file string, n long, ch int, v int")
 
 
 # ---------------------------------------------------------------- YUV4MPEG

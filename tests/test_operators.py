@@ -166,6 +166,11 @@ def test_adpcm_follows_a_sine():
     assert snr(np.array(v[100:], float), np.array(back[100:], float)) > 20
     two = [x for pair in zip(v, v[::-1]) for x in pair]
     assert len(codecs.adpcm_decode(codecs.adpcm_encode(two, 2, 40), 2)) == len(two)
+    rng = random.Random(1)
+    many = [bytes([rng.randrange(89), rng.randrange(256)]) + rng.randbytes(rng.randrange(60)) for _ in range(50)] + [b"", b"\x7f\0ab", b"\0\0"]
+    for p, got in zip(many, codecs.adpcm_decode_many(many)):
+        want = codecs.adpcm_decode(p, 1) if len(p) > 1 else None
+        assert (got is None and want is None) or got.tolist() == want
     assert codecs.adpcm_decode(b"\0", 1) is None and codecs.adpcm_decode(bytes([0x7F, 0]), 1) is None
 
 
