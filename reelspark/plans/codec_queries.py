@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import entropy, pixels
-from ..operators import stream, vq
+from ..operators import planes, stream, vq
 from ..sources import headers, scans
 from . import encode
-from .queries import ASSIGNED_SQL, OPTIONS_SQL, assigned, options, packets, register, table
+from .queries import ASSIGNED_SQL, OPTIONS_SQL, assigned, options, packets, pixel_rows, register, table
 
 
 def _symbols(s, d):
@@ -108,3 +108,17 @@ register(
     "encode_plan", _plan,
     "select user_id as file, sum(cast(floor(value * 100) as bigint) + case when floor(value * 100) < 32768 then 7 else 10 end)::bigint as bytes from events where user_id % 3 = 0 group by 1",
 )
+
+
+def _dc_blocks(s, d):
+    """Events of a user as a plane of blocks, eight in a row; every fifth isn't coded."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    rows = table(s, d, "events").select(F.col("user_id").alias("frame"), F.lit(0).cast("long").alias("plane"), n.alias("n"), (F.floor(F.col("value")) - 200).cast("long").alias("diff"), "event_id")
+    ref = F.when(F.col("event_id") % 5 == 0, -1).otherwise(F.col("event_id") % 3)
+    return rows.select("frame", "plane", F.floor(F.col("n") / 8).alias("y"), (F.col("n") % 8).cast("long").alias("x"), "diff", ref.cast("long").alias("ref"))
+
+
+register("dc_neighbours", lambda s, d: planes.restore_planes(_dc_blocks(s, d)))
+register("deblock", lambda s, d: planes.deblock_planes(pixel_rows(s), 12))

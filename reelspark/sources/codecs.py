@@ -266,6 +266,46 @@ def _draw(ops: list[tuple], cells: np.ndarray, entries: np.ndarray, before: np.n
     return frame
 
 
+def encode_frame(frame: np.ndarray, cells: np.ndarray, entries: np.ndarray, before: np.ndarray, price: float = 20.0, reach: int = 7) -> bytes:
+    """One frame of luma as codebook video: for each block the operation of least distortion plus ``price`` for each bit.
+
+    An 8x8 block is skipped, moved by up to ``reach``, drawn from an entry at double size, or split;
+    a 4x4 block likewise, or drawn from four cells. Chunks of the codebook and the frame are returned.
+    """
+    small = cells[:, :4].reshape(-1, 2, 2).astype(np.int64)
+    tiles = np.stack([np.block([[small[a], small[b]], [small[c], small[d]]]) for a, b, c, d in entries.tolist()]) if len(entries) else np.zeros((0, 4, 4), np.int64)
+    wide = np.kron(tiles, np.ones((1, 2, 2), np.int64))
+    target, old = frame.astype(np.int64), before.astype(np.int64)
+    height, width = target.shape
+
+    def best(y: int, x: int, size: int) -> tuple[float, tuple]:
+        want = target[y : y + size, x : x + size]
+        miss = lambda got: float(((want - got) ** 2).sum())
+        found = [(miss(old[y : y + size, x : x + size]) + 2 * price, ("skip",))]
+        for dy in range(-reach, reach + 1):
+            for dx in range(-reach, reach + 1):
+                if (dy or dx) and 0 <= y + dy <= height - size and 0 <= x + dx <= width - size:
+                    cost = miss(old[y + dy : y + dy + size, x + dx : x + dx + size]) + 10 * price
+                    if cost < found[-1][0]:
+                        found.append((cost, ("motion", (8 - dx) << 4 | (8 - dy))))
+        books = tiles if size == 4 else wide
+        if len(books):
+            costs = ((books - want) ** 2).sum(axis=(1, 2))
+            k = int(costs.argmin())
+            found.append((float(costs[k]) + 10 * price, ("vector", k)))
+        if size == 8:
+            parts = [best(y + j, x + i, 4) for j in (0, 4) for i in (0, 4)]
+            found.append((sum(p[0] for p in parts) + 2 * price, ("quad", [p[1] for p in parts])))
+        else:
+            picks = [((small - want[j : j + 2, i : i + 2]) ** 2).sum(axis=(1, 2)) for j in (0, 2) for i in (0, 2)]
+            found.append((float(sum(p.min() for p in picks)) + 34 * price, ("quad", [int(p.argmin()) for p in picks])))
+        return min(found, key=lambda f: f[0])
+
+    places = [(y + j, x + i) for y in range(0, height, 16) for x in range(0, width, 16) for j in (0, 8) for i in (0, 8)]
+    books = chunk(CODEBOOK, (len(cells) & 255) << 8 | len(entries) & 255, cells.astype(np.uint8).tobytes() + entries.astype(np.uint8).tobytes())
+    return books + chunk(VIDEO, 0, build_quads([best(y, x, 8)[1] for y, x in places]))
+
+
 def decode_video(packets: DataFrame, width: int, height: int) -> DataFrame:
     """(file, frame, y, x, v): luma of codebook video, one file's frames in order.
 

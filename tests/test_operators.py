@@ -346,3 +346,40 @@ def test_pages_written_by_stream(spark):
     content = scans.write_pages(spark.createDataFrame(rows, "file string, seq long, granule long, payload binary"), 500)
     got = {(r.file, r["packet"]): r["size"] for r in scans.ogg_packets(scans.ogg_pages(content)).collect()}
     assert got == {(f"s{k % 2}", k // 2): k * 50 for k in range(20)}
+
+
+def test_planes_restore_and_soften(spark):
+    from reelspark.operators import planes
+
+    rng = np.random.default_rng(4)
+    dc, ref = rng.integers(-900, 900, (7, 9)), rng.integers(-1, 3, (7, 9))
+    dc[ref < 0] = 0
+    assert (planes.restore_dc(planes.predict_dc(dc, ref), ref) == dc).all()
+    flat = np.full((16, 16), 90)
+    assert (planes.deblock(flat, np.ones((2, 2), bool), 10) == flat).all()
+    step = np.hstack([np.full((16, 8), 90), np.full((16, 8), 98)])
+    soft = planes.deblock(step, np.ones((2, 2), bool), 10)
+    assert 90 < soft[0, 7] < soft[0, 8] < 98 and (soft[:, :7] == 90).all()
+    steep = np.hstack([np.full((16, 8), 0), np.full((16, 8), 255)])
+    assert (planes.deblock(steep, np.ones((2, 2), bool), 10) == steep).all()
+    assert (planes.deblock(step, np.zeros((2, 2), bool), 10) == step).all()
+
+
+def test_encoder_and_decoder_agree(spark):
+    rng = np.random.default_rng(2)
+    cells = np.hstack([rng.integers(0, 256, (64, 1)).repeat(4, 1) + rng.integers(-9, 10, (64, 4)), np.full((64, 2), 128)]).clip(0, 255).astype(np.uint8)
+    entries = rng.integers(0, 64, (32, 4)).astype(np.uint8)
+    yy, xx = np.mgrid[0:32, 0:48]
+    frames = [((yy * 3 + xx * 2 + 9 * k) % 256).astype(np.uint8) for k in range(3)]
+    rows, before = [], np.zeros((32, 48), np.uint8)
+    for k, f in enumerate(frames):
+        data = codecs.encode_frame(f, cells, entries, before, price=4.0)
+        rows.append(("a", k, bytearray(data)))
+        (_, _, _), (_, arg, body) = codecs.chunks(data)
+        before = codecs._draw(codecs.parse_quads(body, arg, 48, 32), cells, entries, before)
+        assert 10 * np.log10(255**2 / np.mean((before.astype(float) - f) ** 2)) > 20
+    out = codecs.decode_video(spark.createDataFrame(rows, "file string, seq long, payload binary"), 48, 32)
+    last = np.zeros((32, 48), int)
+    for r in out.where("frame = 2").collect():
+        last[r.y, r.x] = r.v
+    assert (last == before).all()
