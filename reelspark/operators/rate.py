@@ -103,7 +103,7 @@ def greedy_budget(hulls: DataFrame, frame: str, size_limit: int, entry_cost: int
 def usage(choices: DataFrame, entry: str = "entry") -> DataFrame:
     """Uses of each codebook entry and the number of entries in use."""
     by = choices.where(F.col(entry) >= 0).groupBy(entry).agg(F.count("*").alias("uses"))
-    return by.crossJoin(F.broadcast(by.agg(F.count("*").alias("used"))))
+    return by.withColumn("used", by.agg(F.count("*")).scalar())
 
 
 def size_estimate(codes: Column, data_bytes: Column, cb2: Column, cb4: Column) -> Column:

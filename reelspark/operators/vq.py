@@ -25,6 +25,16 @@ def distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y).cast("long") * (x - y)), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
+def _book(entries: DataFrame) -> Column:
+    """A small codebook (cb_id, cb_vec) as one array: a scalar subquery, evaluated once, so nothing is joined."""
+    return entries.agg(F.sort_array(F.collect_list(F.struct("cb_id", "cb_vec")))).scalar()
+
+
+def nearest(book: Column) -> Column:
+    """Struct (dist, cb_id) of the entry closest to ``vec``; ties to the lowest cb_id."""
+    return F.array_min(F.transform(book, lambda e: F.struct(distance(F.col("vec"), e["cb_vec"]).alias("dist"), e["cb_id"].alias("cb_id"))))
+
+
 def assign(points: DataFrame, codebook: DataFrame, keep: tuple[str, ...] = ("point_id", "vec")) -> DataFrame:
     """Add cb_id and dist of the nearest entry. Points have (point_id, vec), the codebook (cb_id, vec).
 
@@ -34,14 +44,11 @@ def assign(points: DataFrame, codebook: DataFrame, keep: tuple[str, ...] = ("poi
     entries = codebook.select("cb_id", F.col("vec").alias("cb_vec"))
     rows = entries.limit(SMALL_CODEBOOK + 1).count()
     if rows <= SMALL_CODEBOOK:
-        book = entries.agg(F.sort_array(F.collect_list(F.struct("cb_id", "cb_vec"))).alias("book"))
-        best = F.array_min(F.transform("book", lambda e: F.struct(distance(F.col("vec"), e["cb_vec"]).alias("dist"), e["cb_id"].alias("cb_id"))))
-        return points.crossJoin(F.broadcast(book)).withColumn("best", best).select(*keep, "best.cb_id", "best.dist")
+        return points.withColumn("book", _book(entries)).withColumn("best", nearest(F.col("book"))).select(*keep, "best.cb_id", "best.dist")
     # a stated set of entries against all points, in blocks of entries
     blocks = entries.withColumn("block", F.pmod(F.xxhash64("cb_id"), F.lit(-(-rows // SMALL_CODEBOOK) * 4)))
     books = blocks.groupBy("block").agg(F.collect_list(F.struct("cb_id", "cb_vec")).alias("book"))
-    best = F.array_min(F.transform("book", lambda e: F.struct(distance(F.col("vec"), e["cb_vec"]).alias("dist"), e["cb_id"].alias("cb_id"))))
-    met = points.crossJoin(books).select(*keep, best.alias("best"))
+    met = points.crossJoin(books).select(*keep, nearest(F.col("book")).alias("best"))
     near = met.groupBy("point_id").agg(F.min("best").alias("best"))
     return points.join(near, "point_id").select(*keep, "best.cb_id", "best.dist")
 
@@ -85,20 +92,20 @@ def stride_sample(n_points: int, k: int, spark) -> DataFrame:
 
 def nearest_other(codebook: DataFrame) -> DataFrame:
     """(cb_id, other_id, dist): the closest other entry of each entry of a small codebook."""
-    a = codebook.select("cb_id", "vec")
-    b = codebook.select(F.col("cb_id").alias("other_id"), F.col("vec").alias("other"))
-    pairs = a.join(F.broadcast(b), F.col("cb_id") != F.col("other_id")).select("cb_id", F.struct(distance(F.col("vec"), F.col("other")).alias("dist"), "other_id").alias("m"))
-    return pairs.groupBy("cb_id").agg(F.min("m").alias("m")).select("cb_id", "m.other_id", "m.dist")
+    book = _book(codebook.select("cb_id", F.col("vec").alias("cb_vec")))
+    others = F.filter("book", lambda e: e["cb_id"] != F.col("own_id"))
+    rows = codebook.select(F.col("cb_id").alias("own_id"), "vec").withColumn("book", book).withColumn("m", nearest(others))
+    return rows.select(F.col("own_id").alias("cb_id"), F.col("m.cb_id").alias("other_id"), "m.dist")
 
 
 def utility_runs(errors: DataFrame) -> DataFrame:
     """(cb_id, error, cum): running sum of the errors that exceed the mean, by cb_id."""
     from pyspark.sql import Window
 
-    mean = errors.agg((F.sum("error") / F.count("*")).alias("mean"))
-    high = F.when(F.col("error") > F.col("mean"), F.col("error")).otherwise(0)
+    mean = errors.agg(F.sum("error") / F.count("*")).scalar()
     w = Window.orderBy("cb_id").rowsBetween(Window.unboundedPreceding, 0)
-    return errors.crossJoin(F.broadcast(mean)).select("cb_id", "error", F.sum(high).over(w).alias("cum"))
+    high = errors.withColumn("high", F.when(F.col("error") > mean, F.col("error")).otherwise(0))
+    return high.select("cb_id", "error", F.sum("high").over(w).alias("cum"))
 
 
 def pick_by_utility(runs: DataFrame, draws: DataFrame) -> DataFrame:

@@ -75,10 +75,13 @@ def macroblocks(spark, d) -> DataFrame:
     """Order lines as macroblocks of a slice; a difference and, on some lines, a quantiser."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    return table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("slice_id"), F.row_number().over(w).cast("long").alias("mb_addr"), (F.col("l_quantity").cast("long") * 7 - 150).alias("diff"),
-        F.when(F.col("l_partkey") % 3 == 0, F.col("l_partkey") % 31 + 1).alias("q"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"),
+    w = Window.partitionBy("slice_id").orderBy("l_linenumber", "part", "supp", "l_quantity", "l_extendedprice", "l_shipdate")
+    lines = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("slice_id"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"
+    )
+    # named before the window, so that later windows by slice reuse its partitioning
+    return lines.withColumn("mb_addr", F.row_number().over(w).cast("long")).select(
+        "slice_id", "mb_addr", (F.col("l_quantity").cast("long") * 7 - 150).alias("diff"), F.when(F.col("part") % 3 == 0, F.col("part") % 31 + 1).alias("q"), "part", "supp"
     )
 
 

@@ -228,8 +228,9 @@ register(
 def _samples(s, d):
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    return table(s, d, "events").select(F.col("user_id").alias("stream"), n.cast("long").alias("n"), (F.floor(F.col("value") * 4) - 900).cast("long").alias("v"))
+    rows = table(s, d, "events").select(F.col("user_id").alias("stream"), "event_id", (F.floor(F.col("value") * 4) - 900).cast("long").alias("v"))
+    n = F.row_number().over(Window.partitionBy("stream").orderBy("event_id")) - 1
+    return rows.select("stream", n.cast("long").alias("n"), "v")
 
 
 _SAMPLES_SQL = "(select user_id as stream, row_number() over (partition by user_id order by event_id) - 1 as n, cast(floor(value * 4) - 900 as bigint) as v from events)"
