@@ -50,6 +50,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that ``materialise`` wrote; results that read them must be stored first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/reelspark")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(col):
     """Lower-case A-Z only, in the JVM."""
     return F.translate(col, UPPER, LOWER)

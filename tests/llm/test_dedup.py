@@ -145,3 +145,18 @@ def test_components_of_a_long_chain_and_a_hub(spark):
 def test_only_named_columns_are_read(spark):
     odd = frame(spark, [(1, "a"), (2, "a")]).withColumn("src", F.lit(1)).withColumn("n", F.lit("n"))
     assert exact_dedup.exact_groups(odd).count() == near_dedup.near_duplicates(odd).count() == 2
+
+
+def test_release_deletes_intermediate_tables(spark):
+    from reelspark.llm import common
+
+    root, common_dir = "file:" + common.shared_dir(spark), common.shared_dir
+    try:
+        common.shared_dir = lambda _: root + "/own"
+        kept = common.materialise(spark.range(3).toDF("id"), "x")
+        assert kept.count() == 3
+        common.release(spark)
+        with pytest.raises(Exception, match="(?i)exist|not found"):
+            kept.sparkSession.read.parquet(kept.inputFiles()[0]).count()
+    finally:
+        common.shared_dir = common_dir
