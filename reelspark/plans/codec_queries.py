@@ -9,7 +9,7 @@ from ..functions import entropy, pixels
 from ..operators import planes, stream, vq
 from ..sources import headers, scans
 from . import encode
-from .queries import ASSIGNED_SQL, OPTIONS_SQL, assigned, options, packets, pixel_rows, register, table
+from .queries import ASSIGNED_SQL, BLOCKS_SQL, OPTIONS_SQL, assigned, options, packets, pixel_rows, register, table
 
 
 def _symbols(s, d):
@@ -122,3 +122,36 @@ def _dc_blocks(s, d):
 
 register("dc_neighbours", lambda s, d: planes.restore_planes(_dc_blocks(s, d)))
 register("deblock", lambda s, d: planes.deblock_planes(pixel_rows(s), 12))
+
+
+def _slices(s, d):
+    """Order lines as inter macroblocks of one slice an order: a vector and one level each."""
+    from ..sources import slices
+    from .queries import macroblocks
+
+    rows = macroblocks(s, d).select("slice_id", F.struct((F.col("mb_addr") - 1).alias("mb"), (F.col("diff") % 16).alias("y"), (F.col("part") % 16).alias("x"), (F.col("supp") % 64).alias("at"), (F.col("part") % 255 + 1).alias("v")).alias("m"))
+    grouped = rows.groupBy("slice_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for ms in pdf["m"]:
+                items = []
+                for m in ms:
+                    block = [0] * 64
+                    block[int(m["at"])] = int(m["v"])
+                    items.append({"mb_addr": int(m["mb"]), "kind": "fp", "scale": 5, "forward": (int(m["y"]), int(m["x"])), "pattern": 32, "blocks": [block, *[None] * 5]})
+                out.append(slices.build_slice(items, "P", 0, 8, 5))
+            yield pd.DataFrame({"file": "a", "frame": pdf["slice_id"], "picture": "P", "row": 0, "forward": 1, "backward": 1, "payload": out})
+
+    made = grouped.mapInPandas(run, "file string, frame long, picture string, row int, forward int, backward int, payload binary")
+    return slices.macroblocks(made, 8).select(
+        "frame", "mb_addr", "kind", "scale", F.col("forward.y").alias("y"), F.col("forward.x").alias("x"), "pattern", F.array_max(F.col("blocks")[0]).alias("level"), F.array_position(F.col("blocks")[0], F.array_max(F.col("blocks")[0])).alias("place"), "bad"
+    )
+
+
+register(
+    "mpeg_slices", _slices,
+    """select slice_id as frame, mb_addr - 1 as mb_addr, 'fp' as kind, 5 as scale, (diff % 16)::int as y, (part % 16)::int as x, 32 as pattern, (part % 255 + 1)::int as level, (supp % 64 + 1)::bigint as place, null::varchar as bad
+    from """ + BLOCKS_SQL,
+)

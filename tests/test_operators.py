@@ -383,3 +383,59 @@ def test_encoder_and_decoder_agree(spark):
     for r in out.where("frame = 2").collect():
         last[r.y, r.x] = r.v
     assert (last == before).all()
+
+
+def random_macroblocks(rng, kind, f_code):
+    from reelspark.sources import slices
+
+    out, address = [], 8 - 1
+    for _ in range(rng.randrange(1, 9)):
+        address += 1 if not out else rng.choice((1, 1, 1, 2, 40))
+        flags = rng.choice(list(slices.KINDS[kind].values()))
+        intra = "i" in flags
+        pattern = 63 if intra else rng.randrange(1, 64) if "p" in flags else 0
+        blocks = []
+        for k in range(6):
+            if not pattern >> (5 - k) & 1:
+                blocks.append(None)
+                continue
+            b = [0] * 64
+            for _ in range(rng.randrange(1, 9)):
+                b[rng.randrange(64)] = rng.choice((1, -1, 2, -3, 17, -40, 127, -128, 200, -255))
+            if intra:
+                b[0] = rng.randrange(0, 256)
+            if not any(b):
+                b[0] = 1
+            blocks.append(b)
+        half = 16 << (f_code - 1)
+        move = lambda side: tuple(rng.randrange(-half, half) for _ in range(2)) if side in flags else None
+        out.append({"mb_addr": address, "kind": flags, "scale": rng.randrange(1, 32), "forward": move("f"), "backward": move("b"), "pattern": pattern, "blocks": blocks, "bad": None})
+    return out
+
+
+def test_slices_round_trip_and_break_off():
+    from reelspark.sources import slices
+
+    rng = random.Random(12)
+    for kind in "IPB" * 60:
+        f_code = rng.randrange(1, 4)
+        want = random_macroblocks(rng, kind, f_code)
+        scale = 7
+        for m in want:
+            scale = m["scale"] = m["scale"] if "q" in m["kind"] else scale
+        data = slices.build_slice(want, kind, 1, 8, 7, f_code, f_code)
+        assert slices.parse_slice(data, kind, 1, 8, f_code, f_code) == want
+        cut = slices.parse_slice(data[: len(data) // 2], kind, 1, 8, f_code, f_code)
+        assert all(a == b for a, b in zip(cut[:-1], want))
+
+
+def test_prefix_codes_are_complete():
+    from reelspark.sources import slices
+
+    share = lambda table: sum(2.0 ** -len(c) for c in table)
+    assert share(slices.PATTERN) == 1 - 2 / 512 and share(slices.LEVEL) == 1 - 16 / 65536
+    assert slices.LEVEL["000001"] is None and slices.LEVEL["10"] == "end" and slices.LEVEL["0000000000010000"] == (1, 18) and slices.LEVEL["00111"] == (3, 1)
+    for table in (slices.INCREMENT, slices.MOTION, slices.DC_LUMA, slices.DC_CHROMA, slices.PATTERN, slices.LEVEL, *slices.KINDS.values()):
+        codes = sorted(table)
+        assert not any(b.startswith(a) for a, b in zip(codes, codes[1:]))
+    assert len(slices.PATTERN) == 63 and len(slices.LEVEL) == 113
