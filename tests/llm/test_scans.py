@@ -59,6 +59,22 @@ def test_secrets(spark):
     assert secrets.digest(secrets.scan(df.where("doc_id < 0"))).count() == 0
 
 
+def test_secrets_sql(spark):
+    """The registered SQL on awkward texts, entropy spans included."""
+    import duckdb
+    import pandas as pd
+
+    from reelspark.llm.queries import ORACLE_SQL
+
+    rng = random.Random(3)
+    letters = "abcdefABCDEF0123456789+/GHkz=: '\"token"
+    texts = [t for t in TEXTS if "ſ" not in (t or "")] + ["".join(rng.choice(letters) for _ in range(rng.randrange(200))) for _ in range(100)]
+    got = secrets.digest(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLE_SQL["op10_secrets"]).fetchall())
+
+
 # ---------------------------------------------------------------- decontamination
 
 
