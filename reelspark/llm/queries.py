@@ -109,6 +109,38 @@ def _secrets_sql() -> str:
     """
 
 
+def _licenses_sql() -> str:
+    """The licence scan in SQL; paths have one shape here, so the only directory with files is source/lang."""
+    terms = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '{licenses.TERM_GAP}'), lambda x: x <> '')"
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    templates = ", ".join(f"({k}, {quote(name)}, {quote(text)})" for k, (name, text) in enumerate(licenses.TEMPLATES))
+    return f"""
+        with d as (select doc_id, concat_ws('/', source, lang) as dir, coalesce(text, '') as t, {terms("coalesce(text, '')")} as ws from documents),
+        n as (select count(*)::double as n from d),
+        tt as (select tid, license, term, count(*) as tf from (select tid, license, unnest({terms("text")}) as term from (values {templates}) v(tid, license, text)) group by all),
+        df as (select term, count(*) as df from (select distinct doc_id, unnest(ws) as term from d) where term in (select term from tt) group by 1),
+        idf as (select term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 as idf from (select distinct term from tt) left join df using (term), n),
+        tv as (select tid, license, term, tf * idf as w, idf from tt join idf using (term)),
+        v as (select tid, license, term, w / sqrt(sum(w * w) over (partition by tid)) * idf as v from tv),
+        l as (select doc_id, part, line from (select doc_id, unnest(string_split(t, chr(10))) as part, generate_subscripts(string_split(t, chr(10)), 1) - 1 as line from d)
+              where regexp_matches(part, '{licenses.ANCHOR}')),
+        st as (select doc_id, sum(len({terms("part")})) as stated from l group by 1),
+        k as (select d.doc_id, dir, t, length(t) <= 400 and len(ws) <= 24 and coalesce(stated, 0) * 2 >= len(ws) as is_file from d left join st using (doc_id)),
+        p as (select * from l union all select doc_id, t, -1 from k where is_file),
+        sp as (select doc_id, line, term, count(*) as tf from (select doc_id, line, unnest({terms("part")}) as term from p) group by all),
+        si as (select sp.*, coalesce(idf, ln((n + 1) / 2.0) + 1) as idf from sp left join idf using (term), n),
+        nm as (select doc_id, line, sqrt(sum((tf * idf) * (tf * idf))) as norm from si group by 1, 2),
+        pr as (select doc_id, line, tid, license, round(sum(tf * v), 9) as x from si join v using (term) group by all),
+        ea as (select *, round(x / norm, 6) as sim from (select *, row_number() over (partition by doc_id, line order by x desc, tid) as r from pr) join nm using (doc_id, line) where r = 1),
+        own as (select * from (select *, row_number() over (partition by doc_id order by sim desc, tid, line) as best from ea where sim >= {licenses.LEAST}) where best = 1),
+        dirs as (select dir, max(license) as lic, max(sim) as sim from own join k using (doc_id) where is_file group by dir having max(license) = min(license))
+        select k.doc_id, k.dir || '/' || k.doc_id::varchar as path, coalesce(own.license, dirs.lic) as license, coalesce(own.sim, dirs.sim) as similarity,
+               case when own.doc_id is not null then 'own' when dirs.dir is not null then 'inherited' else 'none' end as origin,
+               case when own.doc_id is null then dirs.dir end as from_dir
+        from k left join own using (doc_id) left join dirs on dirs.dir = k.dir
+    """
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality": op2_quality,
@@ -167,3 +199,4 @@ ORACLE_SQL = {
 }
 
 ORACLE_SQL["op10_secrets"] = _secrets_sql()
+ORACLE_SQL["op3_licenses"] = _licenses_sql()
