@@ -122,35 +122,47 @@ def interleave(video: DataFrame, audio: DataFrame, rate: int, num: int, den: int
     v = v.withColumn("target", target_samples(F.col("at"), rate, num, den, readahead))
     a = audio.select("file", F.lit("a").alias("kind"), F.col("stream").cast("int").alias("stream"), F.col("block").alias("ref"), F.col("stop").alias("at"), F.lit(0).cast("long").alias("target"))
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        streams: dict[int, list] = {}
-        syncs = []
-        for kind, s, ref, at, target in zip(*(pdf[c].tolist() for c in ("kind", "stream", "ref", "at", "target"))):
-            if kind == "v":
-                syncs.append((ref, target))
-            else:
-                streams.setdefault(s, []).append((at, ref))
+    def merged(file, syncs: list, streams: dict[int, list]) -> list[tuple]:
         order = sorted(streams)
         for s in order:
             streams[s].sort()
         head, end = dict.fromkeys(order, 0), dict.fromkeys(order, 0)
-        rows = []
+        rows: list[tuple] = []
         for seq, target in sorted(syncs):
             for s in order:
                 blocks, k = streams[s], head[s]
                 if k < len(blocks) and blocks[k][0] <= target and end[s] < target:
                     while k < len(blocks) and end[s] < target:
                         end[s], ref = blocks[k]
-                        rows.append(("a", s, ref, target))
+                        rows.append((file, len(rows), "a", s, ref, target))
                         k += 1
                     head[s] = k
-            rows.append(("v", -1, seq, target))
-        out = pd.DataFrame(rows, columns=["kind", "stream", "ref", "target"])
-        out.insert(0, "file", pdf["file"].iloc[0])
-        out.insert(1, "out", range(len(out)))
-        return out
-
-    return v.unionByName(a).groupBy("file").applyInPandas(merge, f"file {video.schema['file'].dataType.simpleString()}, out long, kind string, stream int, ref long, target long")
+            rows.append((file, len(rows), "v", -1, seq, target))
+        return rows
+
+    def run(batches):
+        names = ["file", "out", "kind", "stream", "ref", "target"]
+        now, syncs, streams, held, begun = None, [], {}, [], False
+        for pdf in batches:
+            for file, kind, s, ref, at, target in zip(*(pdf[c].tolist() for c in ("file", "kind", "stream", "ref", "at", "target"))):
+                if begun and file != now:
+                    held += merged(now, syncs, streams)
+                    syncs, streams = [], {}
+                    if len(held) >= 50_000:
+                        yield pd.DataFrame(held, columns=names)
+                        held = []
+                now, begun = file, True
+                if kind == "v":
+                    syncs.append((ref, target))
+                else:
+                    streams.setdefault(s, []).append((at, ref))
+        if begun:
+            held += merged(now, syncs, streams)
+        yield pd.DataFrame(held, columns=names)
+
+    # files stand together in sorted partitions, so there is no group call for each of many small files
+    rows = v.unionByName(a).where("file is not null").repartition("file").sortWithinPartitions("file")
+    return rows.mapInPandas(run, f"file {video.schema['file'].dataType.simpleString()}, out long, kind string, stream int, ref long, target long")
 
 
 def packet_statistics(packets: DataFrame, file: str = "file", order: str = "seq") -> DataFrame:
