@@ -2,14 +2,14 @@
 
 Every line of every file that names a licence (``ANCHOR``) is a header candidate; of a
 licence file, the whole text is one candidate more. Candidates and templates are sparse
-TF-IDF vectors; document frequencies of the templates' terms are counted over all files,
-and terms outside the templates count in a candidate's length with the weight of a term
-that stands in one file. A file's own licence is the template with the highest cosine, at
-least ``LEAST``. Files without one inherit from the nearest ancestor directory
+TF-IDF vectors; document frequencies of all terms are counted over all files, so a
+candidate's length does not depend on how large the corpus is. A file's own licence is the
+template with the highest cosine, at least ``LEAST``. Files without one inherit from the nearest ancestor directory
 with licence files that agree; a directory whose licence files disagree passes
 nothing down, and hides nothing further up.
 
-All of it is DataFrame operations. What is broadcast is bounded by the templates' terms.
+All of it is DataFrame operations. What is broadcast by hint is bounded by the templates'
+terms; other terms of candidates meet their counts in an equi-join.
 A directory that holds a third of all files costs one row for each file in an equi-join
 with one row for each directory, which the engine may split.
 
@@ -71,10 +71,10 @@ def own_licenses(files: DataFrame, path: Column, text: Column, is_license_file:
     rows = files.select(F.coalesce(path, F.lit("")).alias("path"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(is_license_file, F.lit(False)).alias("is_file"))
     template = _template_terms(spark)
     vocabulary = sorted({r.term for r in template.select("term").distinct().collect()})  # fixed by TEMPLATES
-    known = F.array(*map(F.lit, vocabulary))
-    seen = rows.select(F.explode(F.array_intersect(terms(F.col("text")), known)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    counts = rows.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    counts = materialise(counts, "term-counts")
     total = rows.count()
-    seen = {r.term: r.df for r in seen.collect()}  # at most one row for each term of the templates
+    seen = {r.term: r.df for r in counts.where(F.col("term").isin(vocabulary)).collect()}  # at most one row for each term of the templates
     idf = spark.createDataFrame([(t, seen.get(t, 0)) for t in vocabulary], "term string, df long")
     weight = lambda df: F.log((F.lit(float(total)) + 1) / (df + 1)) + 1
     idf = idf.select("term", weight(F.col("df")).alias("idf"))
@@ -86,10 +86,11 @@ def own_licenses(files: DataFrame, path: Column, text: Column, is_license_file:
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("part"))), lambda s: s["part"].rlike(ANCHOR))
     parts = rows.select("path", "is_file", F.explode(F.concat(lines, F.coalesce(whole, F.slice(lines, 1, 0)))).alias("s")).select("path", "is_file", "s.line", "s.part").distinct()
     spelt = parts.select("path", "is_file", "line", F.explode(terms(F.col("part"))).alias("term")).groupBy("path", "is_file", "line", "term").agg(F.count("*").alias("tf"))
-    spelt = spelt.join(F.broadcast(idf), "term", "left").withColumn("idf", F.coalesce("idf", weight(F.lit(1.0))))
+    named = spelt.join(F.broadcast(idf), "term")
+    others = spelt.join(F.broadcast(idf), "term", "left_anti").join(counts, "term").withColumn("idf", weight(F.col("df"))).drop("df")
     # the length of a candidate rides along as its own row, so one grouping gives products and length
-    length = spelt.select("path", "is_file", "line", F.lit(-1).alias("tid"), F.lit("").alias("license"), F.pow(F.col("tf") * F.col("idf"), 2).alias("x"))
-    products = spelt.join(F.broadcast(vectors), "term").select("path", "is_file", "line", "tid", "license", (F.col("tf") * F.col("v")).alias("x"))
+    length = named.unionByName(others).select("path", "is_file", "line", F.lit(-1).alias("tid"), F.lit("").alias("license"), F.pow(F.col("tf") * F.col("idf"), 2).alias("x"))
+    products = named.join(F.broadcast(vectors), "term").select("path", "is_file", "line", "tid", "license", (F.col("tf") * F.col("v")).alias("x"))
     sums = length.unionByName(products).groupBy("path", "is_file", "line", "tid", "license").agg(F.sum("x").alias("x"))
     each = sums.groupBy("path", "is_file", "line").agg(
         F.sqrt(F.max(F.when(F.col("tid") == -1, F.col("x")))).alias("norm"),

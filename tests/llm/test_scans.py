@@ -202,3 +202,18 @@ def test_licenses(spark):
     assert by["d/e.txt"].origin == "none"  # its directory's licence files disagree
     assert by["z/q.txt"].origin == "none" and by["a/y.py"].license == "Apache-2.0"
     assert licenses.scan(df.where("path = 'no'"), F.col("path"), F.col("text")).count() == 0
+
+
+@pytest.mark.parametrize("copies", [1, 20, 200])
+def test_licence_header_with_ordinary_words_at_any_size(spark, copies):
+    header = "Released under the MIT License by Acme Corp."
+    block = ["code by acme", "the corp of acme", "a corp by the sea", "under the hood", "print", header, "see the file", "released", "mit", "license terms"]
+    files = [(f"p{c}/f{k}", t) for c in range(copies) for k, t in enumerate(block)]
+    df = spark.createDataFrame(files, "path string, text string")
+    got = licenses.own_licenses(df, F.col("path"), F.col("text"), F.lit(False)).where("path like '%/f5'").collect()
+    assert len(got) == copies and {r.license for r in got} == {"MIT"}
+    words = lambda t: [x for x in re.split(r"[^\w]+|_+", t.lower()) if x]
+    idf = lambda x: math.log((len(files) + 1) / (sum(x in words(t) for t in block) * copies + 1)) + 1
+    line, template = ({x: idf(x) for x in words(t)} for t in (header, "Released under the MIT License."))
+    want = sum(line[x] * y for x, y in template.items()) / math.sqrt(sum(y * y for y in line.values()) * sum(y * y for y in template.values()))
+    assert all(abs(r.similarity - want) < 1e-5 for r in got)
