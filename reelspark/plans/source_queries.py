@@ -65,11 +65,11 @@ register("ogg_damage", lambda s, d: scans.ogg_pages(_files(s, d, lambda t: b"jun
 
 
 def _mpeg_of(text: bytes) -> bytes:
-    out = b"\0\0\1\xb3" + bytes([0x14, 0x00, 0xF0, 0x13, 0xFF, 0xFF, 0xE0, 0x18])
-    for k, word in enumerate(text.split()[:40]):
+    out = [b"\0\0\1\xb3" + bytes([0x14, 0x00, 0xF0, 0x13, 0xFF, 0xFF, 0xE0, 0x18])]
+    for k, word in enumerate(text.split()):
         kind = (1, 3, 3, 2)[k % 4]
-        out += b"\0\0\1\0" + bytes([0, kind << 3]) + word + b"\0\0\1\1" + word[::-1]
-    return out
+        out.append(b"\0\0\1\0" + bytes([0, kind << 3]) + word + b"\0\0\1\1" + word[::-1])
+    return b"".join(out)
 
 
 def _marks(s, d):

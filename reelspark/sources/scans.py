@@ -16,6 +16,7 @@ from ..functions.bytes import bits, field, page_crc_bytes
 
 
 GATHER_ROWS, GATHER_BYTES = 20_000, 16 << 20
+MARK_BYTES = 2 << 20
 
 
 def _flat(files: DataFrame, fn, schema: str) -> DataFrame:
@@ -40,16 +41,48 @@ def _flat(files: DataFrame, fn, schema: str) -> DataFrame:
 # ---------------------------------------------------------------- start codes
 
 
-def _start_codes(data: bytes):
-    at = data.find(b"\0\0\1")
-    while 0 <= at < len(data) - 3:
-        yield at, data[at + 3], data[at + 4 : at + 16], len(data)
-        at = data.find(b"\0\0\1", at + 3)
+HEAD = 12
+
+
+def _marks(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    """All start codes of some files; a mark and the bytes behind it stay within their file."""
+    sizes = np.array([len(c) for _, c in held])
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(c for _, c in held) + bytes(HEAD + 4), np.uint8)
+    at = np.flatnonzero(data[: len(data) - 2] == 0)
+    at = at[(data[at + 1] == 0) & (data[at + 2] == 1)]
+    own = np.searchsorted(ends, at, "right")
+    inside = own < len(held)
+    at, own = at[inside], own[inside]
+    keep = at + 3 < ends[own]
+    at, own = at[keep], own[keep]
+    length = np.minimum(HEAD, ends[own] - at - 4)
+    spread = np.arange(HEAD)
+    head = data[at[:, None] + 4 + spread][spread < length[:, None]]
+    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+    heads = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(head.tobytes())])
+    names = pa.array([f for f, _ in held], pa.string()).take(pa.array(own))
+    return pa.RecordBatch.from_arrays(
+        [names, pa.array(at - (ends - sizes)[own]), pa.array(data[at + 3].astype(np.int32)), heads, pa.array(sizes[own])], ["file", "pos", "code", "head", "file_size"]
+    )
 
 
 def start_codes(files: DataFrame) -> DataFrame:
     """(file, pos, code, head, file_size): every 00 00 01 xx with the 12 bytes behind it."""
-    return _flat(files, _start_codes, "file string, pos long, code int, head binary, file_size long")
+
+    def run(batches):
+        for batch in batches:
+            held, size = [], 0
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
+                held.append((file, content.as_py()))
+                size += len(held[-1][1])
+                if size >= MARK_BYTES:  # few large frames, but bounded
+                    yield _marks(held)
+                    held, size = [], 0
+            if held:
+                yield _marks(held)
+
+    return files.select("file", "content").mapInArrow(run, "file string, pos long, code int, head binary, file_size long")
 
 
 #: fixed values: frame rates by code

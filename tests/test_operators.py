@@ -439,3 +439,38 @@ def test_prefix_codes_are_complete():
         codes = sorted(table)
         assert not any(b.startswith(a) for a, b in zip(codes, codes[1:]))
     assert len(slices.PATTERN) == 63 and len(slices.LEVEL) == 113
+
+
+def written(spark, tmp_path, texts):
+    """A folder with a documents table of these texts, numbered from 0."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_start_codes_of_whole_texts(spark, tmp_path):
+    from reelspark.plans import source_queries
+
+    texts = [" ".join(f"w{k}é" for k in range(n)) for n in (0, 1, 39, 40, 41, 500)] + [None]
+    folder = written(spark, tmp_path, texts)
+    marks = {(r.file, r.pos): r for r in source_queries._marks(spark, folder).collect()}
+    want = 0
+    for n, text in enumerate(texts):
+        data = source_queries._mpeg_of((text or "").encode())
+        at = data.find(b"\0\0\1")
+        while 0 <= at < len(data) - 3:
+            r = marks[(str(n), at)]
+            assert (r.code, bytes(r.head), r.file_size) == (data[at + 3], data[at + 4 : at + 16], len(data))
+            want += 1
+            at = data.find(b"\0\0\1", at + 3)
+    assert len(marks) == want == sum(1 + 2 * len((t or "").split()) for t in texts)
+    from reelspark.plans.registry import QUERIES
+
+    kinds = {(r.file, r.kind): r["count"] for r in QUERIES["picture_kinds"](spark, folder).collect()}
+    assert kinds == {(str(n), k): c for n, t in enumerate(texts) for k, i in (("I", (0,)), ("B", (1, 2)), ("P", (3,))) if (c := sum(w % 4 in i for w in range(len((t or "").split()))))}
+
+
+def test_start_codes_at_the_edges_of_files(spark):
+    files = [b"", b"\0\0\1", b"\xb3\0\0", b"\1\0\0\1\5", b"\0\0\1\0\0\0\1", b"\0\0\0\1\7ab"]
+    df = spark.createDataFrame([(str(k), bytearray(c)) for k, c in enumerate(files)], "file string, content binary").coalesce(1)
+    got = sorted((r.file, r.pos, r.code, bytes(r.head), r.file_size) for r in scans.start_codes(df).collect())
+    assert got == [("3", 1, 5, b"", 5), ("4", 0, 0, b"\0\0\1", 7), ("5", 1, 7, b"ab", 7)]
