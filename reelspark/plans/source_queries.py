@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -132,21 +135,44 @@ def _adpcm(s, d):
 register("adpcm_decode", _adpcm)
 
 
-def _adpcm_back(s, d):
-    def run(batches):
-        for pdf in batches:
-            worst = []
-            for t in pdf["text"]:
-                v = [(b - 100) * 100 for b in (t or "").encode()[:400]]
-                v = v[: len(v) // 2 * 2]
-                back = codecs.adpcm_decode(codecs.adpcm_encode(v, 1, 40), 1)
-                worst.append(len(back) == len(v))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "same_length": worst})
+ADPCM_BYTES = 12 << 20
+
 
-    return table(s, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, same_length boolean")
+def _adpcm_samples(text):
+    """One sample a byte of the whole text; an odd last one is repeated, as a byte of codes holds two."""
+    v = (np.frombuffer((text or "").encode(), np.uint8).astype(np.int16) - 100) * 100
+    return np.append(v, v[-1:]) if len(v) % 2 else v
 
 
-register("adpcm_encode", _adpcm_back, "select doc_id, true as same_length from documents")
+def _adpcm_back(s, d):
+    """(doc_id, same_length, n, codes_crc, total): whole texts encoded and decoded again."""
+
+    def coded(ids, held):
+        packets = codecs.adpcm_encode_many(held, 40)
+        back = codecs.adpcm_decode_many(packets)
+        return pd.DataFrame({
+            "doc_id": ids, "same_length": [len(b) == len(v) for b, v in zip(back, held)], "n": [len(b) for b in back],
+            "codes_crc": [zlib.crc32(p) for p in packets], "total": [int(b.sum()) for b in back],
+        })
+
+    def run(batches):
+        for pdf in batches:
+            ids, held, size = [], [], 0
+            for doc_id, t in zip(pdf["doc_id"], pdf["text"]):
+                ids.append(doc_id)
+                held.append(_adpcm_samples(t))
+                size += len(held[-1])
+                if size >= ADPCM_BYTES:  # side by side, but bounded
+                    yield coded(ids, held)
+                    ids, held, size = [], [], 0
+            if held:
+                yield coded(ids, held)
+
+    return table(s, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, same_length boolean, n long, codes_crc long, total long")
+
+
+register("adpcm_encode", lambda s, d: _adpcm_back(s, d).select("doc_id", "same_length"), "select doc_id, true as same_length from documents")
+register("adpcm_codes", lambda s, d: _adpcm_back(s, d).select("doc_id", "n", "codes_crc", "total"))
 
 
 def _video(s, d):
