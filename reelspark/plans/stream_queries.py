@@ -361,7 +361,7 @@ def _bits_back(s, d):
 
 
 register("bit_packing", _bits_back, "select o_orderkey, [o_orderkey % 8, o_custkey % 1024, o_orderkey % 2] as lsb, [o_orderkey % 8, o_custkey % 1024, o_orderkey % 2] as msb from orders")
-register("page_checksum", lambda s, d: _payload(s, d).select("doc_id", B.page_crc(F.substring("payload", 1, 255)).alias("crc")))
+register("page_checksum", lambda s, d: _payload(s, d).select("doc_id", B.page_crc(F.col("payload")).alias("crc")))
 
 
 def _comments():

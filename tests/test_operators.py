@@ -493,3 +493,20 @@ def test_adpcm_codes_of_whole_texts(spark, tmp_path):
     assert all(r.same_length for r in QUERIES["adpcm_encode"](spark, folder).collect())
     wide = [np.array([rng.randrange(-32768, 32768) for _ in range(n)]) for n in (0, 2, 300)]
     assert codecs.adpcm_encode_many(wide, 7) == [codecs.adpcm_encode(v.tolist(), 1, 7) for v in wide]
+
+
+def test_page_checksum_of_whole_texts(spark, tmp_path):
+    from reelspark.plans.registry import QUERIES
+
+    texts = ["a" * 255 + "b", "a" * 255 + "c", "é" * 3000, "123456789", ""]
+    got = {r.doc_id: r.crc for r in QUERIES["page_checksum"](spark, written(spark, tmp_path, texts)).collect()}
+
+    def crc(data):
+        reg = 0
+        for byte in data:
+            reg ^= byte << 24
+            for _ in range(8):
+                reg = (reg << 1 ^ (0x04C11DB7 if reg >> 31 else 0)) & 0xFFFFFFFF
+        return reg
+
+    assert got == {k: crc(t.encode()) for k, t in enumerate(texts)} and got[0] != got[1]
