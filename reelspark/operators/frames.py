@@ -131,11 +131,11 @@ def in_bounds(y: Column, x: Column, dy: Column, dx: Column, size: int, height: i
 def motion_search(current: DataFrame, reference: DataFrame, reach: int = 7, size: int = 4) -> DataFrame:
     """(frame, plane, block_y, block_x, dy, dx, sse): the best whole-pixel vector of each block against the frame before.
 
-    Displacements run from -reach - 1 to reach; ties go to the zero vector, then in scan
+    Displacements run from -reach to reach + 1, those a motion byte can code; ties go to the zero vector, then in scan
     order. Each candidate is one position of an equi-join, so a block costs
     (2 * reach + 2)^2 * size^2 rows; use small frames or a shorter reach.
     """
-    span = F.sequence(F.lit(-reach - 1), F.lit(reach))
+    span = F.sequence(F.lit(-reach), F.lit(reach + 1))
     cur = current.select(
         "frame", "plane", div(F.col("y"), size).alias("block_y"), div(F.col("x"), size).alias("block_x"), "y", "x", "v", F.explode(span).alias("dy")
     ).withColumn("dx", F.explode(span))

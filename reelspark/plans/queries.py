@@ -306,7 +306,7 @@ register(
     f"select frame, block_y, block_x, block_y * 16 + dy >= 0 and block_x * 16 + dx >= 0 and block_y * 16 + dy <= 48 and block_x * 16 + dx <= 48 as inside from {_VECTORS_SQL}",
 )
 register(
-    "motion_search", lambda s, d: frames.motion_search(pixel_rows(s, planes=1), pixel_rows(s, planes=1), reach=3, size=8),
+    "motion_search", lambda s, d: frames.motion_search(pixel_rows(s, planes=1), pixel_rows(s, planes=1), size=8),
     f"""with c as (select a.frame, a.plane, a.y // 8 as block_y, a.x // 8 as block_x, dy, dx, sum((a.v - r.v) * (a.v - r.v))::bigint as sse, count(*) as n
         from {pixel_sql(planes=1)} a, (select unnest(range(-4, 4)) as dy), (select unnest(range(-4, 4)) as dx), {pixel_sql(planes=1)} r
         where r.frame = a.frame - 1 and r.plane = a.plane and r.y = a.y + dy and r.x = a.x + dx group by 1, 2, 3, 4, 5, 6),

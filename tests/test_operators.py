@@ -510,3 +510,28 @@ def test_page_checksum_of_whole_texts(spark, tmp_path):
         return reg
 
     assert got == {k: crc(t.encode()) for k, t in enumerate(texts)} and got[0] != got[1]
+
+
+@pytest.mark.parametrize("move", [(8, 8), (-7, 8), (8, -7), (-7, -7), (0, 5), (-8, 0)])
+def test_motion_search_finds_far_moves(spark, move):
+    from reelspark.operators import frames
+
+    side, size, rng = 24, 4, np.random.RandomState(5)
+    old = rng.randint(0, 256, (side, side))
+    dy, dx = move
+    new = np.roll(old, (-dy, -dx), (0, 1))  # pixel (y, x) of the new frame stands at (y + dy, x + dx) of the old one
+    rows = [(f, 0, y, x, int(px[y, x])) for f, px in ((0, old), (1, new)) for y in range(side) for x in range(side)]
+    df = spark.createDataFrame(rows, "frame long, plane int, y int, x int, v int")
+    got = {(r.block_y, r.block_x): (r.dy, r.dx, r.sse) for r in frames.motion_search(df, df).collect()}
+    assert len(got) == (side // size) ** 2
+    for (by, bx), found in got.items():
+        block, best = new[by * size : (by + 1) * size, bx * size : (bx + 1) * size], None
+        for j in range(-7, 9):
+            for i in range(-7, 9):
+                y, x = by * size + j, bx * size + i
+                if 0 <= y <= side - size and 0 <= x <= side - size:
+                    rank = (int(((block - old[y : y + size, x : x + size]) ** 2).sum()), (j, i) != (0, 0), j, i)
+                    best = rank if best is None else min(best, rank)
+        assert found == (best[2], best[3], best[0])
+    if dy >= -7:
+        assert any(v == (dy, dx, 0) for v in got.values())
