@@ -136,6 +136,7 @@ def expand_codebook(indexes: DataFrame, cb4: DataFrame, cb2: DataFrame) -> DataF
 def elbg(points: DataFrame, codebook: DataFrame, max_steps: int = 5, least_gain: float = 0.1, materialise=lambda df, label: df) -> DataFrame:
     """Refine a codebook until the error falls by at most ``least_gain`` of itself: (cb_id, vec).
 
+    This is plain k-means: cells are not shifted (``shift_cells`` is not called).
     Each step is one pass over the points, with nothing but the codebook and one number
     on the driver. ``materialise`` writes the codebook of a step to shared storage.
     """
