@@ -75,21 +75,26 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _secrets_sql() -> str:
     """The scan in SQL: matches placed by the gaps between them, entropies counted anew for each window."""
-    patterns = {"assign": secrets.ASSIGN, "access": secrets.ACCESS, "hex": secrets.HEX} | {k: v[0] for k, v in secrets.CLASSES.items()}
-    quoted = {k: "'" + v.replace("'", "''") + "'" for k, v in patterns.items()}
-    cut = ", ".join(f"regexp_extract_all(t, {q}) as m_{k}, regexp_split_to_array(t, {q}) as g_{k}" for k, q in quoted.items())
+    base = {"assign": secrets.ASSIGN, "access": secrets.ACCESS, "hex": secrets.HEX}
+    quoted = {k: "'" + v.replace("'", "''") + "'" for k, v in (base | {k: v[0] for k, v in secrets.CLASSES.items()}).items()}
+    cut = lambda t, kinds: ", ".join(f"regexp_extract_all({t}, {quoted[k]}) as m_{k}, regexp_split_to_array({t}, {quoted[k]}) as g_{k}" for k in kinds)
     total = lambda x: f"coalesce(list_sum(list_transform({x}, lambda x: length(x))), 0)"
-    placed = ", ".join(
-        f"list_transform(range(1, len(m_{k}) + 1), lambda i: {{'m': m_{k}[i], 's': ({total(f'g_{k}[1:i]')} + {total(f'm_{k}[1:i - 1]')})::bigint}}) as {k}" for k in patterns
+    placed = lambda kinds: ", ".join(
+        f"list_transform(range(1, len(m_{k}) + 1), lambda i: {{'m': m_{k}[i], 's': ({total(f'g_{k}[1:i]')} + {total(f'm_{k}[1:i - 1]')})::bigint}}) as {k}" for k in kinds
     )
     spans = lambda k: f"list_transform({k}, lambda x: {{'s': x.s, 'k': {secrets.KINDS.index(k)}, 'e': x.s + length(x.m)}})"
+    enough = lambda m: f"length(regexp_extract({m}, {quoted['assign']}, 2)) >= 8"
+
+    def blanked(t: str, kind: str) -> str:
+        g, m = f"regexp_split_to_array({t}, {quoted[kind]})", f"regexp_extract_all({t}, {quoted[kind]})"
+        spaces = "repeat(' ', length(m[i]))"
+        one = f"case when {enough('m[i]')} then {spaces} else m[i] end" if kind == "assign" else spaces
+        return f"(select array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce({one}, '')), '') from (select {g} as g, {m} as m))"
 
     def suspects(kind: str) -> str:
         _, _, window, bits = secrets.CLASSES[kind]
-        low = "lower(x.m)" if kind == "hexent" else "x.m"
-        shapes = ("[0-9]", "[A-Za-z]") if kind == "hexent" else ("[0-9]", "[a-z]", "[A-Z]")
-        tests = [f"regexp_matches(x.m, '{r}')" for r in shapes] + [f"not contains(lower(x.m), '{w}')" for w in secrets.ALLOWED]
-        tests.append("len(list_filter(base, lambda b: b.s < x.s + length(x.m) and x.s < b.e)) = 0")
+        low = "lower(x.m)" if kind in secrets.FOLDED else "x.m"
+        tests = [f"regexp_matches(x.m, '{r}')" for r in secrets.NEEDED[kind]] + [f"not contains(lower(x.m), '{w}')" for w in secrets.ALLOWED]
         count = f"{secrets.nlogn(window)}[length(w) - length(replace(w, c, '')) + 1]"
         windows = f"list_transform(range(1, length(x.m) - {window} + 2), lambda i: substring({low}, i, {window}))"
         least = f"list_min(list_transform({windows}, lambda w: list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: {count}))))"
@@ -97,15 +102,21 @@ def _secrets_sql() -> str:
 
     names = str(list(secrets.KINDS))
     joined = lambda x: f"coalesce(array_to_string(list_transform(list_sort({x}), lambda x: {names}[x.k + 1] || ':' || x.s || ':' || x.e), ','), '')"
+    added = "base"
+    for k in secrets.CLASSES:
+        added = f"list_concat({added}, e_{k})"
+    listed = ", ".join(spans(k).replace(f"list_transform({k},", f"list_transform(s_{k},") + f" as e_{k}" for k in secrets.CLASSES)
     return f"""
         with t as (select doc_id, coalesce(text, '') as t from documents),
-        g as (select doc_id, {cut} from t), p as (select doc_id, {placed} from g),
-        a as (select * replace (list_filter(assign, lambda x: length(regexp_extract(x.m, {quoted['assign']}, 2)) >= 8) as assign) from p),
+        t1 as (select doc_id, t, {blanked('t', 'assign')} as r from t), t2 as (select doc_id, t, {blanked('r', 'access')} as r from t1),
+        t3 as (select doc_id, t, {blanked('r', 'hex')} as r from t2),
+        g as (select doc_id, {cut('t', base)}, {cut('r', secrets.CLASSES)} from t3), p as (select doc_id, {placed(quoted)} from g),
+        a as (select * replace (list_filter(assign, lambda x: {enough('x.m')}) as assign) from p),
         b as (select *, list_concat(list_concat({spans('assign')}, {spans('access')}), {spans('hex')}) as base from a),
         f as (select *, {', '.join(f'{suspects(k)} as s_{k}' for k in secrets.CLASSES)} from b),
-        e as (select *, {' , '.join(f'{spans(k).replace(f"list_transform({k},", f"list_transform(s_{k},")} as e_{k}' for k in secrets.CLASSES)} from f)
+        e as (select *, {listed} from f)
         select doc_id, len(assign) as n_assign, len(access) as n_access, len(hex) as n_hex, sha256({joined('base')}) as base_sha256,
-               {joined(f"list_concat(list_concat(base, e_{list(secrets.CLASSES)[0]}), e_{list(secrets.CLASSES)[1]})")} as spans from e
+               {joined(added)} as spans from e
     """
 
 
