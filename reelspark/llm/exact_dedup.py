@@ -1,10 +1,11 @@
 """Exact dedup by composable polynomial fingerprints.
 
 A text's fingerprint is (length, two polynomials over its normalised bytes modulo a
-prime). Chunks are hashed side by side (one matrix product for all chunks of a
-text) and combined by length-shifted arithmetic, h(AB) = h(A) * r^|B| + h(B), so a
-huge text never needs one long pass. Equal fingerprints only nominate: the texts of
-a group are then cut into chunks, and the chunks of each number are compared. A group
+prime). Chunks are hashed side by side (one matrix product for ``STRIDE`` chunks of a
+text) and combined by length-shifted arithmetic, h(AB) = h(A) * r^|B| + h(B). A huge text
+is lower-cased, hashed and digested a stride at a time, so beside the text itself only
+temporaries of a stride (9 bytes a byte) are in memory. Equal fingerprints only nominate: the
+texts of a group are then cut into chunks, and the chunks of each number are compared. A group
 with unlike chunks falls apart by its texts' digests.
 
 A hot group (a third of all rows may be equal) is counted and compared by partial
@@ -22,16 +23,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, lower_bytes, materialise, text_buffer
+from .common import ascii_lower, lower_bytes, materialise, text_buffer
 
 PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 1_664_525_101)
 CHUNK = 1 << 14
-
-_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+STRIDE = 64  # chunks of a text whose temporaries are in memory at once
 
 
 def powers(base: int, n: int, prime: int = PRIME) -> np.ndarray:
@@ -47,23 +47,26 @@ def combine(left: int, right: int, right_length: int, base: int, prime: int = PR
     return (left * pow(base, right_length, prime) + right) % prime
 
 
-def fingerprint(data: np.ndarray, tables: list[np.ndarray], bases=BASES, prime: int = PRIME, chunk: int = CHUNK) -> tuple[int, ...]:
-    """The polynomials of a text's bytes: whole chunks in one product, then combined."""
-    whole = len(data) // chunk
-    wide = data.astype(np.uint64) + np.uint64(1)
-    out = []
-    for base, table in zip(bases, tables):
-        h = 0
-        if whole:
-            heads = (wide[: whole * chunk].reshape(whole, chunk) @ table) % np.uint64(prime)
-            shift = pow(base, chunk, prime)
-            for v in heads.tolist():
-                h = (h * shift + v) % prime
-        rest = len(data) - whole * chunk
-        if rest:
-            tail = int(wide[whole * chunk :] @ table[chunk - rest :]) % prime
-            h = combine(h, tail, rest, base, prime)
-        out.append(h)
+def fingerprint(data: np.ndarray, tables: list[np.ndarray], bases=BASES, prime: int = PRIME, chunk: int = CHUNK, seen=None) -> tuple[int, ...]:
+    """The polynomials of a text's bytes, lower-cased in A-Z: a stride's whole chunks in one product, then combined.
+
+    ``seen`` is called with the normalised bytes, a stride at a time.
+    """
+    out = [0] * len(bases)
+    for at in range(0, len(data), STRIDE * chunk):
+        low = lower_bytes(data[at : at + STRIDE * chunk])
+        if seen is not None:
+            seen(low)
+        whole = len(low) // chunk
+        rest = len(low) - whole * chunk
+        wide = low.astype(np.uint64) + np.uint64(1)
+        for k, (base, table) in enumerate(zip(bases, tables)):
+            if whole:
+                shift = pow(base, chunk, prime)
+                for v in ((wide[: whole * chunk].reshape(whole, chunk) @ table) % np.uint64(prime)).tolist():
+                    out[k] = (out[k] * shift + v) % prime
+            if rest:
+                out[k] = combine(out[k], int(wide[whole * chunk :] @ table[chunk - rest :]) % prime, rest, base, prime)
     return tuple(out)
 
 
@@ -72,14 +75,13 @@ def _digests(prime: int, chunk: int):
         tables = [powers(b % prime, chunk, prime) for b in BASES]
         for batch in batches:
             buf, off = text_buffer(batch.column(1))
-            low = lower_bytes(buf)
             f1, f2, sha = [], [], []
             for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-                data = low[a:b]
-                x, y = fingerprint(data, tables, prime=prime, chunk=chunk)
+                digest = hashlib.sha256()
+                x, y = fingerprint(buf[a:b], tables, prime=prime, chunk=chunk, seen=digest.update)
                 f1.append(x)
                 f2.append(y)
-                sha.append(hashlib.sha256(data).hexdigest())
+                sha.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(np.diff(off)), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sha, pa.string())],
                 ["doc_id", "n_bytes", "f1", "f2", "text_sha256"],
@@ -88,18 +90,23 @@ def _digests(prime: int, chunk: int):
     return run
 
 
+def folded_sha256(text: Column) -> Column:
+    """The digest by which a row's text is known: that of the text lower-cased in A-Z; null is empty."""
+    return F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256)
+
+
 def _mixed(docs: DataFrame, digests: DataFrame, finger: list[str], chunk: int) -> DataFrame:
     """Fingerprints whose texts differ, found by comparing the texts chunk by chunk.
 
     Each nominated text is cut into chunks; equal chunks of a fingerprint and chunk
-    number collapse before the shuffle, so a group of any size sends one row a task.
+    number collapse before the shuffle, so a group of any size sends one row a task. A row
+    finds its fingerprint by id and digest, so ids that very many texts share make no pairs.
     """
     nominated = digests.join(digests.groupBy(*finger).agg(F.count("*").alias("rows")).where("rows > 1").drop("rows"), finger)
-    keyed = docs.select("doc_id", "text").join(
+    keyed = docs.select("doc_id", ascii_lower(F.col("text")).alias("low"), folded_sha256(F.col("text")).alias("sha")).join(
         nominated.select(F.col("doc_id").alias("n_id"), "text_sha256", *finger).hint("shuffle_hash"),
-        F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.octet_length("text") == F.col("n_bytes")),
+        F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("sha") == F.col("text_sha256")),
     )
-    keyed = keyed.withColumn("low", ascii_lower(F.col("text"))).where(F.sha2(F.col("low"), 256) == F.col("text_sha256"))
     last = F.greatest(F.lit(0), F.ceil(F.length("low") / chunk).cast("int") - 1)
     parts = keyed.select(*finger, "low", F.explode(F.sequence(F.lit(0), last)).alias("no"))
     parts = parts.select(*finger, "no", F.substring("low", F.col("no") * chunk + 1, F.lit(chunk)).alias("part"))

@@ -44,6 +44,13 @@ def test_exact_groups(spark, prime, chunk):
     assert sum(r.kept for r in got) == len(groups)
 
 
+def test_one_id_of_very_many_texts(spark):
+    """All rows share one id, or have none: every text is still its own group."""
+    rows = [(5, f"text {k % 1500}") for k in range(3000)] + [(None, f"Text {k}") for k in range(1500)]
+    got = exact_dedup.exact_groups(frame(spark, rows)).collect()
+    assert len(got) == 4500 and {r.group_size for r in got} == {3} and {r.keep_id for r in got} == {5} and sum(r.kept for r in got) == 1500
+
+
 def test_exact_groups_of_nothing(spark):
     assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
 
@@ -51,6 +58,8 @@ def test_exact_groups_of_nothing(spark):
 def test_fingerprints_compose():
     rng = np.random.default_rng(0)
     data = rng.integers(0, 256, 5000).astype(np.uint8)
+    data = data[(data < 65) | (data > 90)]  # lower case already
+    n = len(data)
     tables = [exact_dedup.powers(b, 64) for b in exact_dedup.BASES]
     whole = exact_dedup.fingerprint(data, tables, chunk=64)
     naive = [0, 0]
@@ -58,7 +67,25 @@ def test_fingerprints_compose():
         naive = [(h * b + v + 1) % exact_dedup.PRIME for h, b in zip(naive, exact_dedup.BASES)]
     assert list(whole) == naive
     left, right = (exact_dedup.fingerprint(d, tables, chunk=64) for d in (data[:1234], data[1234:]))
-    assert tuple(exact_dedup.combine(a, b, 5000 - 1234, base) for a, b, base in zip(left, right, exact_dedup.BASES)) == whole
+    assert tuple(exact_dedup.combine(a, b, n - 1234, base) for a, b, base in zip(left, right, exact_dedup.BASES)) == whole
+
+
+def test_fingerprint_of_a_huge_text_in_bounded_memory():
+    """200 MB are hashed with temporaries of a few strides, and as if in one piece."""
+    import tracemalloc
+
+    text = np.tile(np.frombuffer(b"Huge TEXT, " * 1000, np.uint8), 18_000)
+    tables = [exact_dedup.powers(b, exact_dedup.CHUNK) for b in exact_dedup.BASES]
+    digest = hashlib.sha256()
+    tracemalloc.start()
+    got = exact_dedup.fingerprint(text, tables, seen=digest.update)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    assert digest.hexdigest() == hashlib.sha256(text.tobytes().lower()).hexdigest()
+    half = len(text) // 2
+    parts = [exact_dedup.fingerprint(t, tables) for t in (text[:half], text[half:])]
+    assert got == tuple(exact_dedup.combine(a, b, len(text) - half, base) for a, b, base in zip(*parts, exact_dedup.BASES))
 
 
 def sets_of(rows, width):
