@@ -1,9 +1,10 @@
 """A corpus pipeline: five stages over ``documents``, each a decision that takes effect.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of
-documents; the last returns token ids. Rows are chosen by semi or anti joins on the id,
-so documents' columns pass through whatever their names. Stages never lose a row
-but by their own decision: rows with a null id are judged by none of the joins and stay.
+documents; the last returns token ids. Rows are chosen by semi or anti joins, so documents'
+columns pass through whatever their names. Stages never lose a row but by their own
+decision. Exact copies are told apart by id and text, so an id may repeat and may be
+null (the smallest); the other decisions go by id, and rows with a null id stay.
 """
 
 from __future__ import annotations
@@ -27,11 +28,23 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays."""
+    """Of equal texts (lower-cased in A-Z; null is empty), one row with the largest doc_id stays.
+
+    A row is known by its id and the digest of its text. Of several rows that have both
+    in common, the one whose text is smallest stays, and any one of those with equal text.
+    """
     groups = materialise(exact_dedup.exact_groups(docs), "exact-groups")
-    kept = _without(docs, groups.where("doc_id <> keep_id").select(F.col("doc_id").alias("drop_id")).distinct())
-    repeated = not groups.where("doc_id = keep_id and not kept").isEmpty()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    stay = groups.groupBy(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha")).agg(F.max("kept").alias("kept"), F.count("*").alias("copies")).where("kept")
+    rows = docs.select(F.struct("*").alias("row"), exact_dedup.folded_sha256(F.col("text")).alias("sha"))
+
+    def among(keys: DataFrame) -> DataFrame:
+        return rows.join(keys, F.col("row.doc_id").eqNullSafe(F.col("k_id")) & (F.col("sha") == F.col("k_sha")), "left_semi")
+
+    kept = among(stay.where("copies = 1")).select("row.*")
+    if stay.where("copies > 1").isEmpty():
+        return kept
+    one = among(stay.where("copies > 1")).groupBy("row.doc_id", "sha").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
+    return kept.union(one.select("row.*"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
