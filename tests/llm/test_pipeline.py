@@ -81,6 +81,27 @@ def test_repeated_rows_leave_one(spark, sf_dir):
     assert exact_dedup.exact_groups(docs).where("kept").count() == 2
 
 
+EXACT = [
+    [(4, "same"), (9, "same"), (4, "unique text of id four")],
+    [(7, "Q"), (7, "q")],
+    [(None, "a"), (None, "A"), (None, "b"), (3, "B"), (None, None), (None, "")],
+    [(1, "x"), (1, "X"), (1, "y"), (2, "Y"), (2, "Y"), (2, "z"), (None, "Z"), (None, "w")],
+    [(5, None), (6, ""), (6, None), (5, " ")],
+]
+
+
+@pytest.mark.parametrize("rows", EXACT)
+def test_exact_stage_loses_no_unique_text(spark, sf_dir, rows):
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, k_id int")
+    got = corpus_pipeline.drop_exact_copies(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    best = {}
+    for i, t in rows:
+        best[lower(t)] = max(best.get(lower(t), -1), -1 if i is None else i)
+    out = [(lower(r.text), -1 if r.doc_id is None else r.doc_id) for r in got.collect()]
+    assert sorted(out) == sorted(best.items())
+
+
 def test_registration():
     queries = __spark_entry__.queries()
     assert {n for n in queries if n.startswith("op")} == set(QUERIES) and len(QUERIES) == 10
