@@ -2,16 +2,19 @@
 
 A text, with one space put before it, is cut into units: a run of spaces with the run of
 other characters behind it. No piece of the vocabulary reaches from a character into a
-following space, so the lattice of a text is a chain of its units' lattices. For each
+following space (``load`` checks this), so the lattice of a text is a chain of its units' lattices. For each
 distinct unit of a batch the forward sums over all segmentations are computed once
 (in logarithms, all units side by side); then every occurrence draws its pieces from
-the end backwards. The draws hash (seed, row key, number of the unit in the text, step),
+the end backwards. A unit of more than ``LONG_BYTES`` has one lattice too, walked byte by byte in
+windows: the forward pass keeps only the sums before each window's start, and the backward pass
+works a window out again when it gets there, so memory is bounded by a window and time is
+in proportion to the length. The draws hash (seed, row key, number of the unit in the text, step),
 so a row's segmentation is the same in any batch, partition or run.
 
 A piece's weight is its rank's: p ~ 1 / (rank + SHIFT), to the power ``alpha`` (0: all
 segmentations alike; large: few long pieces). Characters without a piece are written as
 byte pieces, one for each byte, and so is a literal U+2581, which would else decode to a
-space. Units are cut every UNIT_BYTES bytes, at a character's start, to bound the lattice.
+space.
 
 Defined results: null and empty texts have no pieces and decode to the empty text; a null
 row key counts as 0; rows may repeat (equal key and text give equal pieces). Only the
@@ -22,6 +25,7 @@ driver; executors get the pieces with the task.
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +39,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHIFT = 50.0
 ALPHA = 0.7
 SEED = 20_240_101
-UNIT_BYTES = 512
+LONG_BYTES = 512  # units beyond this are walked on their own
+WINDOW = 1 << 15  # bytes of a long unit whose lattice is in memory at once
 LATTICE_BYTES = 1 << 19  # text whose lattices are in memory at once
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 0xD1B54A32D192ED03
@@ -107,7 +112,10 @@ def load(model: str = MODEL) -> Vocabulary:
         elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
             pieces.append(b"")
         else:
-            pieces.append(name.replace("▁", " ").encode())
+            plain = name.replace("▁", " ")
+            if " " in plain.lstrip(" ") and plain.strip(" "):
+                raise ValueError(f"piece {name!r} reaches into a space, so texts can't be cut into units")
+            pieces.append(plain.encode())
             normal[i] = True
     if (byte_ids < 0).any():
         raise ValueError("the vocabulary has no byte pieces, so not every text could be encoded")
@@ -142,19 +150,7 @@ def _units(buf: np.ndarray, starts: np.ndarray, vocabulary: Vocabulary):
     first[:-1] |= forced
     first[1:] |= forced
     first[starts] = True
-    at = np.flatnonzero(first[:-1])
-    size = np.diff(np.concatenate([at, [len(buf)]]))
-    if len(size) and size.max() > UNIT_BYTES:  # cut long units at characters' starts
-        more = []
-        for a, n in zip(at[size > UNIT_BYTES].tolist(), size[size > UNIT_BYTES].tolist()):
-            cut = a + UNIT_BYTES
-            while cut < a + n:
-                while not lead[cut]:
-                    cut -= 1
-                more.append(cut)
-                cut += UNIT_BYTES
-        at = np.sort(np.concatenate([at, np.array(more, at.dtype)]))
-    return at, forced
+    return np.flatnonzero(first[:-1]), forced
 
 
 def _lattice(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, forced: np.ndarray, vocabulary: Vocabulary, alpha: float):
@@ -228,6 +224,68 @@ def _uniform(key: np.ndarray, step: int) -> np.ndarray:
     return (mix(key + np.uint64((step + 1) * _STEP % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
+class LongUnit:
+    """The lattice of one long unit, forward in windows and backward from their kept starts.
+
+    Bytes of a long unit are never forced: those are units of their own.
+    """
+
+    def __init__(self, data: np.ndarray, vocabulary: Vocabulary, alpha: float):
+        self.data, self.vocabulary, self.alpha = data, vocabulary, alpha
+        self.reach = int(vocabulary.length.max())
+        self.kept = {0: [0.0]}  # window start -> forward sums of the last ``reach`` nodes up to it
+        sums = [0.0]
+        for a in range(0, len(data), WINDOW):
+            sums = self._walk(a, sums)[0]
+            self.kept[a + WINDOW] = sums = sums[-self.reach :]
+
+    def _walk(self, a: int, sums: list[float]):
+        """Forward sums after ``sums`` (they end at node ``a``) up to the window's end, and its nodes' edges."""
+        b = min(a + WINDOW, len(self.data))
+        low = a + 1 - len(sums)  # the first node that a piece may start from
+        table, ids, _ = self.vocabulary.trie
+        view = self.data[low:b]
+        edges: list[list[tuple[int, int]]] = [[] for _ in range(b - a)]
+        live, node, step = np.arange(len(view)), np.ones(len(view), np.int32), 0
+        while len(live):
+            node = table[node, view[live + step]]
+            step += 1
+            found = ids[node]
+            hit = (found >= 0) & (live + step > a - low)
+            for tail, piece in zip((live[hit] + low).tolist(), found[hit].tolist()):
+                edges[tail + step - a - 1].append((tail, piece))
+            on = (node > 0) & (live + step < len(view))
+            live, node = live[on], node[on]
+        weight = self.vocabulary.log_weight
+        sums = list(sums)
+        for own in edges:
+            own.sort()
+            v = [sums[tail - low] + weight[piece] * self.alpha for tail, piece in own]
+            top = max(v, default=-math.inf)
+            sums.append(top + math.log(sum(math.exp(x - top) for x in v)) if top > -math.inf else -math.inf)
+        return sums, edges, low
+
+    def sample(self, key: int) -> list[int]:
+        """Pieces from the end backwards, drawn as those of short units are."""
+        node, step, out = len(self.data), 0, []
+        weight = self.vocabulary.log_weight
+        keys = np.array([key], np.uint64)
+        for a in range((len(self.data) - 1) // WINDOW * WINDOW, -1, -WINDOW):
+            sums, edges, low = self._walk(a, self.kept[a])
+            while node > a:
+                own = edges[node - a - 1]
+                goal, run, pick = float(_uniform(keys, step)[0]), 0.0, own[-1]
+                for tail, piece in own:
+                    run += math.exp(sums[tail - low] + weight[piece] * self.alpha - sums[node - low])
+                    if goal < run:
+                        pick = (tail, piece)
+                        break
+                out.append(pick[1])
+                node = pick[0]
+                step += 1
+        return out
+
+
 def sample_slice(buf: np.ndarray, offsets: np.ndarray, keys: np.ndarray, vocabulary: Vocabulary, alpha: float, seed: int):
     """Piece ids of all texts of a slice, and offsets into them by text."""
     n = len(offsets) - 1
@@ -243,15 +301,37 @@ def sample_slice(buf: np.ndarray, offsets: np.ndarray, keys: np.ndarray, vocabul
     text = np.searchsorted(begin[full], at, "right") - 1
     text = np.flatnonzero(full)[text] if len(text) else text
     nth = np.arange(len(at)) - np.searchsorted(at, begin)[text] if len(at) else at
+    row = mix(mix(keys.astype(np.int64).view(np.uint64) + np.uint64(seed)) + _GOLD)
+    key = mix(row[text] ^ (nth.astype(np.uint64) * _GOLD))
+    short = np.flatnonzero(size <= LONG_BYTES)
+    steps = _sample_short(spaced, at[short], size[short], forced, key[short], vocabulary, alpha)
+    steps = [(short[who], ids) for who, ids in steps]
+    own = {}
+    for i in np.flatnonzero(size > LONG_BYTES).tolist():
+        own[i] = np.array(LongUnit(spaced[at[i] : at[i] + size[i]], vocabulary, alpha).sample(int(key[i])), np.int32)
+    counts = np.zeros(len(at), np.int64)
+    for who, _ in steps:
+        counts[who] += 1
+    for i, ids in own.items():
+        counts[i] = len(ids)
+    end = np.cumsum(counts)
+    out = np.zeros(int(end[-1]) if len(end) else 0, np.int32)
+    for k, (who, ids) in enumerate(steps):
+        out[end[who] - 1 - k] = ids
+    for i, ids in own.items():
+        out[end[i] - len(ids) : end[i]] = ids[::-1]
+    per_text = np.bincount(text, counts, n).astype(np.int64) if len(at) else np.zeros(n, np.int64)
+    return out, np.concatenate([[0], np.cumsum(per_text)])
+
+
+def _sample_short(spaced, at, size, forced, key, vocabulary: Vocabulary, alpha: float):
+    """Draws of units side by side: for each step back from the end, the units that made it and their pieces."""
     hashes = mix(span_hashes(spaced, at, at + size) + forced[at] * _GOLD)
     _, some, unit = np.unique(hashes, return_index=True, return_inverse=True)
     base, first, tail, piece, cdf = _lattice(spaced, at[some], size[some], forced, vocabulary, alpha)
-    row = mix(mix(keys.astype(np.int64).view(np.uint64) + np.uint64(seed)) + _GOLD)
-    key = mix(row[text] ^ (nth.astype(np.uint64) * _GOLD))
     node = base[unit + 1] - 1
     goal = base[unit]
     live = np.arange(len(at))
-    counts = np.zeros(len(at), np.int64)
     steps = []
     step = 0
     while len(live):
@@ -262,16 +342,10 @@ def sample_slice(buf: np.ndarray, offsets: np.ndarray, keys: np.ndarray, vocabul
             edge[late] += 1
             late = late[u[late] >= cdf[edge[late]]]
         steps.append((live, piece[edge]))
-        counts[live] += 1
         node[live] = tail[edge]
         live = live[node[live] > goal[live]]
         step += 1
-    end = np.cumsum(counts)
-    out = np.zeros(int(end[-1]) if len(end) else 0, np.int32)
-    for k, (who, ids) in enumerate(steps):
-        out[end[who] - 1 - k] = ids
-    per_text = np.bincount(text, counts, n).astype(np.int64) if len(at) else np.zeros(n, np.int64)
-    return out, np.concatenate([[0], np.cumsum(per_text)])
+    return steps
 
 
 def decode_ids(ids: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> list[bytes]:

@@ -47,6 +47,55 @@ def test_draws_follow_the_lattice():
         assert abs(got[s] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-4
 
 
+@pytest.mark.parametrize("window", [3, 7, 1 << 15])
+def test_long_units_draw_alike(monkeypatch, window):
+    """A unit walked in windows gives the pieces that it gives beside short units, whatever the window."""
+    v = tiny()
+    rng = random.Random(window)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 60))) + "é" * (k % 3) for k in range(150)]
+    buf, off = text_buffer(pa.array(texts))
+    want, ends = pieces.sample_slice(buf, off, np.arange(150), v, 0.8, 6)
+    monkeypatch.setattr(pieces, "LONG_BYTES", 0)
+    monkeypatch.setattr(pieces, "WINDOW", window)
+    got, at = pieces.sample_slice(buf, off, np.arange(150), v, 0.8, 6)
+    assert at.tolist() == ends.tolist() and got.tolist() == want.tolist()
+
+
+def test_long_units_are_one_lattice(monkeypatch):
+    """Pieces across byte 512 of a unit are drawn as often as those elsewhere; a long unit takes bounded memory."""
+    import tracemalloc
+
+    v = tiny()
+    buf, off = text_buffer(pa.array(["ab" * 400] * 300))
+    ids, at = pieces.sample_slice(buf, off, np.arange(300), v, 1.0, 5)
+    across = collections.Counter()
+    for a, b in itertools.pairwise(at):
+        ends = set(np.cumsum(v.length[ids[a:b]]).tolist())
+        across.update(k for k in (510, 511, 512, 513, 514) if k not in ends)
+    assert across[512] > 0.7 * max(across[510], across[514]) and across[511] > 0.7 * across[513]
+    data = np.frombuffer(b"ab" * 20_000, np.uint8)
+    monkeypatch.setattr(pieces, "WINDOW", 1024)
+    tracemalloc.start()
+    unit = pieces.LongUnit(data, v, 1.0)
+    drawn = unit.sample(7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert b"".join(v.pieces[i] for i in reversed(drawn)) == data.tobytes()
+    assert peak < 2 << 20
+
+
+def test_a_vocabulary_whose_pieces_reach_into_spaces_is_refused(monkeypatch):
+    import sentencepiece
+
+    class Reaching(sentencepiece.SentencePieceProcessor):
+        def id_to_piece(self, i):
+            return "a▁b" if i == 1000 else super().id_to_piece(i)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Reaching)
+    with pytest.raises(ValueError, match="reaches into a space"):
+        pieces.load()
+
+
 ODD = ["", None, " ", "  a  b ", "a\n\nb", "▁", "a▁b ▁", "日本\U0001F600", "\x00\x01", "x" * 2000, "é" * 700, "́e", "é" * 255 + "\U0001F600" * 300, "\t tab", "ab" * 40_000]
 
 
