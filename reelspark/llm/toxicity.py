@@ -6,12 +6,13 @@ and obfuscation (look-alike letters, masked and stretched words, digits inside w
 
 The learnt lexicon holds hashes of words and of word beginnings of a few lengths whose
 share among toxic documents exceeds that among others by ``LOG_ODDS``, with a likelihood
-ratio that chance doesn't reach among as many keys; it counts over the labelled sample,
-is bounded by ``LEXICON_ROWS`` and is fitted crosswise: a sample row's features use the
+ratio that chance doesn't reach among as many keys; it counts over the labelled sample
+(so the sample's bound is its bound, too) and is fitted crosswise: a sample row's features use the
 lexicon of the other folds, so the trees see honest densities. The calibration is
 fitted on out-of-fold scores; a thousandth of the raw score keeps the order within a step. Ids, language, source and labels are no
 inputs of a score. The sample is bounded by ``labelled.SAMPLE_ROWS``, a parameter; every
-whole text is scored.
+whole text is scored. Of a very long text, counts are added up piece by piece, and the places of
+hits and second-person words are kept, so windows of tokens reach across pieces.
 
 Defined results: null and empty texts have all features 0 and get a score; repeated rows
 get equal scores; other columns are not read. Without labelled rows the score is that of
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbdt
-from .common import SLICE_BYTES, _pieces, lower_bytes, mix, slices, span_hashes, text_buffer
+from .common import SLICE_BYTES, _pieces, lower_bytes, materialise, mix, slices, span_hashes, text_buffer
 from .labelled import SAMPLE_ROWS, held_out, labelled_sample
 
 #: fixed values: common insults, and second-person words, in four languages
@@ -39,8 +40,8 @@ STEMS = (4, 5, 6, 7)
 LOG_ODDS = 3.0
 LEAST_RATIO = 22.0  # of 2 ln(likelihood ratio): chance reaches it for one key in 400,000
 FOLDS = 4
-LEXICON_ROWS = 4096
 NEAR = 5
+WINDOW = 32  # tokens
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -105,8 +106,8 @@ def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def _sums(buf: np.ndarray, offsets: np.ndarray, lexicon: dict[int, np.ndarray]) -> np.ndarray:
-    """Additive counts of each text of a slice; the last column is the largest count in a window."""
+def _counts(buf: np.ndarray, offsets: np.ndarray, lexicon: dict[int, np.ndarray]):
+    """Additive counts of each text of a slice, the token numbers of hits and second-person words, and each token's text."""
     n = len(offsets) - 1
     starts, ends, of, low = _tokens(buf, offsets)
     count = lambda hit, where=of: np.bincount(where[hit], minlength=n).astype(float)
@@ -120,14 +121,6 @@ def _sums(buf: np.ndarray, offsets: np.ndarray, lexicon: dict[int, np.ndarray])
         columns.append(count(hit, of[number]))
         any_hit[number[hit]] = True
     columns += [count(any_hit), count(second)]
-    # hits with a second-person word of the same text at most NEAR tokens away
-    hits, people = np.flatnonzero(any_hit), np.flatnonzero(second)
-    near = np.zeros(len(hits), bool)
-    if len(people):
-        for side in (-1, 0):
-            at = np.clip(np.searchsorted(people, hits) + side, 0, len(people) - 1)
-            near |= (np.abs(people[at] - hits) <= NEAR) & (of[people[at]] == of[hits])
-    columns.append(np.bincount(of[hits[near]], minlength=n).astype(float))
     doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     k = len(_MARKS) + 1
     marks = np.bincount(doc * np.int32(k) + _MARK[buf], minlength=n * k).reshape(n, k)[:, 1:]
@@ -139,6 +132,7 @@ def _sums(buf: np.ndarray, offsets: np.ndarray, lexicon: dict[int, np.ndarray])
     columns.append(count((caps == size) & (size > 1)))
     same = np.zeros(len(buf), bool)
     same[1:] = buf[1:] == buf[:-1]
+    same[offsets[:-1][offsets[:-1] < len(buf)]] = False
     columns.append(np.bincount(doc[same & ((buf == 33) | (buf == 63))], minlength=n).astype(float))
     third = same.copy()
     third[1:] &= same[:-1]
@@ -155,37 +149,57 @@ def _sums(buf: np.ndarray, offsets: np.ndarray, lexicon: dict[int, np.ndarray])
             disguised[odd[number[hit]]] = True
     columns.append(count(disguised & ~any_hit))
     columns.append(count((inner > 0) & (inner < size)))
-    # the most hits within a run of 32 tokens
+    return np.hstack([np.stack(columns, axis=1), marks]), np.flatnonzero(any_hit), np.flatnonzero(second), of
+
+
+def _windows(hits: np.ndarray, people: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n texts: hits with a second-person word at most NEAR tokens away, and the most hits in WINDOW tokens."""
+    near = np.zeros(len(hits), bool)
+    if len(people):
+        for side in (-1, 0):
+            at = np.clip(np.searchsorted(people, hits) + side, 0, len(people) - 1)
+            near |= (np.abs(people[at] - hits) <= NEAR) & (of[people[at]] == of[hits])
     most = np.zeros(n)
     if len(hits):
-        reach = np.searchsorted(hits, np.minimum(hits + 32, np.searchsorted(of, of[hits], "right")), "left") - np.arange(len(hits))
+        reach = np.searchsorted(hits, np.minimum(hits + WINDOW, np.searchsorted(of, of[hits], "right")), "left") - np.arange(len(hits))
         np.maximum.at(most, of[hits], reach)
-    return np.hstack([np.stack(columns, axis=1), marks, most[:, None]])
+    return np.bincount(of[hits[near]], minlength=n).astype(float), most
+
+
+def _sums(buf: np.ndarray, offsets: np.ndarray, lexicon: dict[int, np.ndarray], limit: int):
+    """Counts, near hits and most hits of each text of a slice; a slice of one text beyond ``limit`` is read in pieces."""
+    n = len(offsets) - 1
+    if n > 1 or len(buf) <= 2 * limit:
+        counts, hits, people, of = _counts(buf, offsets, lexicon)
+        return counts, *_windows(hits, people, of, n)
+    counts, hits, people, seen = 0.0, [], [], 0
+    for piece in _pieces(buf, limit):
+        own, h, p, of = _counts(piece, np.array([0, len(piece)]), lexicon)
+        counts = counts + own
+        hits.append(h + seen)
+        people.append(p + seen)
+        seen += len(of)
+    return counts, *_windows(np.concatenate(hits), np.concatenate(people), np.zeros(seen, np.int8), 1)
 
 
 _N_KINDS = 1 + len(STEMS)
 
 
-def features(buf: np.ndarray, offsets: np.ndarray, lexicon: dict[int, np.ndarray]) -> np.ndarray:
+def features(buf: np.ndarray, offsets: np.ndarray, lexicon: dict[int, np.ndarray], limit: int = SLICE_BYTES) -> np.ndarray:
     """One row of FEATURES for each text of a batch."""
     out = []
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, limit):
         part, off = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        if b == a + 1 and len(part) > 2 * SLICE_BYTES:
-            each = [_sums(p, np.array([0, len(p)]), lexicon) for p in _pieces(part, SLICE_BYTES)]
-            sums = np.sum(each, axis=0)
-            sums[:, -1] = np.max(each, axis=0)[:, -1]
-        else:
-            sums = _sums(part, off, lexicon)
+        sums, near, most = _sums(part, off, lexicon, limit)
         words, per = sums[:, 0], 1 / np.maximum(sums[:, 0], 1)
         per_byte = 1 / np.maximum(np.diff(off), 1)
         kinds = sums[:, 2 : 2 + _N_KINDS]
-        hits, second, near = sums[:, 2 + _N_KINDS], sums[:, 3 + _N_KINDS], sums[:, 4 + _N_KINDS]
-        caps, twice, stretched, disguised, inner = (sums[:, 5 + _N_KINDS + k] for k in range(5))
-        marks = sums[:, 10 + _N_KINDS : 10 + _N_KINDS + len(_MARKS)]
+        hits, second = sums[:, 2 + _N_KINDS], sums[:, 3 + _N_KINDS]
+        caps, twice, stretched, disguised, inner = (sums[:, 4 + _N_KINDS + k] for k in range(5))
+        marks = sums[:, 9 + _N_KINDS : 9 + _N_KINDS + len(_MARKS)]
         pairs = [c for k in range(_N_KINDS) for c in (kinds[:, k], kinds[:, k] * per)]
         out.append(np.stack([
-            np.log1p(words), sums[:, 1] * per, *pairs, hits, hits * per, sums[:, -1], second * per, near, *(marks * per_byte[:, None]).T,
+            np.log1p(words), sums[:, 1] * per, *pairs, hits, hits * per, most, second * per, near, *(marks * per_byte[:, None]).T,
             caps * per, twice * per, stretched * per, disguised, inner * per,
         ], axis=1))
     return np.vstack(out) if out else np.zeros((0, len(FEATURES)))
@@ -218,16 +232,22 @@ def _lexicon_counts(batches):
                 )
 
 
-def _chosen(counts: DataFrame, totals: dict, folds: list[int], most: int) -> dict[int, np.ndarray]:
-    """The keys that stand in toxic documents by LOG_ODDS and LEAST_RATIO: at most ``most``."""
-    t, n = (sum((F.col(f"{c}{h}") for h in folds), F.lit(0)) for c in "tn")
-    all_t, all_n = (float(sum(totals[h, v] for h in folds)) for v in (True, False))
-    share = max(all_t, 0.5) / max(all_t + all_n, 1.0)
-    odds = F.log((t + 0.5) / F.lit(all_t + 1.0)) - F.log((n + 0.5) / F.lit(all_n + 1.0))
-    ratio = 2 * (t * F.log(F.greatest(t, F.lit(1)) / ((t + n) * share)) + n * F.log(F.greatest(n, F.lit(1)) / ((t + n) * (1 - share))))
-    rows = counts.where(t > 0).select("kind", "key", odds.alias("odds"), ratio.alias("ratio")).where((F.col("odds") >= LOG_ODDS) & (F.col("ratio") >= LEAST_RATIO))
-    top = rows.orderBy(F.desc("ratio"), "kind", "key").limit(most).collect()
-    return {kind: np.sort(np.array([r.key for r in top if r.kind == kind], np.int64).view(np.uint64)) for kind in (0, *STEMS)}
+def _chosen(counts: DataFrame, totals: dict, variants: list[list[int]]) -> list[dict[int, np.ndarray]]:
+    """For each list of folds, the keys that stand in toxic documents of those folds by LOG_ODDS and LEAST_RATIO.
+
+    One pass chooses for all lists. The keys are some of those of the bounded sample.
+    """
+    stands = []
+    for folds in variants:
+        t, n = (sum((F.col(f"{c}{h}") for h in folds), F.lit(0)) for c in "tn")
+        all_t, all_n = (float(sum(totals[h, v] for h in folds)) for v in (True, False))
+        share = max(all_t, 0.5) / max(all_t + all_n, 1.0)
+        odds = F.log((t + 0.5) / F.lit(all_t + 1.0)) - F.log((n + 0.5) / F.lit(all_n + 1.0))
+        ratio = 2 * (t * F.log(F.greatest(t, F.lit(1)) / ((t + n) * share)) + n * F.log(F.greatest(n, F.lit(1)) / ((t + n) * (1 - share))))
+        stands.append(F.when(t > 0, (odds >= LOG_ODDS) & (ratio >= LEAST_RATIO)).otherwise(False))
+    rows = counts.select("kind", "key", F.array(*stands).alias("stands")).where(F.exists("stands", lambda v: v)).collect()
+    keys = lambda k, kind: np.sort(np.array([r.key for r in rows if r.kind == kind and r.stands[k]], np.int64).view(np.uint64))
+    return [{kind: keys(k, kind) for kind in (0, *STEMS)} for k in range(len(variants))]
 
 
 def _sample_features(lexicons: list[dict]):
@@ -257,20 +277,20 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model fitted on at most ``sample_rows`` labelled rows; their texts stay on the executors."""
-    sample = labelled_sample(docs, labels, label, id_col, text_col, sample_rows).persist()
+    """A model fitted on at most ``sample_rows`` labelled rows; their texts stay off the driver.
+
+    The sample and its counts are written once, so a lost executor costs no second search for them.
+    """
+    sample = materialise(labelled_sample(docs, labels, label, id_col, text_col, sample_rows), "toxic-sample")
     counts = sample.mapInArrow(_lexicon_counts, ", ".join(f"{c} long" for c in ("kind", "key", *_COUNTS)))
     seen = sum((F.col(c) for c in _COUNTS[1::2]), F.lit(0))
-    counts = counts.groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in _COUNTS)).where(seen > 1).persist()
+    counts = counts.groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in _COUNTS)).where(seen > 1)
     ids = sample.select("doc_id", "y").toArrow()
     fold, ys = _fold(ids.column("doc_id").to_numpy()), ids.column("y").to_numpy()
     totals = {(h, v): int(((fold == h) & ((ys > 0) == v)).sum()) for h in range(FOLDS) for v in (True, False)}
     every = list(range(FOLDS))
-    own = [_chosen(counts, totals, [h for h in every if h != out], LEXICON_ROWS) for out in every]
-    lexicon = _chosen(counts, totals, every, LEXICON_ROWS)
+    *own, lexicon = _chosen(counts, totals, [*([h for h in every if h != out] for out in every), every])
     rows = sample.mapInArrow(_sample_features(own), "y int, fold long, x array<double>").toArrow()
-    counts.unpersist()
-    sample.unpersist()
     x = np.array(rows.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES))
     y, fold = rows.column("y").to_numpy().astype(float), rows.column("fold").to_numpy()
     order = np.lexsort((*x.T, fold, y))  # the same sums whatever order the rows came in

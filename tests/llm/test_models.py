@@ -1,5 +1,7 @@
 """The classifiers: trees against their definition, held-out accuracy, awkward rows."""
 
+import random
+import re
 import zlib
 
 import numpy as np
@@ -32,6 +34,38 @@ def test_trees_walk_as_defined_and_learn():
     assert gbdt.fit(np.zeros((0, 4)), np.zeros(0)).predict(np.zeros((2, 4))).tolist() == [0.5, 0.5]
 
 
+def test_every_split_is_the_best_one():
+    """One tree against exhaustive search over all features and all cuts, node by node."""
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.integers(0, 12, 400), rng.integers(0, 9, 400), rng.normal(size=400).round(1)], axis=1).astype(float)
+    y = (((x[:, 0] > 5) & (x[:, 1] < 4)) | (rng.random(400) < 0.2)).astype(float)
+    model = gbdt.fit(x, y, trees=1, depth=3, bins=200)
+    p = 1 / (1 + np.exp(-model.base))
+    g, h = p - y, np.full(len(y), p * (1 - p))
+
+    def loss(rows):
+        return g[rows].sum() ** 2 / (h[rows].sum() + 1.0)
+
+    def gain(rows, k, cut):
+        left = rows[x[rows, k] <= cut]
+        right = rows[x[rows, k] > cut]
+        if min(h[left].sum(), h[right].sum()) < 1.0:
+            return 0.0
+        return loss(left) + loss(right) - loss(rows)
+
+    nodes = {0: np.arange(len(y))}
+    for at in range(7):
+        rows = nodes[at]
+        cuts = [(k, (a + b) / 2) for k in range(3) for a, b in zip(np.unique(x[:, k])[:-1], np.unique(x[:, k])[1:])]
+        best = max((gain(rows, k, c) for k, c in cuts), default=0.0)
+        k, c = int(model.feature[0, at]), model.threshold[0, at]
+        assert np.isclose(gain(rows, k, c), best, atol=1e-6) if np.isfinite(c) else best <= 1e-6
+        nodes[2 * at + 1], nodes[2 * at + 2] = rows[x[rows, k] <= c], rows[x[rows, k] > c]
+    for leaf in range(8):
+        rows = nodes[7 + leaf]
+        assert np.isclose(model.leaf[0, leaf], -0.15 * g[rows].sum() / (h[rows].sum() + 1.0))
+
+
 def test_isotonic_is_the_least_squares_fit():
     score, y = np.array([1, 2, 3, 4, 5.0]), np.array([0, 1, 0, 1, 1.0])
     xs, values = gbdt.isotonic(score, y)
@@ -91,3 +125,49 @@ def test_disguised_words_are_found():
     at = toxicity.FEATURES.index
     assert x[0, at("hits")] == 1 and x[0, at("second_near_hits")] == 1 and x[2, at("hits")] == 0
     assert x[1, at("disguised_hits")] >= 1 and x[3, at("twice_marks")] > 0
+
+
+def plain_features(text, words, stems):
+    """A row of features by definition, with a lexicon of words and of beginnings of four bytes."""
+    raw = (text or "").encode()
+    tokens = [t.lower() for t in re.findall(rb"[A-Za-z0-9@$*\x80-\xff]+", raw)]
+    as_is = re.findall(rb"[A-Za-z0-9@$*\x80-\xff]+", raw)
+    known = lambda t: t in words or (len(t) > 4 and t[:4] in stems)
+    seeds, second = ({w.encode() for w in v} for v in (toxicity.SEEDS, toxicity.SECOND))
+    hit = [k for k, t in enumerate(tokens) if known(t) or t in seeds]
+    people = [k for k, t in enumerate(tokens) if t in second]
+    plain = bytes.maketrans(b"013457@$", b"oieastas")
+    odd = [k for k, t in enumerate(tokens) if re.search(rb"[0-9@$*]", t)]
+    n, size = max(1, len(tokens)), max(1, len(raw))
+    share = lambda rows: sum(rows) / n
+    run = [0, *(a == b for a, b in zip(raw, raw[1:]))]
+    out = {
+        "log_words": np.log1p(len(tokens)), "seed_density": share(t in seeds for t in tokens), "word_hits": sum(t in words for t in tokens),
+        "stem4_hits": sum(len(t) > 4 and t[:4] in stems for t in tokens), "hits": len(hit), "density": len(hit) / n,
+        "most_near": max((sum(k <= j < k + 32 for j in hit) for k in hit), default=0), "second_density": len(people) / n,
+        "second_near_hits": sum(any(abs(j - k) <= 5 for j in people) for k in hit),
+        "caps_words": share(len(t) > 1 and t.isalpha() and t.isascii() and t == t.upper() for t in as_is),
+        "twice_marks": share(run[k] and raw[k] in b"!?" for k in range(len(raw))),
+        "stretched": share(k and run[k] and run[k - 1] and (chr(raw[k]).isalpha() if raw[k] < 128 else True) for k in range(len(raw))),
+        "disguised_hits": sum(k not in hit and (known(tokens[k].translate(plain)) or tokens[k].translate(plain) in seeds) for k in odd),
+        "inner_digit": share(0 < len(re.findall(rb"[0-9]", t)) < len(t) for t in tokens),
+    }
+    return out | {f"m_{m}": sum(b in bytes(chars) for b in raw) / size for m, chars in toxicity._MARKS.items()}
+
+
+def test_features_against_plain_python_and_across_pieces():
+    """All features by definition; a text read in small pieces has the same windows and counts."""
+    rng = random.Random(5)
+    words, stems = [b"vrklm", b"gnorf"], [b"zump", b"blat"]
+    bank = ["vrklm", "VRKLM", "gn0rf", "zumpel", "blatty", "zump", "you", "Ihr", "calm", "a", "st7pid", "$cum", "IDIOT", "hmmmm", "w0rd", "12", "***", "é", "what?!!", "no.", "\n", "SHOUT", "(ok)"]
+    texts = [" ".join(rng.choice(bank) for _ in range(rng.randrange(300))) for _ in range(40)] + ["", None, "!", "!!", "you " * 4 + "vrklm", "vrklm" + " a" * 6 + " you", "vrklm " * 80]
+    ends = np.cumsum([len(w) for w in stems])
+    hashes = toxicity.span_hashes(np.frombuffer(b"".join(stems), np.uint8), ends - 4, ends)
+    lexicon = {0: toxicity._hash_of([w.decode() for w in words]), 4: np.sort(toxicity.mix(hashes + np.uint64(4)))}
+    buf, off = text_buffer(pa.array(texts))
+    x = toxicity.features(buf, off, lexicon)
+    for row, text in zip(x, texts):
+        for name, value in plain_features(text, words, stems).items():
+            assert np.isclose(row[toxicity.FEATURES.index(name)], value), (name, text)
+    for limit in (16, 100):
+        assert np.allclose(toxicity.features(buf, off, lexicon, limit=limit), x)
