@@ -6,12 +6,14 @@ into runs of near equal bytes are found without sorting: each round counts the e
 bytes and rows between candidate boundaries, over all partitions, and keeps only the
 intervals that hold an unmet target. Boundaries are the key's leading digits, so a
 round narrows an interval 2^DIGIT times whatever the key's distribution. A splitter
-is met when the bytes below it are within ``tolerance`` of its target, or when only one
+is met when the bytes below it are within its tolerance of the target, or when only one
 row is left to choose; then the rows are exchanged once.
 
-Each shard is cut into several runs, by the same counts, so that the final sort is
+Each shard is cut into several runs, by the same counts but loosely, so that the final sort is
 spread over many tasks; the exact rows below each splitter give every run its first
-slot. What reaches the driver is bounded by the number of runs and digits.
+slot. The cells of a round are counted, summed up and searched on the cluster; what reaches
+the driver is one row for each target, at most ``shards * MOST_RUNS``, whatever the number of
+partitions or executors.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from pyspark.sql import functions as F
 
 DIGIT = 10
 PARTS = 2  # 64-bit parts of a key
+RUN_ROWS = 2_000_000  # rows that one task sorts
+MOST_RUNS = 256  # runs of a shard at most; beyond RUN_ROWS * MOST_RUNS rows a shard, runs grow (and spill)
+LOOSE = 0.25  # a run's end inside a shard may be off by this share of a run
 
 
 def _digit(level: int) -> Column:
@@ -50,69 +55,73 @@ def _shared_digit(ends, level: int) -> int | None:
     return low & ((1 << DIGIT) - 1) if low == high else None
 
 
-def find_splitters(keys: DataFrame, runs: int, tolerance: float, together: float = 0.0) -> tuple[list[dict], int, int]:
-    """Splitters 1 .. runs - 1 as digit prefixes, with exact bytes and rows below each.
+def _crossings(cells: DataFrame, targets: DataFrame) -> list:
+    """For each target (t, iv, goal, b0, n0) the cell of its interval in which the running bytes pass the goal.
 
-    ``keys`` has k0, k1 (unsigned order) and size. Targets are multiples of the
-    total over ``runs``; ``tolerance`` is a share of a run's bytes. A target inside the
-    rows of one k0 moves to their nearer end if that is at most ``together`` (a share of
-    a run's bytes) away; else these rows are split by k1.
+    ``cells`` has iv, d, b, n: at most 2^DIGIT rows an interval. One row a target: t, d, the bytes and rows
+    below the cell, and the cell's own; d is null if the interval ends first.
     """
+    order = Window.partitionBy("iv").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    below = cells.select("iv", "d", "b", "n", *(F.coalesce(F.sum(c).over(order), F.lit(0)).alias(f"{c}_below") for c in "bn"))
+    ends = below.groupBy("iv").agg(F.sum("b").alias("b_all"), F.sum("n").alias("n_all"))
+    met = below.join(F.broadcast(targets), "iv").where((F.col("b0") + F.col("b_below") + F.col("b") > F.col("goal")) & (F.col("b0") + F.col("b_below") <= F.col("goal")))
+    met = met.select("t", "d", (F.col("b0") + F.col("b_below")).alias("below"), (F.col("n0") + F.col("n_below")).alias("under"), "b", "n")
+    rest = F.broadcast(targets).join(ends, "iv").where(F.col("b0") + F.col("b_all") <= F.col("goal"))
+    rest = rest.select("t", F.lit(None).cast("long").alias("d"), (F.col("b0") + F.col("b_all")).alias("below"), (F.col("n0") + F.col("n_all")).alias("under"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("n"))
+    return met.unionByName(rest).collect()
+
+
+def find_splitters(keys: DataFrame, total: int, ends, slack: list[float], together: float = 0.0) -> list[dict]:
+    """Splitters 1 .. len(slack) as digit prefixes, with exact bytes and rows below each.
+
+    ``keys`` has k0, k1 (unsigned order) and size. Splitter t cuts off t of len(slack) + 1
+    equal shares of the bytes ``total``, within ``slack[t - 1]`` bytes. A target inside the
+    rows of one k0 moves to their nearer end if that is at most ``together`` bytes away; else these
+    rows are split by k1.
+    """
+    runs = len(slack) + 1
     found: dict[int, dict] = {}
+    if not ends.rows:
+        return [{"prefix": (), "bytes": 0, "rows": 0}] * (runs - 1)
     spark = keys.sparkSession
-    ends = keys.agg(
-        F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.count("*").alias("rows"),
-        *(f(F.col(f"k{i}").bitwiseXOR(F.lit(-(1 << 63)))).alias(f"{n}{i}") for i in range(PARTS) for n, f in (("low", F.min), ("high", F.max))),
-    ).first()
-    total, rows = ends.total, ends.rows
     # prefix of digits -> (bytes below, rows below, the targets not yet met)
     open_: dict[tuple, tuple[int, int, list[int]]] = {(): (0, 0, list(range(1, runs)))}
     for level in range(LEVELS):
-        if not open_:
+        if not any(v[2] for v in open_.values()):
             break
         same = _shared_digit(ends, level)
         if same is not None:  # all keys have this digit, so there is nothing to count
             open_ = {(*prefix, same): v for prefix, v in open_.items()}
             continue
-        if level == 0:
-            counted = keys.groupBy(_digit(0).alias("d")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
-            counts = {((), r.d): (r.b, r.n) for r in counted}
-        else:
-            order = sorted(open_)
+        order = sorted(open_)
+        # at most runs - 1 intervals and targets are open, so these sides are bounded by parameters
+        goals = [(t, i, total * t / runs, b, n) for i, p in enumerate(order) for b, n, ts in [open_[p]] for t in ts]
+        targets = spark.createDataFrame(goals, "t int, iv int, goal double, b0 long, n0 long")
+        if level:
             live = spark.createDataFrame([(i, *p) for i, p in enumerate(order)], "iv int, " + ", ".join(f"p{k} long" for k in range(level)))
-            # at most runs - 1 intervals are open, so this side is bounded by a parameter
             inside = keys.join(F.broadcast(live), [_digit(k) == F.col(f"p{k}") for k in range(level)])
-            counted = inside.groupBy("iv", _digit(level).alias("d")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
-            counts = {(order[r.iv], r.d): (r.b, r.n) for r in counted}
-        slack = tolerance * total / runs
+        else:
+            inside = keys.withColumn("iv", F.lit(0))
+        counted = inside.groupBy("iv", _digit(level).alias("d")).agg(F.sum("size").alias("b"), F.count("*").alias("n"))
         nxt: dict[tuple, tuple[int, int, list[int]]] = {}
-        for prefix, (below, under, targets) in open_.items():
-            cells = sorted((d, v) for (p, d), v in counts.items() if p == prefix)
-            for t in targets:
-                goal, b, n = total * t / runs, below, under
-                last = None
-                for d, (cb, cn) in cells:
-                    last = (d, b, n)
-                    if b + cb > goal:
-                        break
-                    b, n = b + cb, n + cn
-                else:
-                    last = (1 << DIGIT, b, n)
-                d, b, n = last
-                cb, cn = counts.get((prefix, d), (0, 0))
-                # one row, or one whole key, can't be split: the nearer side is the best there is
-                whole = cn == 1 or level == LEVELS - 1
-                if level == LEVELS // PARTS - 1 and min(goal - b, b + cb - goal) <= together * total / runs:
-                    whole = True
-                if goal - b <= slack or whole and goal - b <= cb / 2:
-                    found[t] = {"prefix": (*prefix, d), "bytes": b, "rows": n}
-                elif b + cb - goal <= slack or whole:
-                    found[t] = {"prefix": (*prefix, d + 1), "bytes": b + cb, "rows": n + cn}
-                else:
-                    kept = nxt.setdefault((*prefix, d), (b, n, []))
-                    kept[2].append(t)
+        prefix_of = {t: order[i] for t, i, *_ in goals}
+        for r in sorted(_crossings(counted, targets)):
+            prefix, goal, room = prefix_of[r.t], total * r.t / runs, slack[r.t - 1]
+            if r.d is None:
+                found[r.t] = {"prefix": (*prefix, 1 << DIGIT), "bytes": r.below, "rows": r.under}
+                continue
+            # one row, or one whole key, can't be split: the nearer side is the best there is
+            whole = r.n == 1 or level == LEVELS - 1
+            if level == LEVELS // PARTS - 1 and min(goal - r.below, r.below + r.b - goal) <= together:
+                whole = True
+            if goal - r.below <= room or whole and goal - r.below <= r.b / 2:
+                found[r.t] = {"prefix": (*prefix, r.d), "bytes": r.below, "rows": r.under}
+            elif r.below + r.b - goal <= room or whole:
+                found[r.t] = {"prefix": (*prefix, r.d + 1), "bytes": r.below + r.b, "rows": r.under + r.n}
+            else:
+                nxt.setdefault((*prefix, r.d), (r.below, r.under, []))[2].append(r.t)
         open_ = nxt
-    return [found[t] for t in range(1, runs)], total, rows
+    return [found[t] for t in range(1, runs)]
 
 
 def _lowest_key(prefix: tuple) -> int:
@@ -126,6 +135,21 @@ def _lowest_key(prefix: tuple) -> int:
     return value
 
 
+def _passed(inner: Column, k0: Column, k1: Column) -> Column:
+    """How many of the sorted splitters (a, b) are at or below a key, by binary search."""
+
+    def narrow(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        x = F.get(inner, mid)
+        below = (x["a"] < k0) | ((x["a"] == k0) & (x["b"] <= k1))
+        go = s["lo"] < s["hi"]
+        return F.struct(F.when(go & below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(go & ~below, mid).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(inner).alias("hi"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(inner) + 1)).cast("int"))
+    return F.when(F.size(inner) > 0, F.aggregate(steps, start, narrow, lambda s: s["lo"])).otherwise(0)
+
+
 def shard_by_bytes(df: DataFrame, key: list[Column], size: Column, shards: int, tolerance: float = 0.002, together: float = 0.005, runs_per_shard: int | None = None) -> DataFrame:
     """Append ``shard`` and ``slot`` to the rows of ``df``: shards of near equal bytes.
 
@@ -138,14 +162,21 @@ def shard_by_bytes(df: DataFrame, key: list[Column], size: Column, shards: int,
     since all helpers live in one struct until the end.
     """
     spark = df.sparkSession
-    if runs_per_shard is None:
-        runs_per_shard = max(1, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
-    runs = shards * runs_per_shard
     key = (key + [F.lit(0).cast("long")])[:PARTS]
     smallest = -(1 << 63)
     flip = [F.coalesce(k.cast("long"), F.lit(smallest)).bitwiseXOR(F.lit(smallest)) for k in key]
     row = df.select(F.struct("*").alias("row"), *(f.alias(f"k{i}") for i, f in enumerate(flip)), size.cast("long").alias("size"))
-    splitters, total, rows = find_splitters(row.select("k0", "k1", "size"), runs, tolerance, together * runs_per_shard)
+    keys = row.select("k0", "k1", "size")
+    ends = keys.agg(
+        F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.count("*").alias("rows"),
+        *(f(F.col(f"k{i}").bitwiseXOR(F.lit(smallest))).alias(f"{n}{i}") for i in range(PARTS) for n, f in (("low", F.min), ("high", F.max))),
+    ).first()
+    if runs_per_shard is None:
+        runs_per_shard = min(MOST_RUNS, max(1, -(-ends.rows // (shards * RUN_ROWS))))
+    runs = shards * runs_per_shard
+    one = ends.total / shards
+    slack = [(tolerance if t % runs_per_shard == 0 else LOOSE / runs_per_shard) * one for t in range(1, runs)]
+    splitters = find_splitters(keys, ends.total, ends, slack, together * one)
 
     # a fixed table of the first digit's cells: the run that a cell starts in, and the splitters inside it
     cells: list[list] = [[d, 0, []] for d in range(1 << DIGIT)]
@@ -163,7 +194,7 @@ def shard_by_bytes(df: DataFrame, key: list[Column], size: Column, shards: int,
         "cell long, base int, inner array<struct<a:long,b:long>>",
     )
     k0, k1 = (F.col(f"k{i}").bitwiseXOR(F.lit(smallest)) for i in range(PARTS))
-    passed = F.size(F.filter("inner", lambda s: (s.a < k0) | ((s.a == k0) & (s.b <= k1))))
+    passed = _passed(F.col("inner"), k0, k1)
     placed = row.join(F.broadcast(grid), _digit(0) == F.col("cell")).withColumn("run", F.col("base") + passed)
     first = [0, *(s["rows"] for s in splitters)]
     # one exchange: by run; a run's rows are sorted and numbered in one task

@@ -175,6 +175,26 @@ def test_shards(spark, shards, runs):
     assert [(r.shard, r.slot) for r in order] == sorted((r.shard, r.slot) for r in got)
 
 
+def test_shards_of_a_hot_key_cut_into_runs(spark):
+    """A third of all rows share their first key; runs inside shards are sorted apart and numbered without gaps."""
+    rng = random.Random(11)
+    rows = [(k, -5 if k % 3 == 0 else rng.randrange(-(1 << 63), 1 << 63), rng.randrange(1, 50)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, h long, size long")
+    got = sharding.shard_by_bytes(df, [F.col("h"), F.col("doc_id")], F.col("size"), 5, runs_per_shard=7).collect()
+    order = sorted(got, key=lambda r: (r.h, r.doc_id))
+    assert [(r.shard, r.slot) for r in order] == sorted((r.shard, r.slot) for r in got)
+    total = [sum(r["size"] for r in got if r.shard == k) for k in range(5)]
+    assert [sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in range(5)] == [True] * 5
+    assert max(total) - min(total) <= 0.02 * sum(total) / 5 + 100
+
+
+def test_runs_are_found_by_binary_search(spark):
+    inner = sorted((rng % 7 - 3, rng % 11) for rng in range(60))
+    df = spark.createDataFrame([(n, a, b, inner[:n]) for n in (0, 1, 2, 5, 60) for a in range(-4, 5) for b in (-1, 0, 4, 12)], "n int, a long, b long, inner array<struct<a:long,b:long>>")
+    for r in df.withColumn("p", sharding._passed(F.col("inner"), F.col("a"), F.col("b"))).collect():
+        assert r.p == sum(s <= (r.a, r.b) for s in inner[: r.n])
+
+
 def test_shards_of_nothing_and_checksums(spark):
     none = spark.createDataFrame([], "doc_id long, size long")
     assert sharding.shard_by_bytes(none, [F.col("doc_id")], F.col("size"), 24).count() == 0
