@@ -2,7 +2,9 @@
 
 1. Every text becomes its set of distinct word shingles (64-bit hashes), a fingerprint
    of the set, ``trees`` root tokens (one minwise value each) and a sketch of 64 one-byte
-   minwise values. Rows with equal sets collapse to the smallest id.
+   minwise values. Rows with equal sets collapse to the smallest id: equal fingerprints
+   nominate, then the sets are compared in full, part by part, and rows of a fingerprint
+   with unlike sets stay apart.
 2. Each tree puts a set into the node of its root token. Nodes above ``leaf`` sets are
    split: a few pivots are compared with all members, and only if more than ``leaf``
    members match no pivot does the node branch, each set going on to ``branches``
@@ -11,7 +13,10 @@
 3. Leaves are compared exhaustively on sketches with a loose bound, in numpy; a leaf
    returns only edges that connect parts of it, never all pairs. Independent trees
    repeat this: a pair at the threshold misses one root with probability
-   1 - threshold, so twelve trees miss it with probability 4e-9 where roots are leaves.
+   1 - threshold, so twelve trees miss it with probability 4e-9 where roots are leaves;
+   where nodes branch, a pair with similarity s stays together on a level with probability
+   1 - (1 - s p)^2, p being that of the levels below: 0.94 for s = 0.8 at any depth, so a tree
+   finds it with 0.75 and twelve miss it with 6e-8.
 4. The components of those edges are sets of candidates, each settled exactly: full
    shingle sets of all members are compared (integer arithmetic on the threshold), but
    pairs already connected are skipped. Components above ``block`` sets are dealt out in
@@ -39,7 +44,7 @@ TREES = 12
 SKETCH = 64
 #: a pair is a candidate if this many of its 64 sketch bytes agree: at a similarity of 0.8, 51 are expected, and fewer than 38 have a probability of 1e-5
 AGREE = 0.59
-LEAF = 4096
+LEAF = 512
 BRANCHES = 2
 LEVELS = 6
 PIVOTS = 4
@@ -62,8 +67,9 @@ def minwise(tokens: np.ndarray, seeds: np.ndarray, step: int = 2048) -> np.ndarr
     return mix(low)
 
 
-def _signatures(width: int, trees: int):
+def _signatures(width: int, trees: int, bits: int):
     seeds = _seeds(trees + SKETCH, 11)
+    mask = np.uint64((1 << bits) - 1)
 
     def run(batches):
         for batch in batches:
@@ -74,21 +80,57 @@ def _signatures(width: int, trees: int):
                     n.append(len(s))
                     if len(s):
                         low = minwise(s, seeds)
-                        f1.append(int(mix(s).sum()))
-                        f2.append(int(mix(s ^ np.uint64(0x5555)).sum()))
+                        f1.append(int(mix(s).sum() & mask))
+                        f2.append(int(mix(s ^ np.uint64(0x5555)).sum() & mask))
                         roots.append(low[:trees].view(np.int64).tolist())
                         sketch.append((low[trees:] & np.uint64(255)).astype(np.uint8).tobytes())
                     else:
                         f1.append(0), f2.append(0), roots.append([]), sketch.append(b"")
             wrap = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), wrap(f1), wrap(f2), pa.array(roots, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["doc_id", "n", "f1", "f2", "roots", "sketch"],
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, pa.int64()), wrap(f1), wrap(f2), pa.array(roots, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["doc_id", "t", "n", "f1", "f2", "roots", "sketch"],
             )
 
     return run
 
 
+PART = 1 << 14  # bytes of a set that are compared at once
+
+
+def _set_parts(width: int):
+    """n, f1, f2, text -> n, f1, f2 and the text's set in numbered parts."""
+
+    def run(batches):
+        for batch in batches:
+            buf, off = text_buffer(batch.column("text"))
+            rows, no, part, at = [], [], [], 0
+            for a, b in slices(off):
+                for s in shingle_sets(buf[off[a] : off[b]], off[a : b + 1], width):
+                    raw = s.tobytes()
+                    for k in range(0, len(raw), PART):
+                        rows.append(at), no.append(k // PART), part.append(raw[k : k + PART])
+                    at += 1
+            same = [batch.column(k).take(pa.array(rows, pa.int64())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(no, pa.int32()), pa.array(part, pa.binary())], ["n", "f1", "f2", "no", "part"])
+
+    return run
+
+
+def _unlike(docs: DataFrame, signed: DataFrame, width: int) -> DataFrame:
+    """Fingerprints (n, f1, f2) whose sets aren't all equal, found by comparing the sets in full.
+
+    Equal parts of a fingerprint collapse before the shuffle, so a group of any size sends one row a task.
+    """
+    same = ["n", "f1", "f2"]
+    groups = signed.groupBy(*same).agg(F.count("*").alias("rows")).where("rows > 1")
+    nominated = signed.join(groups, same, "left_semi").select(F.col("doc_id").alias("n_id"), F.col("t").alias("n_t"), *same).distinct()
+    texts = docs.join(nominated.hint("shuffle_hash"), (F.col("doc_id") == F.col("n_id")) & (F.col("t") == F.col("n_t"))).select(*same, "text")
+    parts = texts.mapInArrow(_set_parts(width), "n long, f1 long, f2 long, no int, part binary")
+    unlike = parts.groupBy(*same, "no", "part").agg(F.count("*").alias("c")).groupBy(*same, "no").agg(F.count("*").alias("c")).where("c > 1")
+    return unlike.select(*same).distinct()
+
+
 def _grouped(batches, key: int = 0):
     """Arrow tables, one for each run of equal keys, from batches sorted by key."""
     held: list[pa.RecordBatch] = []
@@ -122,6 +164,17 @@ class Parts:
         return new
 
 
+def _once(ids: np.ndarray, lead: np.ndarray, content: list) -> np.ndarray:
+    """The rows in order of ids, those that repeat an id and its content once; leads win."""
+    seen, out = set(), []
+    for k in np.lexsort((~lead, ids)).tolist():
+        key = (ids[k], content[k])
+        if key not in seen:
+            seen.add(key)
+            out.append(k)
+    return np.array(out, np.int64)
+
+
 def _leaf_edges(batches):
     """node, id, sketch, lead -> edges of a leaf. Leads are compared with all members of the node."""
     for node in _grouped(batches):
@@ -129,10 +182,7 @@ def _leaf_edges(batches):
             continue
         ids = node.column("id").to_numpy()
         lead = node.column("lead").to_numpy(zero_copy_only=False).astype(bool)
-        order = np.lexsort((~lead, ids))
-        keep = np.ones(len(order), bool)
-        keep[1:] = ids[order][1:] != ids[order][:-1]  # a lead is also a member of one block
-        order = order[keep]
+        order = _once(ids, lead, node.column("sketch").to_pylist())  # a lead is also a member of one block
         ids, lead = ids[order], lead[order]
         if len(ids) < 2:
             continue
@@ -277,7 +327,7 @@ def exact_edges(sets: list[np.ndarray], ids, lead, percent: int):
 
 
 def _token_rows(width: int):
-    """task, id, n, f1, lead, text -> the same with the text's shingle set instead of it."""
+    """id, est, text -> the same with the text's shingle set instead of it."""
 
     def run(batches):
         for batch in batches:
@@ -285,24 +335,18 @@ def _token_rows(width: int):
             sets = []
             for a, b in slices(off):
                 sets += [s.tobytes() for s in shingle_sets(buf[off[a] : off[b]], off[a : b + 1], width)]
-            f1 = [int(mix(np.frombuffer(s, np.uint64)).sum()) for s in sets]
-            same = np.array(f1, np.uint64).view(np.int64) == batch.column("f1").to_numpy()
-            out = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("est"), pa.array(sets, pa.binary())], ["id", "est", "tokens"])
-            yield out.filter(pa.array(same))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("est"), pa.array(sets, pa.binary())], ["id", "est", "tokens"])
 
     return run
 
 
 def _task_sets(task: pa.Table):
-    """ids, lead and sets of a task's rows, an id once; leads win."""
+    """ids, lead and sets of a task's rows."""
     ids = task.column("id").to_numpy()
     lead = task.column("lead").to_numpy(zero_copy_only=False).astype(bool)
-    order = np.lexsort((~lead, ids))
-    keep = np.ones(len(order), bool)
-    keep[1:] = ids[order][1:] != ids[order][:-1]
-    order = order[keep]
-    raw = task.column("tokens")
-    return ids[order], lead[order], [np.frombuffer(raw[int(i)].as_py(), np.uint64) for i in order]
+    raw = task.column("tokens").to_pylist()
+    order = _once(ids, lead, raw)
+    return ids[order], lead[order], [np.frombuffer(raw[i], np.uint64) for i in order.tolist()]
 
 
 def _exact_edges(percent: int):
@@ -337,13 +381,13 @@ def _pivot_matches(percent: int):
 def verified_edges(docs: DataFrame, sets: DataFrame, parts: DataFrame, width: int, percent: int, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Edges whose full sets reach the threshold, enough to connect every true component.
 
-    ``docs`` has doc_id and text, ``sets`` id, n and f1, ``parts`` id and comp.
+    ``docs`` has doc_id, text and its hash t, ``sets`` id, t and n, ``parts`` id and comp.
     """
     sizes = parts.join(sets.select("id", "n"), "id").groupBy("comp").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
     sizes = sizes.withColumn("blocks", F.greatest(_parts_of(F.col("rows"), block), _parts_of(F.col("shingles"), block_shingles)))
-    members = parts.join(sizes.select("comp", "blocks"), "comp").join(sets.select("id", "n", "f1"), "id")
-    members = materialise(members.select("id", "f1", F.struct("comp", "blocks").alias("est")), "members")
-    texts = docs.join(members.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("id", "f1", "est", "text")
+    members = parts.join(sizes.select("comp", "blocks"), "comp").join(sets.select("id", F.col("t").alias("m_t")), "id")
+    members = materialise(members.select("id", "m_t", F.struct("comp", "blocks").alias("est")), "members")
+    texts = docs.join(members.hint("shuffle_hash"), (F.col("doc_id") == F.col("id")) & (F.col("t") == F.col("m_t"))).select("id", "est", "text")
     tokens = texts.mapInArrow(_token_rows(width), "id long, est struct<comp:long,blocks:long>, tokens binary").select("id", "est.comp", "est.blocks", "tokens")
     large = not members.where("est.blocks > 1").isEmpty()
     if large:
@@ -372,20 +416,26 @@ def verified_edges(docs: DataFrame, sets: DataFrame, parts: DataFrame, width: in
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
-    trees: int = TREES, leaf: int = LEAF, branches: int = BRANCHES, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES,
+    trees: int = TREES, leaf: int = LEAF, branches: int = BRANCHES, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, bits: int = 64,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept. ``bits``: of each half of a set's fingerprint."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
     signed = materialise(
-        narrow.mapInArrow(_signatures(width, trees), "doc_id long, n long, f1 long, f2 long, roots array<long>, sketch binary"), "signatures"
+        narrow.mapInArrow(_signatures(width, trees, bits), "doc_id long, t long, n long, f1 long, f2 long, roots array<long>, sketch binary"), "signatures"
     )
     same = ["n", "f1", "f2"]
-    sets = signed.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch"))
-    sets = materialise(sets, "sets")
+    named = signed.where("n > 0 and doc_id is not null")
+    unlike = materialise(_unlike(narrow, named.select("doc_id", "t", *same), width).withColumn("unlike", F.lit(True)), "unlike-sets")
+    # rows of a fingerprint with unlike sets stand for themselves; the join finds those that are equal after all
+    alone = lambda d: d.join(unlike, same, "left").withColumn("own", F.when(F.col("unlike"), F.struct("doc_id", "t"))).drop("unlike")
+    first = F.min(F.struct("doc_id", "t")).alias("m")
+    sets = alone(named).groupBy(*same, "own").agg(first, F.first("roots").alias("roots"), F.first("sketch").alias("sketch"))
+    sets = materialise(sets.select(*same, "own", F.col("m.doc_id").alias("id"), F.col("m.t").alias("t"), "roots", "sketch"), "sets")
     parts = connected_components(candidate_edges(sets, leaf, branches))
     links = verified_edges(narrow, sets, parts, width, percent, block, block_shingles)
     comps = connected_components(links)
-    rows = signed.select("doc_id", *same).join(sets.select(*same, "id"), same, "left")
+    mine = [F.col(f"a.{c}") == F.col(f"s.{c}") for c in same] + [F.col("a.own").eqNullSafe(F.col("s.own"))]
+    rows = alone(signed.select("doc_id", "t", *same)).alias("a").join(sets.select(*same, "own", "id").alias("s"), mine, "left").select("a.doc_id", "a.n", "s.id")
     rows = rows.join(comps.select(F.col("id").alias("set_id"), "comp"), F.col("id") == F.col("set_id"), "left")
     stands = F.when(F.col("n") > 0, F.coalesce("comp", "id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), stands)

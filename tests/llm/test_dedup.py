@@ -135,15 +135,47 @@ def near_rows(seed, n=140):
     return rows
 
 
-@pytest.mark.parametrize("width,kw", [(2, {}), (5, {}), (2, {"leaf": 6, "block": 5, "block_shingles": 300})])
+@pytest.mark.parametrize("width,kw", [(2, {}), (5, {}), (2, {"leaf": 6, "block": 5, "block_shingles": 300}), (2, {"bits": 2})])
 def test_near_duplicates(spark, width, kw):
-    rows = near_rows(width) + [(1001, None), (1002, ""), (1003, "A b\x0bC"), (1004, "a B c"), (1005, " \n"), (None, "a b c"), (1006, "one two"), (1006, "one two")]
+    rows = near_rows(width) + [(1001, None), (1002, ""), (1003, "A b\x0bC"), (1004, "a B c"), (1005, " \n"), (None, "a b c"), (1006, "one two"), (1006, "one two"), (1007, "p q r s"), (1007, "k l m n"), (1008, "k l m n"), (1009, "P q r s")]
     got = near_dedup.near_duplicates(frame(spark, rows), width=width, **kw).collect()
     key = lambda r: tuple((v is None, v or 0) for v in r)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(brute(rows, width), key=key)
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
+def test_recall_where_nodes_branch(spark, monkeypatch):
+    """4,000 documents share a passage, so that roots hold far more than a leaf: pairs above the threshold are still found."""
+    rng = random.Random(21)
+    passage = [f"p{k}" for k in range(60)]
+    rows, want, k = [], [], 0
+    while k < 4000:
+        own = [f"x{rng.randrange(10**6)}" for _ in range(60)]
+        rows.append((k, " ".join(passage + own)))
+        if k % 10 == 0:
+            copy = own[:]
+            for _ in range(rng.choice((1, 2, 4, 5))):
+                copy[rng.randrange(60)] = f"y{rng.randrange(10**6)}"
+            k += 1
+            rows.append((k, " ".join(passage + copy)))
+            a, b = (sets_of([r], 2)[0] for r in rows[-2:])
+            if 100 * len(a & b) >= 80 * len(a | b):
+                want.append((k - 1, k))
+        k += 1
+    levels, split = [], near_dedup._split
+
+    def watched(nodes, level, leaf, branches):
+        levels.append(level)
+        return split(nodes, level, leaf, branches)
+
+    monkeypatch.setattr(near_dedup, "_split", watched)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows), width=2).collect()}
+    assert max(levels) > 0  # nodes branched at the default leaf
+    found = sum(got[a] == got[b] for a, b in want)
+    assert len(want) > 250 and found >= 0.99 * len(want)
+    assert sum(i != c for i, c in got.items()) == found  # no other links
+
+
 def test_near_duplicates_of_nothing_and_of_empty_texts(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
     got = near_dedup.near_duplicates(frame(spark, [(1, ""), (2, None)])).collect()
