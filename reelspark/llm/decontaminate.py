@@ -1,9 +1,12 @@
 """Benchmark decontamination by size-partitioned MinHash containment, DataFrame operations only.
 
 Test items are short and documents long, so resemblance says little; containment
-|item and document| / |item| is what counts. Items are partitioned by the size of
-their shingle set. An item's sketch holds its k smallest shingles in hash order, k
-following from its partition: with a containment of ``threshold`` at least, at most
+|item and document| / |item| is what counts. The one-sided form of MinHash for containment
+is used (containment MinHash: only the small set is sketched, and membership of its
+minima in the large set is tested), since a signature of the document, too, would have to be as
+long as document over item to say anything. Items are partitioned by the size of
+their shingle set. An item's sketch holds its k smallest shingles in hash order (a bottom-k
+MinHash), k following from its partition: with a containment of ``threshold`` at least, at most
 n - ceil(threshold * n) of an item's n shingles are missing from the document, so a
 sketch of one more than that for the partition's largest n has at least one shingle
 inside it. The search is therefore lossless, for documents of any length, and the
@@ -81,21 +84,14 @@ def contained(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     spelt = rows.select("doc_id", words(F.col("text")).alias("w"))
     widths = sorted(r.width for r in facts) or [width]
-    pairs = None
-    for size in widths:
-        probes = index.where(F.col("in_sketch") & (F.col("width") == size)).select("h", "item_id")
-        grams = spelt.select("doc_id", F.explode(_hashes(F.col("w"), size)).alias("h"))
-        found = grams.join(near(probes), "h").select("doc_id", "item_id")
-        pairs = found if pairs is None else pairs.union(found)
-    pairs = materialise(pairs.distinct(), "candidates")
+    # one pass over the texts for all widths; runs of different widths differ as text
+    probes = index.where("in_sketch").select("h", "item_id")
+    grams = spelt.select("doc_id", F.explode(F.concat(*(F.coalesce(_hashes(F.col("w"), size), F.expr("cast(array() as array<long>)")) for size in widths))).alias("h"))
+    pairs = materialise(grams.join(near(probes), "h").select("doc_id", "item_id").distinct(), "candidates")
 
     suspects = rows.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
-    shared = None
-    for size in widths:
-        grams = suspects.select("doc_id", F.explode(F.array_distinct(_grams(F.col("w"), size))).alias("shingle"))
-        exact = index.where(F.col("width") == size).select("item_id", "n", "shingle")
-        found = grams.join(near(exact), "shingle")
-        shared = found if shared is None else shared.union(found)
+    grams = suspects.select("doc_id", F.explode(F.array_distinct(F.concat(*(_grams(F.col("w"), size) for size in widths)))).alias("shingle"))
+    shared = grams.join(near(index.select("item_id", "n", "shingle")), "shingle")
     counts = shared.groupBy("doc_id", "item_id", "n").agg(F.countDistinct("shingle").alias("n_found"))
     counts = counts.join(pairs, ["doc_id", "item_id"], "left_semi")
     return counts.where(F.col("n_found") >= F.ceil(F.round(F.col("n") * threshold, 9))).select(
