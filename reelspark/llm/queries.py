@@ -25,16 +25,20 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least=0.3)
 
 
+#: lines that name a licence, for the rule of the stand-in below
+STATED = r"(?i)licen[sc]|spdx|copyright|permission is hereby|redistribution and use|redistribute it|public domain|unencumbered"
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files ``source/lang/doc_id``. The table has no file names, so a document that
-    is nearly all licence statement (at most 24 words, half of them terms of its matching line) stands
-    for its directory's licence file."""
+    is mostly licence statement (half of its words, or more, stand in lines that name a licence)
+    stands for its directory's licence file."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     words = licenses.terms(F.coalesce("text", F.lit("")))
-    stated = F.flatten(F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(licenses.ANCHOR)), licenses.terms))
-    short = F.when(F.char_length("text") <= 400, (F.size(words) <= 24) & (F.size(stated) * 2 >= F.size(words))).otherwise(False)
+    stated = F.flatten(F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(STATED)), licenses.terms))
+    mostly = F.when(F.col("text").rlike(STATED), F.size(stated) * 2 >= F.size(words)).otherwise(False)
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
-    found = licenses.scan(docs, path, F.col("text"), short)
+    found = licenses.scan(docs, path, F.col("text"), mostly)
     return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "license", "similarity", "origin", "from_dir")
 
 
@@ -129,17 +133,18 @@ def _licenses_sql() -> str:
         with d as (select doc_id, concat_ws('/', source, lang) as dir, coalesce(text, '') as t, {terms("coalesce(text, '')")} as ws from documents),
         n as (select count(*)::double as n from d),
         tt as (select tid, license, term, count(*) as tf from (select tid, license, unnest({terms("text")}) as term from (values {templates}) v(tid, license, text)) group by all),
-        df as (select term, count(*) as df from (select distinct doc_id, unnest(ws) as term from d) where term in (select term from tt) group by 1),
-        idf as (select term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 as idf from (select distinct term from tt) left join df using (term), n),
-        tv as (select tid, license, term, tf * idf as w, idf from tt join idf using (term)),
+        df as (select term, count(*) as df from (select distinct doc_id, unnest(ws) as term from d) group by 1),
+        tv as (select tid, license, term, tf * (ln((n + 1) / (coalesce(df, 0) + 1)) + 1) as w, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 as idf from tt left join df using (term), n),
         v as (select tid, license, term, w / sqrt(sum(w * w) over (partition by tid)) * idf as v from tv),
-        l as (select doc_id, part, line from (select doc_id, unnest(string_split(t, chr(10))) as part, generate_subscripts(string_split(t, chr(10)), 1) - 1 as line from d)
-              where regexp_matches(part, '{licenses.ANCHOR}')),
-        st as (select doc_id, sum(len({terms("part")})) as stated from l group by 1),
-        k as (select d.doc_id, dir, t, length(t) <= 400 and len(ws) <= 24 and coalesce(stated, 0) * 2 >= len(ws) as is_file from d left join st using (doc_id)),
-        p as (select * from l union all select doc_id, t, -1 from k where is_file),
+        l as (select doc_id, part, line from (select doc_id, unnest(string_split(t, chr(10))) as part, generate_subscripts(string_split(t, chr(10)), 1) - 1 as line from d)),
+        bl as (select doc_id, min(line) filter (trim(translate(part, chr(9) || chr(13), '  ')) = '') as upto, count(*) as all_lines from l group by 1),
+        h as (select doc_id, string_agg(part, chr(10) order by line) as part, {licenses.HEADER} as line from l join bl using (doc_id)
+              where line < coalesce(upto, all_lines) and coalesce(upto, all_lines) > 1 group by doc_id),
+        st as (select doc_id, sum(len({terms("part")})) as stated from l where regexp_matches(part, '{STATED}') group by 1),
+        k as (select d.doc_id, dir, t, stated is not null and stated * 2 >= len(ws) as is_file from d left join st using (doc_id)),
+        p as (select * from l union all select * from h union all select doc_id, t, {licenses.WHOLE} from k where is_file),
         sp as (select doc_id, line, term, count(*) as tf from (select doc_id, line, unnest({terms("part")}) as term from p) group by all),
-        si as (select sp.*, coalesce(idf, ln((n + 1) / 2.0) + 1) as idf from sp left join idf using (term), n),
+        si as (select sp.*, ln((n + 1) / (df + 1)) + 1 as idf from sp join df using (term), n),
         nm as (select doc_id, line, sqrt(sum((tf * idf) * (tf * idf))) as norm from si group by 1, 2),
         pr as (select doc_id, line, tid, license, round(sum(tf * v), 9) as x from si join v using (term) group by all),
         ea as (select *, round(x / norm, 6) as sim from (select *, row_number() over (partition by doc_id, line order by x desc, tid) as r from pr) join nm using (doc_id, line) where r = 1),

@@ -1,5 +1,6 @@
 """Secrets, decontamination, sharding and licenses against brute force."""
 
+import collections
 import hashlib
 import math
 import random
@@ -206,12 +207,11 @@ def test_shards_of_nothing_and_checksums(spark):
 
 
 def cosine_scan(files, is_file):
-    """Brute force of the own licence of each path."""
+    """Brute force of the own licence of each path: every line, header and licence file against every template."""
     terms = lambda t: [x for x in re.split(r"[^\w]+|_+", t.lower()) if x]
     n = len(files)
-    vocabulary = {x for _, t in licenses.TEMPLATES for x in terms(t)}
-    df = {x: sum(x in terms(t or "") for _, t in files) for x in vocabulary}
-    idf = lambda x: math.log((n + 1) / ((df[x] if x in df else 1.0) + 1)) + 1
+    df = collections.Counter(x for _, t in files for x in set(terms(t or "")))
+    idf = lambda x: math.log((n + 1) / (df[x] + 1)) + 1
 
     def vector(t):
         w = terms(t)
@@ -219,7 +219,9 @@ def cosine_scan(files, is_file):
 
     out = {}
     for p, t in files:
-        parts = [(k, line) for k, line in enumerate((t or "").split("\n")) if re.search(licenses.ANCHOR[4:], line, re.I)] + ([(-1, t or "")] if is_file(p) else [])
+        lines = (t or "").split("\n")
+        upto = next((k for k, x in enumerate(lines) if not x.strip()), len(lines))
+        parts = list(enumerate(lines)) + ([(-2, "\n".join(lines[:upto]))] if upto > 1 else []) + ([(-1, t or "")] if is_file(p) else [])
         for k, part in parts:
             v = vector(part)
             for tid, (name, template) in enumerate(licenses.TEMPLATES):
@@ -237,7 +239,9 @@ def test_licenses(spark):
         ("a/LICENSE", "Released under the MIT License."), ("a/b/c/x.py", "print(1)"), ("a/b/COPYING", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
         ("a/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"), ("z/q.txt", None), ("", "nothing"), (None, "SPDX-License-Identifier: MIT"), ("d/LICENSE", "Licensed under CC BY 4.0."),
         ("d/LICENSE.txt", "Released under the MIT License."), ("d/e.txt", "text"), ("a/b/c/d/long.txt", "word " * 30_000 + "\nlicensing is a topic we talk about at length here and there"), ("a/b/c/x.py", "print(1)"),
-    ]
+        ("h/apache.c", "/* " + licenses._APACHE.replace(" ", "\n * ", 7).replace("agreed", "agreed\n *") + "\n */\n\nint main;\n" + "code " * 500), ("h/COPYING", licenses._MIT + "\n\n" + "Copyright 2020 Acme"),
+        ("w/permitted.c", "Permission is granted to use and copy,\nfor any purpose.\n\nwords"), ("w/mit.c", "MIT"), ("h/deep/er/n.c", "int n;"),
+    ] + [(f"bulk/{k}", "the of and to in is software copy file use any this or with license version " * (k % 5)) for k in range(40)]
     df = spark.createDataFrame([(p, t, "m") for p, t in files], "path string, text string, license string")
     got = licenses.scan(df, F.col("path"), F.col("text")).collect()
     assert len(got) == len(files)
@@ -249,6 +253,7 @@ def test_licenses(spark):
             assert r.origin != "own"
     by = {r.path: r for r in got}
     assert (by["a/b/c/x.py"].origin, by["a/b/c/x.py"].license, by["a/b/c/x.py"].from_dir) == ("inherited", "GPL-3.0", "a/b")
+    assert (by["h/apache.c"].origin, by["h/apache.c"].license) == ("own", "Apache-2.0") and (by["h/COPYING"].license, by["h/deep/er/n.c"].from_dir) == ("MIT", "h")
     assert by["d/e.txt"].origin == "none"  # its directory's licence files disagree
     assert by["z/q.txt"].origin == "none" and by["a/y.py"].license == "Apache-2.0"
     assert licenses.scan(df.where("path = 'no'"), F.col("path"), F.col("text")).count() == 0
