@@ -203,39 +203,60 @@ def read_back(segment: str) -> list[tuple[str, str]]:
     return out
 
 
+def _read(batches):
+    """Formatted segments, read back where they were made: each turn, and the text under its loss mask."""
+    for batch in batches:
+        rows = []
+        for conv, turn, segment, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "segment", "loss_from", "loss_to"))):
+            [(role, text)] = read_back(segment)
+            learnt = segment[a:b]
+            rows.append((conv, turn, role, text, _plain(learnt) if b > a else None, len(segment)))
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), _READ)] if rows else [pa.array([], f.type) for f in _READ], schema=_READ)
+
+
+_READ = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("learnt", pa.string()), ("chars", pa.int64())])
+_DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+
+
 def _digests(batches):
-    """Streams sorted segments: state is one conversation's running hashes, not its text."""
+    """Streams sorted turns: state is one conversation's running hashes, not its text."""
     now, state, out = None, None, []
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def closed():
         return {"conv_id": now, "n_turns": state[0], "turns_sha256": state[1].hexdigest(), "loss_chars": state[2], "loss_sha256": state[3].hexdigest(), "formatted_chars": state[4]}
 
     for batch in batches:
-        for conv, segment, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "segment", "loss_from", "loss_to"))):
+        for conv, role, text, learnt, chars in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "learnt", "chars"))):
             if state is None or conv != now:
                 if state is not None:
                     out.append(closed())
                 now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            for role, text in read_back(segment):
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-            learnt = _plain(segment[a:b])
-            state[2] += len(learnt)
-            state[3].update(learnt.encode())
-            state[4] += len(segment)
+            state[0] += 1
+            state[1].update(f"{role}\n{text}\n".encode())
+            if learnt is not None:
+                state[2] += len(learnt)
+                state[3].update(learnt.encode())
+            state[4] += chars
         if len(out) >= 10_000:
-            yield pa.RecordBatch.from_pylist(out, schema)
+            yield pa.RecordBatch.from_pylist(out, _DIGESTS)
             out = []
     if state is not None:
         out.append(closed())
     if out:
-        yield pa.RecordBatch.from_pylist(out, schema)
+        yield pa.RecordBatch.from_pylist(out, _DIGESTS)
 
 
 def conversation_digests(segments: DataFrame) -> DataFrame:
-    """Digests of every conversation, read back from its formatted segments."""
-    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "segment", "loss_from", "loss_to").mapInArrow(
+    """Digests of every conversation, read back from its formatted segments.
+
+    Segments are read back before the exchange, in parallel. The digest of a conversation is
+    one serial hash, so one task hashes all turns of a conversation, streaming them in order; that is
+    the limit for a conversation that holds a large share of all turns.
+    """
+    read = segments.select("conv_id", F.col("turn").cast("long").alias("turn"), "segment", "loss_from", "loss_to").mapInArrow(
+        _read, "conv_id long, turn long, role string, text string, learnt string, chars long"
+    )
+    ordered = read.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return ordered.select("conv_id", "role", "text", "learnt", "chars").mapInArrow(
         _digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

@@ -29,30 +29,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named."""
+    """The shared folder that the cluster names; a temporary one only on a local master that names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="reelspark-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
+    return f"{shared_dir(spark)}/reelspark/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Unlike ``checkpoint()`` this computes the plan once; a lost executor costs
-    only a re-read, as the files are in shared storage.
+    only a re-read, as the files are in shared storage. ``release`` deletes the files.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/reelspark/{label}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete all tables that ``materialise`` wrote; results that read them must be stored first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/reelspark")
+    """Delete all tables that this application's ``materialise`` wrote; results that read them must be stored first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
