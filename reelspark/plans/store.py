@@ -7,17 +7,30 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write once to shared storage and read back, so that lineage is cut and executors may be lost."""
-    spark = df.sparkSession
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; a temporary folder only on a local master that names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="reelspark-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/reelspark/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/reelspark/{spark.sparkContext.applicationId}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write once to shared storage and read back, so that lineage is cut and executors may be lost."""
+    spark = df.sparkSession
+    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that read them must be stored first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
