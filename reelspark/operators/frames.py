@@ -6,6 +6,7 @@ row and never meet frame against frame.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,24 +129,59 @@ def in_bounds(y: Column, x: Column, dy: Column, dx: Column, size: int, height: i
     return (top >= 0) & (left >= 0) & (top <= 2 * (height - size)) & (left <= 2 * (width - size))
 
 
+def _blocks(a: DataFrame, size: int) -> DataFrame:
+    """(frame, plane, block_y, block_x, px): whole blocks, their pixels in raster order."""
+    keys = ["frame", "plane", div(F.col("y"), size).alias("block_y"), div(F.col("x"), size).alias("block_x")]
+    px = F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "v"))), lambda t: t["v"].cast("int"))
+    return a.groupBy(*keys).agg(px.alias("px")).where(F.size("px") == size * size)
+
+
+def _search(reach: int, size: int, around: int):
+    """Rows with a block's pixels and those of reference blocks around it -> best vectors, by one product a batch."""
+    span, side = 2 * reach + 2, (2 * around + 1) * size
+    first = around * size - reach
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.iloc[at : at + 64]
+                block = np.stack(part["px"].to_numpy()).reshape(-1, size, size).astype(np.int64)
+                area = np.full((len(part), side, side), -1, np.int64)
+                for k, near in enumerate(part["near"]):
+                    for r in near:
+                        y, x = (r["j"] + around) * size, (r["i"] + around) * size
+                        area[k, y : y + size, x : x + size] = np.reshape(r["px"], (size, size))
+                area = area[:, first : first + span + size - 1, first : first + span + size - 1]
+                views = np.lib.stride_tricks.sliding_window_view(area, (size, size), (1, 2))
+                sse = ((views - block[:, None, None]) ** 2).sum(axis=(3, 4))
+                sse[(views < 0).any(axis=(3, 4))] = np.iinfo(np.int64).max
+                flat = sse.reshape(len(part), -1)
+                best = flat.argmin(axis=1)
+                zero = reach * span + reach
+                best = np.where(flat[:, zero] <= flat.min(axis=1), zero, best)
+                least = flat[np.arange(len(part)), best]
+                out = part[["frame", "plane", "block_y", "block_x"]].assign(dy=best // span - reach, dx=best % span - reach, sse=least)
+                yield out[least < np.iinfo(np.int64).max]
+
+    return run
+
+
 def motion_search(current: DataFrame, reference: DataFrame, reach: int = 7, size: int = 4) -> DataFrame:
     """(frame, plane, block_y, block_x, dy, dx, sse): the best whole-pixel vector of each block against the frame before.
 
     Displacements run from -reach to reach + 1, those a motion byte can code; ties go to the zero vector, then in scan
-    order. Each candidate is one position of an equi-join, so a block costs
-    (2 * reach + 2)^2 * size^2 rows; use small frames or a shorter reach.
+    order. A block meets the reference blocks that its candidates touch, by an equi-join on block positions; all candidates are
+    then compared in one array, so the exchange carries some copies of each pixel and no candidates. Partial blocks are
+    neither searched nor referred to.
     """
-    span = F.sequence(F.lit(-reach), F.lit(reach + 1))
-    cur = current.select(
-        "frame", "plane", div(F.col("y"), size).alias("block_y"), div(F.col("x"), size).alias("block_x"), "y", "x", "v", F.explode(span).alias("dy")
-    ).withColumn("dx", F.explode(span))
-    ref = reference.select((F.col("frame") + 1).alias("frame"), "plane", F.col("y").alias("ry"), F.col("x").alias("rx"), F.col("v").alias("w"))
-    cur = cur.withColumn("ry", F.col("y") + F.col("dy")).withColumn("rx", F.col("x") + F.col("dx"))
-    met = cur.join(ref, ["frame", "plane", "ry", "rx"])
-    d = (F.col("v") - F.col("w")).cast("long")
-    cand = met.groupBy("frame", "plane", "block_y", "block_x", "dy", "dx").agg(F.sum(d * d).alias("sse"), F.count("*").alias("n")).where(F.col("n") == size * size)
-    rank = F.struct("sse", F.when((F.col("dy") == 0) & (F.col("dx") == 0), 0).otherwise(1).alias("z"), "dy", "dx")
-    return cand.groupBy("frame", "plane", "block_y", "block_x").agg(F.min(rank).alias("m")).select("frame", "plane", "block_y", "block_x", "m.dy", "m.dx", "m.sse")
+    around = -(-(reach + 1) // size)
+    steps = F.explode(F.sequence(F.lit(-around), F.lit(around)))
+    ref = _blocks(reference, size).withColumn("j", steps).withColumn("i", steps)
+    ref = ref.select((F.col("frame") + 1).alias("frame"), "plane", (F.col("block_y") - F.col("j")).alias("block_y"), (F.col("block_x") - F.col("i")).alias("block_x"), F.struct("j", "i", "px").alias("n"))
+    near = ref.groupBy("frame", "plane", "block_y", "block_x").agg(F.collect_list("n").alias("near"))
+    met = _blocks(current, size).join(near, ["frame", "plane", "block_y", "block_x"])
+    schema = "frame long, plane long, block_y long, block_x long, dy int, dx int, sse long"
+    return met.select(*(F.col(c).cast("long").alias(c) for c in ("frame", "plane", "block_y", "block_x")), "px", "near").mapInPandas(_search(reach, size, around), schema)
 
 
 def copy_vector(code: Column, base_x: Column, base_y: Column) -> Column:

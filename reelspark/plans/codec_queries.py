@@ -121,7 +121,7 @@ def _dc_blocks(s, d):
 
 
 register("dc_neighbours", lambda s, d: planes.restore_planes(_dc_blocks(s, d)))
-register("deblock", lambda s, d: planes.deblock_planes(pixel_rows(s), 12))
+register("deblock", lambda s, d: planes.deblock_planes(pixel_rows(s, d), 12))
 
 
 def _slices(s, d):

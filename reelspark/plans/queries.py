@@ -1,8 +1,7 @@
 """Registered queries on the driver's tables, and the SQL that must give the same rows.
 
 The tables hold no media, so each query's input is an analogue: vectors for image
-blocks, events for packets and pictures, order lines for coding options, and a fixed
-integer formula for pixels, the same in both engines.
+blocks and for the pixels of frames, events for packets and pictures, and order lines for coding options.
 """
 
 from __future__ import annotations
@@ -14,8 +13,7 @@ from ..functions import bytes as B
 from ..functions import pixels, tags, timebase, transforms
 from ..operators import blocks, frames, rate, stream, vq
 
-FRAMES, SIDE = 6, 32
-PIXEL = "(f * 7 + p * 13 + y * 5 + x * 3 + (x * y) % 11 + (f * x * y) % 17) % 256"
+SIDE, VECTORS = 32, 16  # a frame of 32 x 32 pixels is made of 16 vectors of 64 values
 K = 16
 
 
@@ -39,18 +37,19 @@ def assigned(spark, d) -> DataFrame:
     return vq.assign(points(spark, d), codebook(spark, d))
 
 
-def pixel_rows(spark, shift: int = 0, planes: int = 3) -> DataFrame:
-    n = FRAMES * planes * SIDE * SIDE
-    i = F.col("id")
-    rows = spark.range(n).select(
-        F.floor(i / (planes * SIDE * SIDE)).alias("f"), F.floor(i / (SIDE * SIDE) % planes).alias("p"), F.floor(i / SIDE % SIDE).alias("y"), (i % SIDE).alias("x")
-    )
-    return rows.select(F.col("f").alias("frame"), F.col("p").alias("plane"), "y", "x", F.expr(f"({PIXEL} + {shift} * ((x + y + f) % 5)) % 256").cast("int").alias("v"))
+def pixel_rows(spark, d, shift: int = 0, planes: int = 3) -> DataFrame:
+    """Vectors as frames: VECTORS of them fill the rows of a frame; planes differ by a texture. The last frame may be cut short."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "e"), F.floor(F.col("vec_id") / VECTORS).alias("frame"))
+    at = F.col("vec_id") % VECTORS * 64 + F.col("k")
+    rows = rows.select("frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(planes - 1).cast("long"))).alias("plane"), F.floor(at / SIDE).alias("y"), (at % SIDE).alias("x"), F.floor(F.col("e").cast("double") * 128).alias("q"))
+    v = F.col("q") + 128 + F.col("plane") * 31 + F.col("x") * F.col("y") % 11 + (F.col("x") + F.col("y") + F.col("frame")) % 5 * shift
+    return rows.select("frame", "plane", "y", "x", F.pmod(v, F.lit(256)).cast("int").alias("v"))
 
 
 def pixel_sql(shift: int = 0, planes: int = 3) -> str:
-    return f"""(select f as frame, p as plane, y, x, cast(({PIXEL} + {shift} * ((x + y + f) % 5)) % 256 as int) as v
-        from (select unnest(range({FRAMES})) as f), (select unnest(range({planes})) as p), (select unnest(range({SIDE})) as y), (select unnest(range({SIDE})) as x))"""
+    return f"""(select frame, plane, y, x, cast((q + 128 + plane * 31 + x * y % 11 + (x + y + frame) % 5 * {shift} + 1024) % 256 as int) as v
+        from (select frame, plane, n // {SIDE} as y, n % {SIDE} as x, q from (select vec_id // {VECTORS} as frame, vec_id % {VECTORS} * 64 + generate_subscripts(embedding, 1) - 1 as n,
+        cast(floor(cast(unnest(embedding) as double) * 128) as bigint) as q from embeddings), (select unnest(range({planes})) as plane)))"""
 
 
 def pictures(spark, d) -> DataFrame:
@@ -202,34 +201,34 @@ register("vq_elbg", _elbg)
 
 _PAIR = f"{pixel_sql()} a join {pixel_sql(3)} b on a.frame = b.frame and a.plane = b.plane and a.y = b.y and a.x = b.x"
 register(
-    "frame_sse", lambda s, d: frames.errors(pixel_rows(s), pixel_rows(s, 3), ["frame", "plane"]),
+    "frame_sse", lambda s, d: frames.errors(pixel_rows(s, d), pixel_rows(s, d, 3), ["frame", "plane"]),
     f"select a.frame, a.plane, sum((a.v - b.v) * (a.v - b.v))::bigint as sse, sum(abs(a.v - b.v))::bigint as sad, count(*) as n from {_PAIR} group by 1, 2",
 )
 register(
-    "frame_masked_sse", lambda s, d: frames.masked_sse(pixel_rows(s), pixel_rows(s, 3), (F.col("x") + F.col("y")) % 2 == 0, 5000, ["frame", "plane"]),
+    "frame_masked_sse", lambda s, d: frames.masked_sse(pixel_rows(s, d), pixel_rows(s, d, 3), (F.col("x") + F.col("y")) % 2 == 0, 5000, ["frame", "plane"]),
     f"""select a.frame, a.plane, sum(case when (a.x + a.y) % 2 = 0 then (a.v - b.v) * (a.v - b.v) else 0 end)::bigint as sse,
     least(sum(case when (a.x + a.y) % 2 = 0 then (a.v - b.v) * (a.v - b.v) else 0 end), 5001)::bigint as sse_limited from {_PAIR} group by 1, 2""",
 )
 register(
-    "frame_intra_sad", lambda s, d: frames.intra_sad(pixel_rows(s)),
+    "frame_intra_sad", lambda s, d: frames.intra_sad(pixel_rows(s, d)),
     f"""with b as (select *, y // 8 as block_y, x // 8 as block_x from {pixel_sql()}), m as (select frame, plane, block_y, block_x, sum(v) // count(*) as m from b group by 1, 2, 3, 4)
     select b.frame, b.plane, b.block_y, b.block_x, sum(abs(v - m))::bigint as sad from b join m on b.frame = m.frame and b.plane = m.plane and b.block_y = m.block_y and b.block_x = m.block_x group by 1, 2, 3, 4""",
 )
 register(
-    "frame_psnr", lambda s, d: frames.psnr(pixel_rows(s), pixel_rows(s, 3)),
+    "frame_psnr", lambda s, d: frames.psnr(pixel_rows(s, d), pixel_rows(s, d, 3)),
     f"""with e as (select a.frame, a.plane, sum((a.v - b.v) * (a.v - b.v))::bigint as sse, count(*) as n from {_PAIR} group by 1, 2),
     g as (select frame, plane, sum(sse)::bigint as sse, sum(n)::bigint as n from e group by grouping sets ((frame, plane), (frame), ()))
     select frame, plane, sse, n, case when sse > 0 then round(10 * (log10(255.0 * 255.0) + log10(n) - log10(sse)), 6) end as psnr from g""",
 )
 register(
-    "frame_unmatched", lambda s, d: frames.unmatched_frames(pixel_rows(s), pixel_rows(s).where("frame > 1").select((F.col("frame") + 1).alias("frame"))),
+    "frame_unmatched", lambda s, d: frames.unmatched_frames(pixel_rows(s, d), pixel_rows(s, d).where("frame > 1").select((F.col("frame") + 1).alias("frame"))),
     f"""with a as (select distinct frame from {pixel_sql()}), b as (select distinct frame + 1 as frame from {pixel_sql()} where frame > 1)
     select coalesce(a.frame, b.frame) as frame, case when a.frame is null then 'second' else 'first' end as side from a full join b on a.frame = b.frame where a.frame is null or b.frame is null""",
 )
 
 
-def _yuv(s):
-    p = pixel_rows(s).groupBy("frame", "y", "x").pivot("plane", [0, 1, 2]).agg(F.first("v"))
+def _yuv(s, d):
+    p = pixel_rows(s, d).groupBy("frame", "y", "x").pivot("plane", [0, 1, 2]).agg(F.first("v"))
     return p.toDF("frame", "y", "x", "c0", "c1", "c2")
 
 
@@ -248,17 +247,17 @@ def _rgb_sql(name: str) -> str:
 
 for _name in pixels.LAYOUTS:
     register(
-        f"ycbcr_to_rgb_{_name}", lambda s, d, n=_name: _yuv(s).select("frame", "y", "x", pixels.ycbcr_to_rgb(F.col("c0"), F.col("c1"), F.col("c2"), n).alias("o")).select("frame", "y", "x", "o.r", "o.g", "o.b"),
+        f"ycbcr_to_rgb_{_name}", lambda s, d, n=_name: _yuv(s, d).select("frame", "y", "x", pixels.ycbcr_to_rgb(F.col("c0"), F.col("c1"), F.col("c2"), n).alias("o")).select("frame", "y", "x", "o.r", "o.g", "o.b"),
         _rgb_sql(_name),
     )
 register(
-    "codebook_rgb", lambda s, d: _yuv(s).select("frame", "y", "x", pixels.codebook_rgb(F.col("c0"), F.col("c1"), F.col("c2")).alias("o")).select("frame", "y", "x", "o.r", "o.g", "o.b"),
+    "codebook_rgb", lambda s, d: _yuv(s, d).select("frame", "y", "x", pixels.codebook_rgb(F.col("c0"), F.col("c1"), F.col("c2")).alias("o")).select("frame", "y", "x", "o.r", "o.g", "o.b"),
     f"""with t as (select *, (c0 << 6) + 90 * (c2 - 128) as rc, (c0 << 6) - 22 * (c1 - 128) - 46 * (c2 - 128) as gc, (c0 << 6) + 113 * (c1 - 128) as bc from {_YUV_SQL})
     select frame, y, x, case when rc < 0 then 0 when rc > 16320 then 255 else rc >> 6 end as r, case when gc < 0 then 0 when gc > 16320 then 255 else gc >> 6 end as g,
     case when bc < 0 then 0 when bc > 16320 then 255 else bc >> 6 end as b from t""",
 )
 register(
-    "channel_pack", lambda s, d: _yuv(s).select("frame", "y", "x", *(pixels.pack(F.col("c0"), F.col("c1"), F.col("c2"), o).alias(o.lower()) for o in ("ARGB", "ABGR", "RGBA", "BGRA"))),
+    "channel_pack", lambda s, d: _yuv(s, d).select("frame", "y", "x", *(pixels.pack(F.col("c0"), F.col("c1"), F.col("c2"), o).alias(o.lower()) for o in ("ARGB", "ABGR", "RGBA", "BGRA"))),
     f"select frame, y, x, [255, c0, c1, c2] as argb, [255, c2, c1, c0] as abgr, [c0, c1, c2, 255] as rgba, [c2, c1, c0, 255] as bgra from {_YUV_SQL}",
 )
 register(
@@ -266,49 +265,52 @@ register(
     "select l_orderkey, l_linenumber, greatest(0, least(255, ((l_partkey % 256) - 16) * 255 // 219)) as v from lineitem",
 )
 register(
-    "chroma_upsample", lambda s, d: frames.upsample_chroma(pixel_rows(s).where("plane > 0")),
+    "chroma_upsample", lambda s, d: frames.upsample_chroma(pixel_rows(s, d).where("plane > 0")),
     f"""with a as (select *, coalesce(lag(v) over w, v) as u, coalesce(lead(v) over w, v) as dn from {pixel_sql()} where plane > 0 window w as (partition by frame, plane, x order by y)),
     r as (select frame, plane, y * 2 + o as y, x, case when o = 0 then (3 * v + u) >> 2 else (3 * v + dn) >> 2 end as v from a, (select unnest(range(2)) as o)),
     b as (select *, coalesce(lag(v) over w, v) as l, coalesce(lead(v) over w, v) as rt from r window w as (partition by frame, plane, y order by x))
     select frame, plane, y, x * 2 + o as x, case when o = 0 then (3 * v + l) >> 2 else (3 * v + rt) >> 2 end as v from b, (select unnest(range(2)) as o)""",
 )
-register("downsample_2x", lambda s, d: frames.downsample(pixel_rows(s)), f"select frame, plane, y // 2 as y, x // 2 as x, (sum(v) + 2)::bigint // 4 as v from {pixel_sql()} group by 1, 2, 3, 4")
-register("upsample_2x", lambda s, d: frames.upsample(pixel_rows(s)), f"select frame, plane, y * 2 + j as y, x * 2 + i as x, v from {pixel_sql()}, (select unnest(range(2)) as j), (select unnest(range(2)) as i)")
+register("downsample_2x", lambda s, d: frames.downsample(pixel_rows(s, d)), f"select frame, plane, y // 2 as y, x // 2 as x, (sum(v) + 2)::bigint // 4 as v from {pixel_sql()} group by 1, 2, 3, 4")
+register("upsample_2x", lambda s, d: frames.upsample(pixel_rows(s, d)), f"select frame, plane, y * 2 + j as y, x * 2 + i as x, v from {pixel_sql()}, (select unnest(range(2)) as j), (select unnest(range(2)) as i)")
 register(
-    "edge_pad", lambda s, d: frames.pad_edges(pixel_rows(s).where("y < 27 and x < 21")),
-    f"""select a.frame, a.plane, g.y, g.x, a.v from (select y, x from (select unnest(range(32)) as y), (select unnest(range(32)) as x)) g
-    join {pixel_sql()} a on a.y = least(g.y, 26) and a.x = least(g.x, 20)""",
+    "edge_pad", lambda s, d: frames.pad_edges(pixel_rows(s, d).where("y < 27 and x < 21")),
+    f"""with a as (select * from {pixel_sql()} where y < 27 and x < 21), s as (select frame, plane, max(y) + 1 as h, max(x) + 1 as w from a group by 1, 2)
+    select a.frame, a.plane, g.y, g.x, a.v from s, (select y, x from (select unnest(range(32)) as y), (select unnest(range(32)) as x)) g
+    join a on a.frame = s.frame and a.plane = s.plane and a.y = least(g.y, s.h - 1) and a.x = least(g.x, s.w - 1) where g.y < ceil(s.h / 16.0) * 16 and g.x < ceil(s.w / 16.0) * 16""",
 )
-register("block_mean", lambda s, d: frames.block_mean(pixel_rows(s)), f"select frame, plane, y // 4 as block_y, x // 4 as block_x, (sum(v) + count(*) // 2)::bigint // count(*) as mean from {pixel_sql()} group by 1, 2, 3, 4")
+register("block_mean", lambda s, d: frames.block_mean(pixel_rows(s, d)), f"select frame, plane, y // 4 as block_y, x // 4 as block_x, (sum(v) + count(*) // 2)::bigint // count(*) as mean from {pixel_sql()} group by 1, 2, 3, 4")
 
 
-def _vectors(s):
-    return s.range((FRAMES - 1) * 16).select(
+def _vectors(s, d):
+    """A vector for each of the sixteen blocks of every frame but the first."""
+    later = table(s, d, "embeddings").select(F.floor(F.col("vec_id") / VECTORS).alias("f")).distinct().where("f > 0")
+    return later.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(15)))).select(((F.col("f") - 1) * 16 + F.col("b")).alias("id")).select(
         (F.floor(F.col("id") / 16) + 1).alias("frame"), F.lit(0).cast("long").alias("plane"), F.floor(F.col("id") % 16 / 4).cast("int").alias("block_y"), (F.col("id") % 4).cast("int").alias("block_x"),
         F.floor(F.col("id") / 16).alias("ref"), (F.col("id") * 5 % 9 - 4).cast("int").alias("dy"), (F.col("id") * 7 % 9 - 4).cast("int").alias("dx"),
     )
 
 
-_VECTORS_SQL = f"(select i // 16 + 1 as frame, 0 as plane, (i % 16) // 4 as block_y, i % 4 as block_x, i // 16 as ref, i * 5 % 9 - 4 as dy, i * 7 % 9 - 4 as dx from (select unnest(range({(FRAMES - 1) * 16})) as i))"
+_VECTORS_SQL = f"(select i // 16 + 1 as frame, 0 as plane, (i % 16) // 4 as block_y, i % 4 as block_x, i // 16 as ref, i * 5 % 9 - 4 as dy, i * 7 % 9 - 4 as dx from (select (f - 1) * 16 + unnest(range(16)) as i from (select distinct vec_id // {VECTORS} as f from embeddings) where f > 0))"
 _MC_SQL = f"""with px as (select frame, plane, ref, block_y * 8 + k // 8 as y, block_x * 8 + k % 8 as x, dy, dx from {_VECTORS_SQL}, (select unnest(range(64)) as k)),
     n as (select *, y + (dy >> 1) + j as ry, x + (dx >> 1) + i as rx, ((dy & 1) + 1) * ((dx & 1) + 1) as wanted from px, (select unnest(range(2)) as j), (select unnest(range(2)) as i) where j <= (dy & 1) and i <= (dx & 1)),
     g as (select n.frame, n.plane, n.y, n.x, wanted, sum(r.v) as s, count(r.v) as found from n left join {pixel_sql()} r on r.frame = n.ref and r.plane = n.plane and r.y = n.ry and r.x = n.rx group by 1, 2, 3, 4, 5)
     select frame, plane, y, x, wanted, found, case when found = wanted then (s + wanted // 2)::bigint // wanted end as v from g"""
-register("motion_compensate", lambda s, d: frames.compensate(_vectors(s), pixel_rows(s)), _MC_SQL)
+register("motion_compensate", lambda s, d: frames.compensate(_vectors(s, d), pixel_rows(s, d)), _MC_SQL)
 register(
-    "bipredict", lambda s, d: frames.bipredict(pixel_rows(s).where("x < 24"), pixel_rows(s, 3).where("x > 7")),
+    "bipredict", lambda s, d: frames.bipredict(pixel_rows(s, d).where("x < 24"), pixel_rows(s, d, 3).where("x > 7")),
     f"""select coalesce(a.frame, b.frame) as frame, coalesce(a.plane, b.plane) as plane, coalesce(a.y, b.y) as y, coalesce(a.x, b.x) as x,
     case when a.v is null then b.v when b.v is null then a.v else (a.v + b.v + 1) // 2 end as v from (select * from {pixel_sql()} where x < 24) a
     full join (select * from {pixel_sql(3)} where x > 7) b on a.frame = b.frame and a.plane = b.plane and a.y = b.y and a.x = b.x""",
 )
 register(
-    "vector_bounds", lambda s, d: _vectors(s).select("frame", "block_y", "block_x", frames.in_bounds(F.col("block_y") * 8, F.col("block_x") * 8, F.col("dy"), F.col("dx"), 8, SIDE, SIDE).alias("inside")),
+    "vector_bounds", lambda s, d: _vectors(s, d).select("frame", "block_y", "block_x", frames.in_bounds(F.col("block_y") * 8, F.col("block_x") * 8, F.col("dy"), F.col("dx"), 8, SIDE, SIDE).alias("inside")),
     f"select frame, block_y, block_x, block_y * 16 + dy >= 0 and block_x * 16 + dx >= 0 and block_y * 16 + dy <= 48 and block_x * 16 + dx <= 48 as inside from {_VECTORS_SQL}",
 )
 register(
-    "motion_search", lambda s, d: frames.motion_search(pixel_rows(s, planes=1), pixel_rows(s, planes=1), size=8),
+    "motion_search", lambda s, d: frames.motion_search(pixel_rows(s, d, planes=1), pixel_rows(s, d, planes=1), size=8),
     f"""with c as (select a.frame, a.plane, a.y // 8 as block_y, a.x // 8 as block_x, dy, dx, sum((a.v - r.v) * (a.v - r.v))::bigint as sse, count(*) as n
-        from {pixel_sql(planes=1)} a, (select unnest(range(-4, 4)) as dy), (select unnest(range(-4, 4)) as dx), {pixel_sql(planes=1)} r
+        from {pixel_sql(planes=1)} a, (select unnest(range(-7, 9)) as dy), (select unnest(range(-7, 9)) as dx), {pixel_sql(planes=1)} r
         where r.frame = a.frame - 1 and r.plane = a.plane and r.y = a.y + dy and r.x = a.x + dx group by 1, 2, 3, 4, 5, 6),
     k as (select *, row_number() over (partition by frame, plane, block_y, block_x order by sse, case when dy = 0 and dx = 0 then 0 else 1 end, dy, dx) as r from c where n = 64)
     select frame, plane, block_y, block_x, dy, dx, sse from k where r = 1""",

@@ -85,7 +85,7 @@ register(
     "select doc_id::varchar as file, 320::bigint as width, 240::bigint as height, 25::bigint as num, 1::bigint as den from documents",
 )
 register("picture_kinds", lambda s, d: _marks(s, d).where("code = 0").groupBy("file", scans.picture_kind(F.col("head")).alias("kind")).count(),
-    r"""with w as (select doc_id::varchar as file, least(40, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0d\x20]+'), lambda x: x <> ''))) as n from documents)
+    r"""with w as (select doc_id::varchar as file, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0d\x20]+'), lambda x: x <> '')) as n from documents)
     select file, ['I', 'B', 'B', 'P'][k % 4 + 1] as kind, count(*) as count from (select file, unnest(range(n)) as k from w) group by 1, 2""")
 
 

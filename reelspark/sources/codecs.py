@@ -33,6 +33,13 @@ def adpcm_step(pred: int, index: int, code: int) -> tuple[int, int]:
     return _limit(pred + _cut((2 * code - 15) * STEPS[index], 8), -32768, 32767), _limit(index + CHANGES[code], 0, len(STEPS) - 1)
 
 
+def _first_state(head: bytes) -> tuple[int, int]:
+    """Predictor and step index of the two bytes that start a channel: nine bits of the sample, seven of the index."""
+    word = int.from_bytes(head, "little")
+    high = word & 0xFF80
+    return (high - 65536 if high >= 32768 else high | high >> 8), word & 0x7F
+
+
 def adpcm_decode(packet: bytes, channels: int) -> list[int] | None:
     """Interleaved samples of a packet that starts with each channel's state; None if malformed."""
     per = len(packet) // channels
@@ -40,9 +47,7 @@ def adpcm_decode(packet: bytes, channels: int) -> list[int] | None:
         return None
     state = []
     for c in range(channels):
-        word = int.from_bytes(packet[2 * c : 2 * c + 2], "little")
-        index, pred = word & 0x7F, word & 0xFF80
-        pred = pred - 65536 if pred >= 32768 else pred | pred >> 8
+        pred, index = _first_state(packet[2 * c : 2 * c + 2])
         if index >= len(STEPS):
             return None
         state.append([pred, index])
@@ -91,38 +96,39 @@ def adpcm_decode_many(packets: list[bytes]) -> list[np.ndarray | None]:
 
 
 def adpcm_code(sample: int, pred: int, index: int) -> int:
-    """The code that lands nearer to a sample, of the two that enclose it; a tie takes the smaller."""
-    step, diff = STEPS[index], sample - pred
-    high = (abs(diff) * 8 + step - 1) // step // 2
-    best = None
-    for k in (high - 1, high):
-        k = _limit(k, -1, 7)
-        k = -1 - k if diff < 0 else k
-        miss = (_limit(_cut((2 * k + 1) * step, 8) + pred, -32768, 32767) - sample) ** 2
-        if best is None or miss < best[0]:
-            best = (miss, k)
-    return best[1] + 8
+    """The code whose reconstruction, over all sixteen, lies nearest to a sample; of equal ones the lowest."""
+    return min(range(16), key=lambda code: (abs(adpcm_step(pred, index, code)[0] - sample), code))
 
 
 def adpcm_encode(samples: list[int], channels: int, index: int = 0) -> bytes:
     """One packet of interleaved samples; an even number for each channel."""
-    head, state = b"", []
+    heads, codes = [], np.zeros((channels, len(samples) // channels), np.uint8)
     for c in range(channels):
-        word = (samples[c] if samples else 0) & 0xFF80 | index
-        head += (word & 0xFFFF).to_bytes(2, "little")
-        pred = word & 0xFF80
-        pred = pred - 65536 if pred >= 32768 else pred | pred >> 8
-        state.append((pred, index))
-    body = bytearray()
-    for at in range(0, len(samples), 2 * channels):
-        for c in range(channels):
-            codes = []
-            for s in (samples[at + c], samples[at + channels + c]):
-                code = adpcm_code(s, *state[c])
-                state[c] = adpcm_step(*state[c], code)
-                codes.append(code)
-            body.append(codes[0] | codes[1] << 4)
-    return head + bytes(body)
+        own = samples[c::channels]
+        heads.append(((own[0] if own else 0) & 0xFF80 | index).to_bytes(2, "little"))
+        pred, at = _first_state(heads[c])
+        for k, sample in enumerate(own):
+            codes[c, k] = adpcm_code(sample, pred, at)
+            pred, at = adpcm_step(pred, at, int(codes[c, k]))
+    return b"".join(heads) + (codes[:, 0::2] | codes[:, 1::2] << 4).T.tobytes()
+
+
+#: what a code adds to the predictor by step index, and between which doubled differences each code is nearest
+_ADDED = np.array([[_cut((2 * code - 15) * step, 8) for code in range(16)] for step in STEPS])
+_SPAN = 1 << 19
+_BOUNDS = (_ADDED[:, 1:] + _ADDED[:, :-1] + np.arange(len(STEPS))[:, None] * 2 * _SPAN).ravel()
+
+
+def _nearest_codes(sample: np.ndarray, pred: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """``adpcm_code`` of many samples: a search among the midpoints of a state's reconstructions.
+
+    Beyond the range of samples reconstructions are cut to it, so there a neighbour may be nearer.
+    """
+    code = np.searchsorted(_BOUNDS, 2 * (sample - pred) + index * 2 * _SPAN) - 15 * index
+    reach = 2 * np.array(STEPS)[index]
+    for k in np.flatnonzero((pred + reach > 32767) | (pred - reach < -32768)).tolist():
+        code[k] = adpcm_code(int(sample[k]), int(pred[k]), int(index[k]))
+    return code
 
 
 def adpcm_encode_many(packets: list[np.ndarray], index: int = 0) -> list[bytes]:
@@ -133,38 +139,21 @@ def adpcm_encode_many(packets: list[np.ndarray], index: int = 0) -> list[bytes]:
     size = np.array([len(packets[k]) for k in order])
     start = np.concatenate([[0], np.cumsum(size)])
     samples = np.concatenate([np.asarray(packets[k], np.int16) for k in order])
-    words = np.array([int(packets[k][0]) if len(packets[k]) else 0 for k in order]) & 0xFF80 | index
-    pred = words & 0xFF80
-    pred = np.where(pred >= 32768, pred - 65536, pred | pred >> 8)
-    at_step = np.full(len(order), index)
-    steps, changes = np.array(STEPS), np.array(CHANGES)
+    heads = [((int(packets[k][0]) if len(packets[k]) else 0) & 0xFF80 | index).to_bytes(2, "little") for k in order]
+    pred, at_step = (np.array(v) for v in zip(*map(_first_state, heads)))
+    changes = np.array(CHANGES)
     codes = np.empty(len(samples), np.uint8)
     live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")
     for t, n in enumerate(live.tolist()):
-        at, now, step = start[:n] + t, pred[:n], steps[at_step[:n]]
-        sample = samples[at].astype(np.int64)
-        diff = sample - now
-        high = (np.abs(diff) * 8 + step - 1) // step // 2
-        best = miss = None
-        for k in (high - 1, high):
-            k = np.clip(k, -1, 7)
-            k = np.where(diff < 0, -1 - k, k)
-            delta = (2 * k + 1) * step
-            got = np.clip(now + np.sign(delta) * (np.abs(delta) >> 3), -32768, 32767)
-            off = (got - sample) ** 2
-            if best is None:
-                best, miss, value = k, off, got
-            else:
-                nearer = off < miss
-                best, value = np.where(nearer, k, best), np.where(nearer, got, value)
-        code = best + 8
-        pred[:n] = value
-        at_step[:n] = np.clip(at_step[:n] + changes[code], 0, len(STEPS) - 1)
+        at = start[:n] + t
+        code = _nearest_codes(samples[at].astype(np.int64), pred[:n], at_step[:n])
         codes[at] = code
+        pred[:n] = np.clip(pred[:n] + _ADDED[at_step[:n], code], -32768, 32767)
+        at_step[:n] = np.clip(at_step[:n] + changes[code], 0, len(STEPS) - 1)
     body = codes[0::2] | codes[1::2] << 4
     out = [b""] * len(packets)
-    for k, word, a, b in zip(order, words.tolist(), start[:-1] // 2, start[1:] // 2):
-        out[k] = (word & 0xFFFF).to_bytes(2, "little") + body[a:b].tobytes()
+    for k, head, a, b in zip(order, heads, start[:-1] // 2, start[1:] // 2):
+        out[k] = head + body[a:b].tobytes()
     return out
 
 
