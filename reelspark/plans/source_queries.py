@@ -68,8 +68,11 @@ register("ogg_damage", lambda s, d: scans.ogg_pages(_files(s, d, lambda t: b"jun
 
 
 def _mpeg_of(text: bytes) -> bytes:
-    out = [b"\0\0\1\xb3" + bytes([0x14, 0x00, 0xF0, 0x13, 0xFF, 0xFF, 0xE0, 0x18])]
-    for k, word in enumerate(text.split()):
+    """A sequence header whose size and rate follow from the text, then a picture and a slice for each word."""
+    words = text.split()
+    size = (16 + len(text) % 4000) << 12 | 16 + len(words) % 4000
+    out = [b"\0\0\1\xb3" + size.to_bytes(3, "big") + bytes([0x10 | 1 + len(words) % 8, 0xFF, 0xFF, 0xE0, 0x18])]
+    for k, word in enumerate(words):
         kind = (1, 3, 3, 2)[k % 4]
         out.append(b"\0\0\1\0" + bytes([0, kind << 3]) + word + b"\0\0\1\1" + word[::-1])
     return b"".join(out)
@@ -79,23 +82,45 @@ def _marks(s, d):
     return scans.start_codes(_files(s, d, _mpeg_of))
 
 
-register("start_codes", lambda s, d: _marks(s, d).select("file", "pos", "code", "file_size"))
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0d\x20]+'), lambda x: x <> '')"
+register("start_codes", lambda s, d: _marks(s, d).select("file", "pos", "code", "file_size"),
+    f"""with w as (select doc_id::varchar as file, list_transform({_WORDS}, lambda x: strlen(x)) as l from documents),
+    k as (select file, unnest(l) as n, generate_subscripts(l, 1) as k from w),
+    o as (select file, n, 12 + coalesce(sum(10 + 2 * n) over (partition by file order by k rows between unbounded preceding and 1 preceding), 0) as pos from k),
+    m as (select file, pos, 0 as code from o union all select file, pos + 6 + n, 1 from o union all select file, 0, 179 from w)
+    select file, pos::bigint as pos, code, (12 + 10 * len(l) + 2 * coalesce(list_sum(l), 0))::bigint as file_size from m join w using (file)""")
 register(
     "sequence_headers", lambda s, d: _marks(s, d).where("code = 179").select("file", scans.sequence_header(F.col("head")).alias("h")).select("file", "h.*"),
-    "select doc_id::varchar as file, 320::bigint as width, 240::bigint as height, 25::bigint as num, 1::bigint as den from documents",
+    f"""with t as (select doc_id::varchar as file, strlen(coalesce(text, '')) as n, len({_WORDS}) as w from documents)
+    select file, (16 + n % 4000)::bigint as width, (16 + w % 4000)::bigint as height, [24000, 24, 25, 30000, 30, 50, 60000, 60][w % 8 + 1]::bigint as num,
+    [1001, 1, 1, 1001, 1, 1, 1001, 1][w % 8 + 1]::bigint as den from t""",
 )
 register("picture_kinds", lambda s, d: _marks(s, d).where("code = 0").groupBy("file", scans.picture_kind(F.col("head")).alias("kind")).count(),
     r"""with w as (select doc_id::varchar as file, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0d\x20]+'), lambda x: x <> '')) as n from documents)
     select file, ['I', 'B', 'B', 'P'][k % 4 + 1] as kind, count(*) as count from (select file, unnest(range(n)) as k from w) group by 1, 2""")
 
 
+#: bitrate codes of the table's rows for 128, 160, 192 kbit/s, chosen by document
+_MP2_RATES = ((8, 128), (9, 160), (10, 192))
+
+
 def _mp2_of(text: bytes) -> bytes:
-    size = 192 * 144_000 // 44100
-    return b"".join(b"\xff\xfd\xa0\x00" + (text * 700)[k : k + size - 4].ljust(size - 4, b"x") for k in range(3))
+    """The whole text, over as many frames as it fills; the bitrate changes from frame to frame."""
+    out, at, k = [], 0, 0
+    while at < len(text) or not k:
+        code, kbits = _MP2_RATES[k % 3]
+        size = kbits * 144_000 // 44100
+        out.append(b"\xff\xfd" + bytes([code << 4, 0]) + text[at : at + size - 4].ljust(size - 4, b"x"))
+        at, k = at + size - 4, k + 1
+    return b"".join(out)
 
 
+#: three frames hold 413 + 518 + 622 bytes of text
 register("mp2_frames", lambda s, d: scans.mp2_frames(_files(s, d, _mp2_of)).select("file", "pos", "rate", "kbits", "channels", "crc", "size", "bad"),
-    "select doc_id::varchar as file, k * 626 as pos, 44100 as rate, 192 as kbits, 2 as channels, false as crc, 626 as size, null::varchar as bad from documents, (select unnest(range(3)) as k)")
+    """with t as (select doc_id::varchar as file, strlen(coalesce(text, '')) as n from documents),
+    f as (select file, n, unnest(range(3 * (n // 1553 + 1))) as k from t),
+    g as (select *, (k // 3) * 1553 + [0, 413, 931][k % 3 + 1] as before, (k // 3) * 1565 + [0, 417, 939][k % 3 + 1] as pos from f)
+    select file, pos, 44100 as rate, [128, 160, 192][k % 3 + 1] as kbits, 2 as channels, false as crc, [417, 522, 626][k % 3 + 1] as size, null::varchar as bad from g where before < n or k = 0""")
 
 
 def _wav_of(text: bytes) -> bytes:
@@ -108,17 +133,22 @@ def _wav_of(text: bytes) -> bytes:
 register("riff_chunks", lambda s, d: scans.riff_chunks(_files(s, d, _wav_of)).select("file", "path", "depth", "fourcc", "size"),
     """select doc_id::varchar as file, p as path, dd::int as depth, f as fourcc, case f when 'RIFF' then 44 + n when 'fmt ' then 16 when 'note' then 3 else n end::bigint as size
     from (select doc_id, strlen(coalesce(text, '')) // 4 * 4 as n from documents), (values ('/WAVE', 0, 'RIFF'), ('/WAVE/fmt ', 1, 'fmt '), ('/WAVE/note', 1, 'note'), ('/WAVE/data', 1, 'data')) t(p, dd, f)""")
-register("wav_samples", lambda s, d: scans.wav_samples(_files(s, d, _wav_of)).groupBy("file", "ch").agg(F.count("*").alias("n"), F.sum("v").alias("total")))
+register("wav_samples", lambda s, d: scans.wav_samples(_files(s, d, _wav_of)).groupBy("file", "ch").agg(F.count("*").alias("n"), F.sum("v").alias("total")),
+    r"""with t as (select doc_id::varchar as file, hex(encode(coalesce(text, ''))) as h from documents), i as (select file, h, unnest(range(len(h) // 8 * 2)) as i from t),
+    v as (select file, i % 2 as ch, ('0x' || h[4 * i + 3:4 * i + 4] || h[4 * i + 1:4 * i + 2])::int as u from i)
+    select file, ch, count(*) as n, sum(case when u >= 32768 then u - 65536 else u end)::bigint as total from v group by 1, 2""")
 
 
 def _y4m_of(text: bytes) -> bytes:
-    frame = b"FRAME\n" + (text + b"\x80" * 96)[:96]
-    return b"YUV4MPEG2 W8 H8 F25:1 Ip C420jpeg\n" + frame * 2
+    """The whole text, 96 bytes a frame."""
+    cut = range(0, max(1, len(text)), 96)
+    return b"YUV4MPEG2 W8 H8 F25:1 Ip C420jpeg\n" + b"".join(b"FRAME\n" + text[k : k + 96].ljust(96, b"\x80") for k in cut)
 
 
-register("yuv_planes", lambda s, d: scans.yuv_planes(_files(s, d, _y4m_of)).select("file", "frame", "plane", "width", "height", F.octet_length("payload").alias("size")),
-    """select doc_id::varchar as file, f as frame, p as plane, case when p = 0 then 8 else 4 end as width, case when p = 0 then 8 else 4 end as height, case when p = 0 then 64 else 16 end as size
-    from documents, (select unnest(range(2)) as f), (select unnest(range(3)::int[]) as p)""")
+register("yuv_planes", lambda s, d: scans.yuv_planes(_files(s, d, _y4m_of)).select("file", "frame", "plane", "width", "height", F.md5("payload").alias("md5")),
+    r"""with t as (select doc_id::varchar as file, hex(encode(coalesce(text, ''))) as h from documents), f as (select file, h, unnest(range(greatest(1, (len(h) + 191) // 192))) as f from t)
+    select file, f as frame, p as plane, w as width, w as height, md5(unhex(rpad(h[f * 192 + o + 1:f * 192 + least(o + n, 192)], n, '80'))) as md5
+    from f, (values (0, 8, 0, 128), (1, 4, 128, 32), (2, 4, 160, 32)) p(p, w, o, n)""")
 
 
 def _adpcm(s, d):
