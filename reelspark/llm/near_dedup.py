@@ -44,7 +44,7 @@ TREES = 12
 SKETCH = 64
 #: a pair is a candidate if this many of its 64 sketch bytes agree: at a similarity of 0.8, 51 are expected, and fewer than 38 have a probability of 1e-5
 AGREE = 0.59
-LEAF = 512
+LEAF = 1024
 BRANCHES = 2
 LEVELS = 6
 PIVOTS = 4
