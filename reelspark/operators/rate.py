@@ -1,16 +1,17 @@
 """Rate and distortion: frontiers, budgets, statistics, and recurrences.
 
-Recurrences that saturate or clamp are not prefix sums; they run as grouped pandas
-functions of one stream each.
+Recurrences that round at every step are no window sums; they stream over partitions sorted by
+stream, with one stream's last values as state, so a stream of any length takes little memory.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,10 +122,7 @@ def top_two(scores: DataFrame, group: str, score: str, tie: str) -> DataFrame:
 
 def correlate(samples: DataFrame, lags: list[int], stream: str = "stream", at: str = "n") -> DataFrame:
     """(stream, lag, r): sums of x[n] * x[n + lag], as an equi-join on positions."""
-    a = samples.select(stream, F.col(at).alias("n"), F.col("v").alias("x"), F.explode(F.array(*map(F.lit, lags))).alias("lag"))
-    b = samples.select(stream, F.col(at).alias("m"), F.col("v").alias("y"))
-    met = a.withColumn("m", F.col("n") + F.col("lag")).join(b, [stream, "m"])
-    return met.groupBy(stream, "lag").agg(F.sum(F.col("x").cast("long") * F.col("y")).alias("r"))
+    return cross_correlate(samples, samples, lags, stream, at)
 
 
 def band_energy(spectrum: DataFrame, edges: list[int], group: str = "frame") -> DataFrame:
@@ -158,10 +156,14 @@ def merge_moments(parts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def nearest_quantiser(targets: DataFrame, table: DataFrame) -> DataFrame:
-    """(target_id, q): the entry closest to each target; ties to the one closest to the old q, then the lower."""
-    met = targets.join(F.broadcast(table), F.lit(True))
-    key = F.struct(F.abs(F.col("log_q") - F.col("target")), F.abs(F.col("q") - F.col("old_q")), F.col("q"))
-    return met.groupBy("target_id").agg(F.min_by("q", key).alias("q"))
+    """(target_id, q): the entry closest to each target; ties to the one closest to the old q, then the lower.
+
+    The table has one row for each quantiser (at most some hundreds), so it is one array for all targets, and nothing is joined.
+    """
+    entries = table.agg(F.sort_array(F.collect_list(F.struct("q", "log_q")))).scalar()
+    rows = targets.withColumn("entries", entries)
+    key = F.transform("entries", lambda e: F.struct(F.abs(e["log_q"] - F.col("target")).alias("d"), F.abs(e["q"] - F.col("old_q")).alias("o"), e["q"].alias("q")))
+    return rows.select("target_id", F.array_min(key)["q"].alias("q"))
 
 
 def bisect(low: int, high: int, value, rounds: int = 32) -> int:
@@ -179,55 +181,117 @@ def bisect(low: int, high: int, value, rounds: int = 32) -> int:
 # ---------------------------------------------------------------- recurrences
 
 
-def recur(rows: DataFrame, stream: str, at: str, column: str, out: str, step, kind: str = "long") -> DataFrame:
-    """Apply ``step(values) -> values`` to each stream's column in order, one stream a group."""
+def recur(rows: DataFrame, stream: str, at: str, columns: list[str], out: str, step, kind: str = "long") -> DataFrame:
+    """(stream, at, out): ``step(state, *values) -> (out, state)`` for each row of a stream in order; state is None at first."""
+    arrow = pa.float64() if kind == "double" else pa.int64()
+
+    def run(batches):
+        now, state = None, None
+        for batch in batches:
+            result = []
+            for key, *values in zip(*(batch.column(c).to_pylist() for c in (stream, *columns))):
+                if key != now:
+                    now, state = key, None
+                value, state = step(state, *values)
+                result.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(stream), batch.column(at), pa.array(result, arrow)], [stream, at, out])
+
+    ordered = rows.select(stream, at, *columns).where(F.col(stream).isNotNull()).repartition(stream).sortWithinPartitions(stream, at)
+    return ordered.mapInArrow(run, f"{stream} long, {at} long, {out} {kind}")
+
+
+def leaky_bucket(samples: DataFrame, floor: int = 0, column: str = "v", stream: str = "stream", at: str = "n", out: str = "out") -> DataFrame:
+    """Add the running sum that starts at 0 and never falls below ``floor``.
+
+    It is the plain running sum plus what its lowest value so far lacked to the floor: two sums over one window.
+    """
+    w = Window.partitionBy(stream).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    plain = samples.withColumn("_sum", F.sum(F.col(column).cast("long")).over(w))
+    lacked = F.greatest(F.lit(0), F.lit(floor) - F.min("_sum").over(w))
+    return plain.withColumn(out, F.col("_sum") + lacked).drop("_sum")
+
+
+def moving_distortion(target: int):
+    """Step of the target distortion: six tenths of the old and four of the new, then nudged by the byte slip.
+
+    Up by a twentieth beyond three frames of slip, by a fortieth beyond one, down by a twentieth below minus one.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at)
-        return pd.DataFrame({stream: pdf[stream], at: pdf[at], out: step(pdf[column].to_numpy())})
+    def step(state, dist, slip):
+        now = dist if state is None else state * 6 // 10 + dist * 4 // 10
+        if slip > 3 * target:
+            now += now // 20
+        elif slip > target:
+            now += now // 40
+        elif slip < -target:
+            now -= now // 20
+        return now, now
 
-    return rows.select(stream, at, column).groupBy(stream).applyInPandas(run, f"{stream} long, {at} long, {out} {kind}")
+    return step
 
 
-def leaky_bucket(v: np.ndarray, floor: int = 0) -> np.ndarray:
-    """Running sum that never falls below ``floor``."""
-    out, s = np.empty(len(v), np.int64), 0
-    for i, x in enumerate(v.tolist()):
-        s = max(floor, s + int(x))
-        out[i] = s
-    return out
+def two_pole_coefficients(delay: int) -> tuple[int, int, int]:
+    """Gain and feedback, in Q24, of a second-order Bessel low-pass that reacts within ``delay`` samples."""
+    warp = math.tan(1 / delay)
+    k1, k2 = 3 * warp, 3 * warp * warp
+    a = k2 / (1 + k1 + k2)
+    b1 = 2 * a * (1 / k2 - 1)
+    return tuple(round(v * (1 << 24)) for v in (a, b1, 1 - 4 * a - b1))
 
 
-def moving_distortion(v: np.ndarray) -> np.ndarray:
-    """(6 * old + 4 * new) / 10 in integers; the first value stands for itself."""
-    out, s = np.empty(len(v), np.int64), None
-    for i, x in enumerate(v.tolist()):
-        s = int(x) if s is None else (6 * s + 4 * int(x)) // 10
-        out[i] = s
-    return out
+def two_pole(delay: int):
+    """Step of the second-order low-pass in Q24; the first value stands for all before it."""
+    gain, c0, c1 = two_pole_coefficients(delay)
 
+    def step(state, x):
+        x1, x2, y1, y2 = state or (x, x, x, x)
+        y = ((x + 2 * x1 + x2) * gain + y1 * c0 + y2 * c1 + (1 << 23)) >> 24
+        return y, (x, x1, y, y1)
 
-def two_pole(v: np.ndarray, g: int = 1 << 20) -> np.ndarray:
-    """Second-order low-pass in Q24: y += 2 * gain * (x - y) twice over."""
-    out, a, b = np.empty(len(v), np.int64), 0, 0
-    for i, x in enumerate(v.tolist()):
-        a += ((int(x) - a) * g) >> 22
-        b += ((a - b) * g) >> 22
-        out[i] = b
-    return out
+    return step
 
 
-def pre_emphasis(v: np.ndarray, k: float = 0.85) -> np.ndarray:
-    x = v.astype(float)
-    return x - k * np.concatenate([[0.0], x[:-1]])
+def pre_emphasis(samples: DataFrame, k: float = 0.85, stream: str = "stream", at: str = "n") -> DataFrame:
+    """Add ``out``: a sample less ``k`` times the one before."""
+    before = F.coalesce(F.lag("v").over(Window.partitionBy(stream).orderBy(at)), F.lit(0))
+    return samples.withColumn("out", F.col("v").cast("double") - F.lit(k) * before)
 
 
-def de_emphasis(v: np.ndarray, k: float = 0.85) -> np.ndarray:
-    out, m = np.empty(len(v)), 0.0
-    for i, x in enumerate(v.tolist()):
-        m = x + k * m
-        out[i] = m
-    return out
+def de_emphasis(k: float = 0.85):
+    """Step that undoes ``pre_emphasis``."""
+
+    def step(state, x):
+        now = x + k * (state or 0.0)
+        return now, now
+
+    return step
+
+
+def iir(samples: DataFrame, feedback: list[float], stream: str = "stream", at: str = "n") -> DataFrame:
+    """(stream, at, y): y[n] = x[n] - sum of feedback[k] * y[n - 1 - k]."""
+
+    def step(state, x):
+        old = state or (0.0,) * len(feedback)
+        y = x - sum(c * v for c, v in zip(feedback, old))
+        return y, (y, *old[:-1])
+
+    return recur(samples.withColumn("x", F.col("v").cast("double")), stream, at, ["x"], "y", step, "double")
+
+
+def comb(samples: DataFrame, period: int, taps: list[int], stream: str = "stream", at: str = "n") -> DataFrame:
+    """Add ``y``: a sample plus ``taps`` times those around one period earlier; samples before the start are 0."""
+    w = Window.partitionBy(stream).orderBy(at)
+    side = len(taps) // 2
+    back = sum((F.coalesce(F.lag("v", period + k - side).over(w), F.lit(0)) * t for k, t in enumerate(taps)), F.lit(0).cast("long"))
+    return samples.withColumn("y", F.col("v") + back)
+
+
+def cross_correlate(a: DataFrame, b: DataFrame, lags: list[int], stream: str = "stream", at: str = "n") -> DataFrame:
+    """(stream, lag, r): sums of a[n] * b[n + lag], as an equi-join on positions."""
+    left = a.select(stream, F.col(at).alias("n"), F.col("v").alias("x"), F.explode(F.array(*map(F.lit, lags))).alias("lag"))
+    right = b.select(stream, F.col(at).alias("m"), F.col("v").alias("y"))
+    met = left.withColumn("m", F.col("n") + F.col("lag")).join(right, [stream, "m"])
+    return met.groupBy(stream, "lag").agg(F.sum(F.col("x").cast("long") * F.col("y")).alias("r"))
 
 
 def fir(samples: DataFrame, taps: list[int], stream: str = "stream", at: str = "n") -> DataFrame:

@@ -188,9 +188,23 @@ def mix_groups(sources: DataFrame) -> DataFrame:
     return g.where("rates = 1").drop("rates")
 
 
-def sort_sources(sources: DataFrame) -> DataFrame:
+def ranked(rows: DataFrame, order: list[Column], materialise) -> DataFrame:
+    """Add ``rank``, from 1: a global rank without a single task that sees all rows.
+
+    Rows are range-partitioned and sorted, written once, counted by part, and numbered from
+    the rows of the parts before. The parts' counts are one row for each part.
+    """
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    parts = materialise(parts, "ranges")
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_in", inside).join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+
+
+def sort_sources(sources: DataFrame, materialise) -> DataFrame:
     """Sources with a device first, then by device, layout and metaID: adds ``rank``."""
-    return sources.withColumn("rank", F.row_number().over(Window.orderBy(F.col("device").asc_nulls_last(), "layout", "meta_id", "source_id")))
+    return ranked(sources, [F.col("device").asc_nulls_last(), F.col("layout"), F.col("meta_id"), F.col("source_id")], materialise)
 
 
 def with_audio_syncs(frames: DataFrame, samples: int, file: str = "file", order: str = "seq") -> DataFrame:

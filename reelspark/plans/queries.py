@@ -189,13 +189,8 @@ register(
 )
 
 
-def _elbg(s, d):
-    from . import store
-
-    return vq.elbg(points(s, d), codebook(s, d), materialise=store.materialise)
-
-
-register("vq_elbg", _elbg)
+register("vq_elbg", lambda s, d: vq.elbg(points(s, d), codebook(s, d)))
+register("vq_elbg_start", lambda s, d: vq.start_codebook(points(s, d), points(s, d).count(), K))
 
 # ---------------------------------------------------------------- frames
 
@@ -309,9 +304,10 @@ register(
 )
 register(
     "motion_search", lambda s, d: frames.motion_search(pixel_rows(s, d, planes=1), pixel_rows(s, d, planes=1), size=8),
-    f"""with c as (select a.frame, a.plane, a.y // 8 as block_y, a.x // 8 as block_x, dy, dx, sum((a.v - r.v) * (a.v - r.v))::bigint as sse, count(*) as n
-        from {pixel_sql(planes=1)} a, (select unnest(range(-7, 9)) as dy), (select unnest(range(-7, 9)) as dx), {pixel_sql(planes=1)} r
-        where r.frame = a.frame - 1 and r.plane = a.plane and r.y = a.y + dy and r.x = a.x + dx group by 1, 2, 3, 4, 5, 6),
+    f"""with px as materialized (select * from {pixel_sql(planes=1)}),
+    m as materialized (select frame - 1 as ref, plane, y, x, v, dy, dx, y + dy as ry, x + dx as rx from px, (select unnest(range(-7, 9)) as dy), (select unnest(range(-7, 9)) as dx)),
+    c as (select ref + 1 as frame, m.plane, m.y // 8 as block_y, m.x // 8 as block_x, dy, dx, sum((m.v - r.v) * (m.v - r.v))::bigint as sse, count(*) as n
+        from m join px r on r.frame = m.ref and r.plane = m.plane and r.y = m.ry and r.x = m.rx group by all),
     k as (select *, row_number() over (partition by frame, plane, block_y, block_x order by sse, case when dy = 0 and dx = 0 then 0 else 1 end, dy, dx) as r from c where n = 64)
     select frame, plane, block_y, block_x, dy, dx, sse from k where r = 1""",
 )

@@ -60,9 +60,9 @@ def _pages_of(text: bytes) -> bytes:
 
 
 register(
-    "ogg_packets", lambda s, d: scans.ogg_packets(scans.ogg_pages(_files(s, d, _pages_of))).select("file", "packet", "size", "hole"),
+    "ogg_packets", lambda s, d: scans.ogg_packets(scans.ogg_pages(_files(s, d, _pages_of))).select("file", "packet", "size", "hole", F.md5("payload").alias("md5")),
     r"""with l as (select doc_id::varchar as file, string_split(coalesce(text, ''), chr(10)) as l from documents)
-    select file, (k - 1)::bigint as packet, strlen(l[k])::bigint as size, false as hole from (select file, l, unnest(range(1, len(l) + 1)) as k from l)""",
+    select file, (k - 1)::bigint as packet, strlen(l[k])::bigint as size, false as hole, md5(l[k]) as md5 from (select file, l, unnest(range(1, len(l) + 1)) as k from l)""",
 )
 register("ogg_damage", lambda s, d: scans.ogg_pages(_files(s, d, lambda t: b"junk" + _pages_of(t)[:-1])).groupBy("file").agg(F.count("bad").alias("n_bad"), F.count("page_no").alias("n_good")))
 
@@ -134,8 +134,8 @@ register("riff_chunks", lambda s, d: scans.riff_chunks(_files(s, d, _wav_of)).se
     """select doc_id::varchar as file, p as path, dd::int as depth, f as fourcc, case f when 'RIFF' then 44 + n when 'fmt ' then 16 when 'note' then 3 else n end::bigint as size
     from (select doc_id, strlen(coalesce(text, '')) // 4 * 4 as n from documents), (values ('/WAVE', 0, 'RIFF'), ('/WAVE/fmt ', 1, 'fmt '), ('/WAVE/note', 1, 'note'), ('/WAVE/data', 1, 'data')) t(p, dd, f)""")
 register("wav_samples", lambda s, d: scans.wav_samples(_files(s, d, _wav_of)).groupBy("file", "ch").agg(F.count("*").alias("n"), F.sum("v").alias("total")),
-    r"""with t as (select doc_id::varchar as file, hex(encode(coalesce(text, ''))) as h from documents), i as (select file, h, unnest(range(len(h) // 8 * 2)) as i from t),
-    v as (select file, i % 2 as ch, ('0x' || h[4 * i + 3:4 * i + 4] || h[4 * i + 1:4 * i + 2])::int as u from i)
+    r"""with t as (select doc_id::varchar as file, regexp_extract_all(hex(encode(coalesce(text, ''))), '.{8}') as l from documents), i as (select file, unnest(l) as h from t),
+    v as (select file, ch, ('0x' || h[4 * ch + 3:4 * ch + 4] || h[4 * ch + 1:4 * ch + 2])::int as u from i, (select unnest(range(2)) as ch))
     select file, ch, count(*) as n, sum(case when u >= 32768 then u - 65536 else u end)::bigint as total from v group by 1, 2""")
 
 

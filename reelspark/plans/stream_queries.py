@@ -125,7 +125,7 @@ def _sources(s, d):
 _SOURCES_SQL = """(select s_suppkey as source_id, case when s_nationkey % 4 <> 0 then s_nationkey end as device, s_suppkey % 2 as layout, right(s_name, 8) as meta_id,
     case when s_nationkey % 5 = 0 then (s_suppkey % 2 + 1) * 22050 else 44100 end as rate, cast(floor(s_acctbal) as bigint) as available from supplier)"""
 register("mix_groups", lambda s, d: stream.mix_groups(_sources(s, d)), f"select device, min(available) as available, count(*) as n_sources from {_SOURCES_SQL} where device is not null group by device having count(distinct rate) = 1")
-register("source_sort", lambda s, d: stream.sort_sources(_sources(s, d)).select("source_id", "rank"), f"select source_id, row_number() over (order by device nulls last, layout, meta_id, source_id) as rank from {_SOURCES_SQL}")
+register("source_sort", lambda s, d: stream.sort_sources(_sources(s, d), store.materialise).select("source_id", "rank"), f"select source_id, row_number() over (order by device nulls last, layout, meta_id, source_id) as rank from {_SOURCES_SQL}")
 
 # ---------------------------------------------------------------- blocks
 
@@ -198,7 +198,13 @@ register(
 _PARETO = f"""(select block_id, opt, bits, dist from (select *, min(dist) over (partition by block_id order by bits, dist, opt rows between unbounded preceding and 1 preceding) as best
     from {OPTIONS_SQL}) where best is null or dist < best)"""
 register("rd_frontier", lambda s, d: rate.pareto(options(s, d)), f"select * from {_PARETO}")
-register("rd_hull", lambda s, d: rate.hull(options(s, d)))
+register(
+    "rd_hull", lambda s, d: rate.hull(options(s, d)),
+    f"""with recursive o as {OPTIONS_SQL}, r as (select block_id, opt, bits, dist, 0 as step from (select *, row_number() over (partition by block_id order by dist, bits, opt) as k from o) where k = 1
+        union all select block_id, opt, bits, dist, step from (select o.*, r.step + 1 as step, row_number() over (partition by o.block_id order by (o.dist - r.dist) / (r.bits - o.bits)::double, o.dist, o.opt) as k
+        from o join r on r.block_id = o.block_id and o.dist > r.dist and o.bits < r.bits) where k = 1)
+    select * from r""",
+)
 _STEPS = f"""(select block_id, opt, lag(bits) over w - bits as saved, dist - lag(dist) over w as added from {_PARETO} window w as (partition by block_id order by dist, opt) qualify saved is not null)"""
 register(
     "rd_budget", lambda s, d: rate.budget(rate.marginal_steps(rate.pareto(options(s, d))).withColumn("frame", F.floor(F.col("block_id") / 256)), "frame", 400),
@@ -293,11 +299,56 @@ register(
     """select target_id, q from (select p_partkey as target_id, q, row_number() over (partition by p_partkey order by abs(q * 16 - (p_partkey * 37) % 500), abs(q - p_size % 32), q) as r
     from part, (select unnest(range(32)) as q)) where r = 1""",
 )
-for _name, _step in (("leaky_bucket", rate.leaky_bucket), ("moving_distortion", rate.moving_distortion), ("two_pole", rate.two_pole)):
-    register(_name, lambda s, d, f=_step: rate.recur(_samples(s, d), "stream", "n", "v", "out", f))
-ORACLE_EMPHASIS = f"select stream, n, round(v - 0.85 * coalesce(lag(v) over (partition by stream order by n), 0), 6) as out from {_SAMPLES_SQL}"
-register("pre_emphasis", lambda s, d: rate.recur(_samples(s, d), "stream", "n", "v", "out", rate.pre_emphasis, "double").select("stream", "n", F.round("out", 6).alias("out")), ORACLE_EMPHASIS)
-register("de_emphasis", lambda s, d: rate.recur(rate.recur(_samples(s, d), "stream", "n", "v", "out", rate.pre_emphasis, "double"), "stream", "n", "out", "v", rate.de_emphasis, "double").select("stream", "n", F.round("v", 4).alias("v")), f"select stream, n, v::double as v from {_SAMPLES_SQL}")
+_SUM_SQL = f"(select stream, n, v, sum(v) over (partition by stream order by n) as s from {_SAMPLES_SQL})"
+register(
+    "leaky_bucket", lambda s, d: rate.leaky_bucket(_samples(s, d)).select("stream", "n", "out"),
+    f"select stream, n, (s + greatest(0, -min(s) over (partition by stream order by n)))::bigint as out from {_SUM_SQL}",
+)
+_TARGET, _DELAY = 400, 6
+
+
+def _moving(s, d):
+    slips = rate.leaky_bucket(_samples(s, d), -4 * _TARGET, out="slip").select("stream", "n", F.abs("v").alias("dist"), "slip")
+    return rate.recur(slips, "stream", "n", ["dist", "slip"], "out", rate.moving_distortion(_TARGET))
+
+
+register(
+    "moving_distortion", _moving,
+    f"""with recursive s as (select stream, n, abs(v) as dist, s + greatest(0, {-4 * _TARGET} - min(s) over (partition by stream order by n)) as slip from {_SUM_SQL}),
+    r as (select stream, n, (case when slip > {3 * _TARGET} then dist + dist // 20 when slip > {_TARGET} then dist + dist // 40 when slip < {-_TARGET} then dist - dist // 20 else dist end)::bigint as out from s where n = 0
+        union all select s.stream, s.n, (case when slip > {3 * _TARGET} then m + m // 20 when slip > {_TARGET} then m + m // 40 when slip < {-_TARGET} then m - m // 20 else m end)::bigint as out
+        from (select s.*, r.out * 6 // 10 + s.dist * 4 // 10 as m from s join r on r.stream = s.stream and s.n = r.n + 1) s)
+    select stream, n, out from r""",
+)
+_G, _C0, _C1 = rate.two_pole_coefficients(_DELAY)
+register(
+    "two_pole", lambda s, d: rate.recur(_samples(s, d), "stream", "n", ["v"], "out", rate.two_pole(_DELAY)),
+    f"""with recursive s as (select stream, n, v, coalesce(lag(v, 1) over w, first_value(v) over w) as x1, coalesce(lag(v, 2) over w, first_value(v) over w) as x2 from {_SAMPLES_SQL} window w as (partition by stream order by n)),
+    r as (select stream, n, (4 * v * {_G} + v * {_C0} + v * {_C1} + {1 << 23}) >> 24 as y, v as y1 from s where n = 0
+        union all select s.stream, s.n, ((s.v + 2 * x1 + x2) * {_G} + r.y * {_C0} + r.y1 * {_C1} + {1 << 23}) >> 24, r.y from s join r on r.stream = s.stream and s.n = r.n + 1)
+    select stream, n, y as out from r""",
+)
+register(
+    "pre_emphasis", lambda s, d: rate.pre_emphasis(_samples(s, d)).select("stream", "n", F.round("out", 6).alias("out")),
+    f"select stream, n, round(v - 0.85 * coalesce(lag(v) over (partition by stream order by n), 0), 6) as out from {_SAMPLES_SQL}",
+)
+register(
+    "de_emphasis", lambda s, d: rate.recur(rate.pre_emphasis(_samples(s, d)), "stream", "n", ["out"], "v", rate.de_emphasis(), "double").select("stream", "n", F.round("v", 4).alias("v")),
+    f"select stream, n, v::double as v from {_SAMPLES_SQL}",
+)
+register(
+    "iir_filter", lambda s, d: rate.iir(_samples(s, d), [0.5, -0.25]).select("stream", "n", F.round("y", 4).alias("y")),
+    f"""with recursive s as {_SAMPLES_SQL}, r as (select stream, n, v::double as y, 0.0::double as y1 from s where n = 0
+    union all select s.stream, s.n, s.v - 0.5::double * r.y + 0.25::double * r.y1, r.y from s join r on r.stream = s.stream and s.n = r.n + 1) select stream, n, round(y, 4) as y from r""",
+)
+register(
+    "comb_filter", lambda s, d: rate.comb(_samples(s, d), 5, [1, 2, 1]).select("stream", "n", "y"),
+    f"select stream, n, (v + coalesce(lag(v, 4) over w, 0) + 2 * coalesce(lag(v, 5) over w, 0) + coalesce(lag(v, 6) over w, 0))::bigint as y from {_SAMPLES_SQL} window w as (partition by stream order by n)",
+)
+register(
+    "cross_correlation", lambda s, d: rate.cross_correlate(_samples(s, d), _samples(s, d).withColumn("v", F.col("v") % 17), [0, 1, 3]),
+    f"select a.stream, lag::int as lag, sum(a.v * (b.v % 17))::bigint as r from {_SAMPLES_SQL} a, (select unnest([0, 1, 3]) as lag), {_SAMPLES_SQL} b where b.stream = a.stream and b.n = a.n + lag group by 1, 2",
+)
 
 
 def _threshold(s, d):
@@ -308,7 +359,11 @@ def _threshold(s, d):
     return s.createDataFrame([(rate.bisect(0, 63, total),)], "threshold long")
 
 
-register("threshold_bisect", _threshold)
+register(
+    "threshold_bisect", _threshold,
+    f"""with o as (select bits, sum(dist) as dist from {OPTIONS_SQL} group by bits), t as (select t, coalesce(sum(dist) filter (bits > t), 0) + t * t * 1000000 as cost from (select unnest(range(64)) as t), o group by t)
+    select min_by(t, (cost, t))::bigint as threshold from t""",
+)
 
 # ---------------------------------------------------------------- bytes, tags, time, integers
 
@@ -361,7 +416,14 @@ def _bits_back(s, d):
 
 
 register("bit_packing", _bits_back, "select o_orderkey, [o_orderkey % 8, o_custkey % 1024, o_orderkey % 2] as lsb, [o_orderkey % 8, o_custkey % 1024, o_orderkey % 2] as msb from orders")
-register("page_checksum", lambda s, d: _payload(s, d).select("doc_id", B.page_crc(F.col("payload")).alias("crc")))
+# the 256 remainders of one byte by the rule; then a byte at a time
+_REMAINDERS = "list_transform(range(256), lambda b: list_reduce(list_prepend(b << 24, range(8)), lambda r, _: xor((r << 1) & 4294967295, case when r >= 2147483648 then 79764919 else 0 end)))"
+register(
+    "page_checksum", lambda s, d: _payload(s, d).select("doc_id", B.page_crc(F.col("payload")).alias("crc")),
+    f"""with t as (select {_REMAINDERS} as t), p as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+    b as (select doc_id, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::bigint) as b from p)
+    select doc_id, coalesce(list_reduce(list_prepend(0::bigint, b), lambda r, x: xor((r << 8) & 4294967295, t[xor(r >> 24, x) + 1])), 0) as crc from b, t""",
+)
 
 
 def _comments():
@@ -397,7 +459,22 @@ def _residuals(s, d):
     return table(s, d, "part").select("p_partkey", F.transform(i(), lambda k: ((F.col("p_partkey") * (k + 3)) % 97 - 48).cast("int")).alias("diff"))
 
 
-register("satd", lambda s, d: _residuals(s, d).select("p_partkey", transforms.satd8("diff").alias("satd")))
-register("idct_blocks", lambda s, d: _residuals(s, d).select("p_partkey", transforms.idct8("diff").alias("pixels")))
-register("dct_roundtrip", lambda s, d: _residuals(s, d).select("p_partkey", transforms.idct8(transforms.fdct8("diff")).alias("back")), "select p_partkey, list_transform(range(64), lambda k: cast((p_partkey * (k + 3)) % 97 - 48 as int)) as back from part")
-register("mdct_frames", lambda s, d: _residuals(s, d).select("p_partkey", transforms.mdct_udf("diff").alias("coefs")))
+_RESIDUALS_SQL = "(select p_partkey, list_transform(range(64), lambda k: cast((p_partkey * (k + 3)) % 97 - 48 as int)) as diff from part)"
+# a Hadamard coefficient's signs are the parities of the common bits of two numbers
+register(
+    "satd", lambda s, d: _residuals(s, d).select("p_partkey", transforms.satd8("diff").alias("satd")),
+    f"select p_partkey, list_sum(list_transform(range(64), lambda u: abs(list_sum(list_transform(range(64), lambda k: case when bit_count(u & k) % 2 = 1 then -diff[k + 1] else diff[k + 1] end)))))::bigint as satd from {_RESIDUALS_SQL}",
+)
+_BASIS = "(case when {u} = 0 then sqrt(0.125) else 0.5 end * cos((2 * {x} + 1) * {u} * pi() / 16))"
+register(
+    "idct_blocks", lambda s, d: _residuals(s, d).select("p_partkey", F.posexplode(transforms.idct8("diff")).alias("k", "pixel")),
+    f"""with r as {_RESIDUALS_SQL}, c as (select p_partkey, unnest(diff) as c, generate_subscripts(diff, 1) - 1 as k from r),
+    h as (select p_partkey, k % 8 as u, y, sum(c * {_BASIS.format(u='(k // 8)', x='y')}) as h from c, (select unnest(range(8)) as y) group by 1, 2, 3)
+    select p_partkey, (y * 8 + x)::int as k, cast(round_even(sum(h * {_BASIS.format(u='u', x='x')}), 0) as int) as pixel from h, (select unnest(range(8)) as x) group by p_partkey, y, x""",
+)
+register("dct_roundtrip", lambda s, d: _residuals(s, d).select("p_partkey", transforms.idct8(transforms.fdct8("diff")).alias("back")), f"select p_partkey, diff as back from {_RESIDUALS_SQL}")
+register(
+    "mdct_frames", lambda s, d: _residuals(s, d).select("p_partkey", F.posexplode(transforms.mdct_udf("diff")).alias("k", "c")).select("p_partkey", "k", (F.round("c", 4) + 0.0).alias("coef")),
+    f"""with r as {_RESIDUALS_SQL}, c as (select p_partkey, unnest(diff) as v, generate_subscripts(diff, 1) - 1 as t from r)
+    select p_partkey, k::int as k, round(sum(v * sin(pi() * (t + 0.5) / 64) * cos(pi() / 32 * (t + 16.5) * (k + 0.5))), 4) + 0.0 as coef from c, (select unnest(range(32)) as k) group by 1, 2""",
+)

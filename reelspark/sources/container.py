@@ -1,7 +1,7 @@
 """The packetised movie container: one row for a file's headers, one for each packet.
 
 Records are big-endian and follow each other without gaps, so a file is read by one task,
-front to back; many files are many tasks. ``movie`` is a Spark data source for batch
+front to back, a megabyte at a time; many files are many tasks. ``movie`` is a Spark data source for batch
 reading, streaming of growing folders, and writing.
 """
 
@@ -27,6 +27,8 @@ ESCAPED, CHECKSUM, IS_COMPACT = 0x80, 0x40, 0x20
 NONE = 1  # stream types up to this have no stream
 
 GATHER_ROWS = 10_000
+HEADERS_BYTES = MOVIE.size + VIDEO.size + AUDIO.size + 255 * AUDIO_STREAM.size  # headers are never longer
+READ_BYTES = 1 << 20
 PACKETS = "file string, seq long, offset long, ptype string, flags int, stream int, size long, payload binary, bad string"
 HEADERS = """file string, video_type int, audio_type int, largest_packet long, readahead long, width int, height int, rate_num long, rate_den int,
     rw_frames int, wo_frames int, frame_format int, layout int, sample_rate long, audio_readahead long, audio array<struct<layout:int,meta_id:string>>"""
@@ -95,11 +97,70 @@ def parse_packets(data: bytes, at: int) -> Iterator[tuple]:
         if bad or at + size > len(data):
             yield seq, start, TYPES[number - 1], flags, stream, size, None, "bad size" if bad else "cut payload"
             return
-        yield seq, start, TYPES[number - 1], flags, stream, size, data[at : at + size], None
+        yield seq, start, TYPES[number - 1], flags, stream, size, bytes(data[at : at + size]), None
         at += size
         seq += 1
 
 
+class Scanner:
+    """A push parser of one file: ``feed`` takes any number of bytes and returns the packets that they complete.
+
+    What stays in memory is the packet that is still cut. ``place`` says where a scan can be taken up
+    again: a scanner made with it goes on with the bytes from that offset.
+    """
+
+    def __init__(self, offset: int = 0, seq: int = 0):
+        self.place = (offset, seq)
+        self.held = bytearray()
+        self.headers: dict | None = None
+        self.in_packets, self.failed = offset > 0, False
+
+    def feed(self, data: bytes) -> list[tuple]:
+        if self.failed:
+            return []
+        self.held += data
+        if not self.in_packets:
+            try:
+                self.headers, size = parse_headers(bytes(self.held[:HEADERS_BYTES]))
+            except struct.error:  # still cut
+                return []
+            if self.headers is None:
+                if len(self.held) >= MOVIE.size:
+                    return self._fail("bad movie header")
+                return []
+            self._drop(size, 0)
+            self.in_packets = True
+        rows, end = [], 0
+        for seq, at, *record, bad in parse_packets(self.held, 0):
+            if bad and bad.startswith("cut"):
+                break
+            rows.append((self.place[1] + seq, self.place[0] + at, *record, bad))
+            if bad:
+                self.failed = True
+                self.held.clear()
+                return rows
+            end = at + (COMPACT.size if record[1] & IS_COMPACT else FULL.size) + HEAD.size + record[3]
+        self._drop(end, len(rows))
+        return rows
+
+    def end(self) -> list[tuple]:
+        """What is left when the file ends: a cut record, if any."""
+        if self.failed or not self.held and self.in_packets:
+            return []
+        if not self.in_packets:
+            return self._fail("bad movie header")
+        return [(self.place[1] + seq, self.place[0] + at, *record) for seq, at, *record in parse_packets(self.held, 0)]
+
+    def _drop(self, size: int, packets: int) -> None:
+        del self.held[:size]
+        self.place = (self.place[0] + size, self.place[1] + packets)
+
+    def _fail(self, why: str) -> list[tuple]:
+        self.failed = True
+        self.held.clear()
+        return [(0, 0, None, None, None, None, None, why)]
+
+
 def unescape_bytes(data: bytes) -> bytes:
     return data.replace(b"\0\0\1\xfe", b"\0\0\1")
 
@@ -202,10 +263,12 @@ def _list(path: str) -> list[str]:
 
 def _rows(path: str) -> Iterator[tuple]:
     fs, at = _fs(path)
+    scanner = Scanner()
     with fs.open_input_stream(at) as stream:
-        data = stream.read()
-    headers, start = parse_headers(data)
-    for r in parse_packets(data, start) if headers else [(0, 0, None, None, None, None, None, "bad movie header")]:
+        while data := stream.read(READ_BYTES):
+            for r in scanner.feed(data):
+                yield (path, *r)
+    for r in scanner.end():
         yield (path, *r)
 
 

@@ -309,23 +309,43 @@ def ogg_pages(files: DataFrame) -> DataFrame:
     )
 
 
+def _fragments() -> Column:
+    """The packets' parts in a page: array of (at, size, done); a part is done at a segment under 255 bytes."""
+    none = "cast(array() as array<struct<at:int,size:int,done:boolean>>)"
+    part = lambda acc, size, done: F.array(F.struct(acc["at"].alias("at"), size.alias("size"), F.lit(done).alias("done")))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.expr(none).alias("out"))
+
+    def step(acc, lace):
+        size = acc["size"] + lace
+        ends = lace < 255
+        return F.struct(
+            F.when(ends, acc["at"] + size).otherwise(acc["at"]).alias("at"), F.when(ends, 0).otherwise(size).alias("size"),
+            F.when(ends, F.concat(acc["out"], part(acc, size, True))).otherwise(acc["out"]).alias("out"),
+        )
+
+    return F.aggregate("laces", start, step, lambda acc: F.when(acc["size"] > 0, F.concat(acc["out"], part(acc, acc["size"], False))).otherwise(acc["out"]))
+
+
 def ogg_packets(pages: DataFrame) -> DataFrame:
-    """(file, serial, packet, size, granule, hole): packets from the segments of good pages.
+    """(file, serial, packet, size, granule, hole, payload): packets put together from the parts in good pages.
 
     A packet ends at a segment under 255 bytes; a missing page number before any of its
-    segments marks a hole.
+    parts marks a hole.
     """
     from pyspark.sql import Window
 
     order = Window.partitionBy("file", "serial").orderBy("page_no")
     good = pages.where("bad is null").withColumn("lost", F.coalesce(F.col("page_no") - F.lag("page_no").over(order) > 1, F.lit(False)))
-    seg = good.select("file", "serial", "page_no", "granule", "lost", F.posexplode("laces").alias("k", "lace"))
+    cut = good.withColumn("parts", F.transform(_fragments(), lambda p: F.struct(p["size"].alias("size"), p["done"].alias("done"), F.substring(F.col("body"), p["at"] + 1, p["size"]).alias("bytes"))))
+    rows = cut.select("file", "serial", "page_no", "granule", "lost", F.posexplode("parts").alias("k", "p"))
     before = Window.partitionBy("file", "serial").orderBy("page_no", "k").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.withColumn("packet", F.coalesce(F.sum((F.col("lace") < 255).cast("int")).over(before), F.lit(0)))
-    ended = seg.groupBy("file", "serial", "packet").agg(
-        F.sum("lace").cast("long").alias("size"), F.max("granule").alias("granule"), F.max(F.col("lost") & (F.col("k") == 0)).alias("hole"), F.min("lace").alias("least")
+    rows = rows.withColumn("packet", F.coalesce(F.sum(F.col("p.done").cast("int")).over(before), F.lit(0)))
+    joined = F.transform(F.sort_array(F.collect_list(F.struct("page_no", "k", F.hex("p.bytes").alias("h")))), lambda x: x["h"])
+    ended = rows.groupBy("file", "serial", "packet").agg(
+        F.sum("p.size").cast("long").alias("size"), F.max("granule").alias("granule"), F.max(F.col("lost") & (F.col("k") == 0)).alias("hole"),
+        F.unhex(F.array_join(joined, "")).alias("payload"), F.max("p.done").alias("done"),
     )
-    return ended.where("least < 255").drop("least")
+    return ended.where("done").drop("done")
 
 
 def picture_header(head: Column) -> Column:

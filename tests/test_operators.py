@@ -66,15 +66,88 @@ def test_large_codebook_takes_the_blocked_way(spark, monkeypatch):
     assert sorted(map(tuple, vq.assign(points, book).select("point_id", "cb_id", "dist").collect())) == small
 
 
-def test_cell_shift_lowers_the_error():
-    rng = np.random.default_rng(1)
-    points = np.vstack([rng.integers(0, 5, (20, 2)), rng.integers(100, 105, (20, 2)), rng.integers(200, 205, (2, 2))])
-    cell = np.array([0] * 40 + [1] * 2)
-    books = np.array([[52, 52], [202, 202], [0, 0]])
-    ok, new = vq.shift_cells(points, cell, books, low=2, high=0, near=1)
-    assert ok
-    error = lambda b: min_errors(points, b)
-    assert error(new) < error(books)
+def plain_elbg(points, book, max_steps, least_gain=0.1):
+    """The rules of ``vq.elbg`` point by point: codebook, and how many shifts were kept."""
+
+    def dist(a, b):
+        return sum((x - y) ** 2 for x, y in zip(a, b))
+
+    def mean(rows, dims):
+        n = max(1, len(rows))
+        return [(2 * s + n) // (2 * n) if s >= 0 else -((-2 * s + n) // (2 * n)) for s in (sum(r[d] for r in rows) for d in range(dims))]
+
+    k, dims, last, kept = len(book), len(book[0]), None, 0
+    for _ in range(max_steps):
+        cells = [[] for _ in book]
+        for p in points:
+            cells[min(range(k), key=lambda c: (dist(p, book[c]), c))].append(p)
+        errors = [sum(dist(p, book[c]) for p in cells[c]) for c in range(k)]
+        error, used, new = sum(errors), set(), [list(c) for c in cells]
+        rich = sorted((c for c in range(k) if k * errors[c] > error), key=lambda c: (-errors[c], c))
+        gain = 0
+        for low in sorted((c for c in range(k) if k * errors[c] < error), key=lambda c: (errors[c], c)):
+            near = min((c for c in range(k) if c != low), key=lambda c: (dist(book[c], book[low]), c))
+            high = next((c for c in rich if c not in used and c != near), None)
+            if high is None or used & {low, near}:
+                continue
+            used |= {low, high, near}
+            lows, highs = [min(p[d] for p in cells[high]) for d in range(dims)], [max(p[d] for p in cells[high]) for d in range(dims)]
+            a, b = [x + (y - x) // 3 for x, y in zip(lows, highs)], [y - (y - x) // 3 for x, y in zip(lows, highs)]
+            sides = [[p for p in cells[high] if (dist(p, a) >= dist(p, b)) == s] for s in (False, True)]
+            a, b = (mean(s, dims) for s in sides)
+            sides = [[p for p in cells[high] if (dist(p, a) > dist(p, b)) == s] for s in (False, True)]
+            both = cells[low] + cells[near]
+            centre = mean(both, dims)
+            after = sum(dist(p, centre) for p in both) + sum(dist(p, a) for p in sides[0]) + sum(dist(p, b) for p in sides[1])
+            if after < errors[low] + errors[high] + errors[near]:
+                new[near], new[high], new[low] = both, *sides
+                gain += after - errors[low] - errors[high] - errors[near]
+                kept += 1
+        error += gain
+        book = [mean(c, dims) for c in new]
+        if last is not None and last - error <= least_gain * error:
+            break
+        last = error
+    return book, kept
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_clustering_with_shifted_cells(spark, seed):
+    """Skewed points: most in one place, and entries that start far from all of them."""
+    rng = random.Random(seed)
+    points = [[rng.randrange(-9, 9), rng.randrange(40)] for _ in range(120)] + [[rng.randrange(200, 230), rng.randrange(-300, -280)] for _ in range(15)] + [[500, 500]]
+    book = [[1000 + c, -1000] for c in range(3)] + [rng.choice(points) for _ in range(4)]
+    want, kept = plain_elbg(points, book, 5)
+    assert kept > 0
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(points)] + [(-1, None)], "point_id long, vec array<int>").repartition(3)
+    got = vq.elbg(df, spark.createDataFrame(list(enumerate(book)), "cb_id long, vec array<int>"))
+    assert [r.vec for r in got.orderBy("cb_id").collect()] == want
+    assert min_errors(np.array(points), np.array(want)) < min_errors(np.array(points), np.array(book)) / 3
+
+
+def test_start_codebook_samples_again_and_again(spark):
+    rng = random.Random(9)
+    points = [[rng.randrange(-50, 50), rng.randrange(100)] for _ in range(2000)]
+
+    def start(rows, k, steps):
+        n = len(rows)
+        if n <= 24 * k:
+            return [rows[i * 433494437 % n] for i in range(k)]
+        some = [rows[i * 433494437 % n] for i in range(n // 8)]
+        return plain_elbg(some, start(some, k, 2 * steps), 2 * steps)[0]
+
+    df = spark.createDataFrame(list(enumerate(points)), "point_id long, vec array<int>")
+    got = vq.start_codebook(df, 2000, 3)
+    assert [r.vec for r in got.orderBy("cb_id").collect()] == start(points, 3, 1)
+
+
+def test_registered_clustering_follows_the_rules(spark, sf_dir):
+    from reelspark.plans.queries import K, QUERIES
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
+    points = [[int(np.floor(np.float64(v) * 128)) for v in r.embedding] for r in rows]
+    got = [r.vec for r in QUERIES["vq_elbg"](spark, sf_dir).orderBy("cb_id").collect()]
+    assert got == plain_elbg(points, points[:K], 5)[0]
 
 
 def min_errors(points, books):
@@ -227,7 +300,8 @@ def test_packet_of_a_multiple_of_255_and_over_a_page(spark):
     packets = [(b"x" * 255, 0), (b"", 1), (b"y" * 70000, 2), (b"z", 3)]
     pages = scans.ogg_pages(spark.createDataFrame([("a", bytearray(scans.build_pages(packets)))], "file string, content binary"))
     assert pages.where("bad is not null").count() == 0
-    assert [r["size"] for r in scans.ogg_packets(pages).orderBy("packet").collect()] == [255, 0, 70000, 1]
+    got = scans.ogg_packets(pages).orderBy("packet").collect()
+    assert [r["size"] for r in got] == [255, 0, 70000, 1] and [bytes(r.payload) for r in got] == [p for p, _ in packets]
 
 
 def test_clusters_reject_bad_sizes():
@@ -265,10 +339,20 @@ def test_streaming_buffer_equals_replay(spark, tmp_path):
 
 
 def test_recurrences():
-    assert rate.leaky_bucket(np.array([3, -5, 4, -1])).tolist() == [3, 0, 4, 3]
-    assert rate.moving_distortion(np.array([10, 20])).tolist() == [10, 14]
-    x = np.arange(50.0)
-    assert np.allclose(rate.de_emphasis(rate.pre_emphasis(x)), x)
+    step = rate.moving_distortion(100)
+    assert step(None, 10, 0) == (10, 10) and step(10, 20, 0) == (14, 14)
+    assert [step(400, 400, slip)[0] for slip in (301, 300, 101, 100, -100, -101)] == [420, 410, 410, 400, 400, 380]
+    still = rate.two_pole(6)
+    y, state = still(None, 1000)
+    assert y == 1000 and [still(state, 1000)[0]] == [1000]
+    gain, c0, c1 = rate.two_pole_coefficients(6)
+    assert abs(4 * gain + c0 + c1 - (1 << 24)) <= 3
+    undo, out = rate.de_emphasis(), []
+    state = None
+    for x, before in zip(range(50), (0, *range(49))):
+        y, state = undo(state, x - 0.85 * before)
+        out.append(y)
+    assert np.allclose(out, range(50))
     assert rate.bisect(0, 100, lambda t: (t - 37) ** 2) == 37
 
 

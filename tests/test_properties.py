@@ -86,3 +86,30 @@ def test_adpcm_stays_in_range(samples, index):
     back = codecs.adpcm_decode(packet, 1)
     assert len(back) == len(samples) and all(-32768 <= v <= 32767 for v in back)
     assert codecs.adpcm_decode_many([packet])[0].tolist() == back
+
+
+@given(st.lists(st.tuples(st.sampled_from(container.TYPES), st.binary(min_size=1, max_size=60), st.integers(0, 3)), max_size=12), st.lists(st.integers(1, 50), min_size=1, max_size=20), st.integers(0, 40))
+@settings(max_examples=80, deadline=None)
+def test_scanner_takes_any_pieces(packets, cuts, lost):
+    """Fed in any pieces, resumed anywhere, cut at the end: the same rows as from the whole file."""
+    head = {"video_type": 2, "audio_type": 3, "largest_packet": 60, "readahead": 0, "width": 8, "height": 8, "rate_num": 30, "rate_den": 1, "rw_frames": 2, "wo_frames": 0, "frame_format": 1, "layout": 0, "sample_rate": 8000, "audio_readahead": 0, "audio": [{"layout": 1, "meta_id": "x"}]}
+    data = container.build_headers(head) + b"".join(container.build_packet(t, p, s) for t, p, s in packets)
+    data = data[: len(data) - lost] if lost < len(data) - 60 else data
+    headers, at = container.parse_headers(data)
+    want = list(container.parse_packets(data, at))
+    scanner, got, pos, k = container.Scanner(), [], 0, 0
+    while pos < len(data):
+        size = cuts[k % len(cuts)]
+        got += scanner.feed(data[pos : pos + size])
+        pos, k = pos + size, k + 1
+        if scanner.in_packets and k % 5 == 0:  # another scanner takes over
+            offset, seq = scanner.place
+            scanner, pos = container.Scanner(offset, seq), offset
+            cuts = [c + 97 for c in cuts]
+    assert got + scanner.end() == want
+
+
+def test_scanner_of_no_movie():
+    for data in (b"", b"abc", b"x" * 400):
+        scanner = container.Scanner()
+        assert [r[-1] for r in scanner.feed(data) + scanner.end()] == ["bad movie header"]
