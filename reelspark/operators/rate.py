@@ -155,6 +155,49 @@ def merge_moments(parts: DataFrame, by: list[str]) -> DataFrame:
     return parts.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("w", "wx", "wy", "wxx", "wxy", "wyy")))
 
 
+#: sums of four variables s, q, r, d: weighted sums, then central co-moments by the letters of their factors
+FIRST = ("s", "q", "r", "d")
+CENTRAL = ("ss", "sq", "qq", "sr", "qr", "rr", "sd", "qd", "dd", "ssq", "sqq", "sqr", "sqd", "ssqq")
+
+
+def co_moments(rows: DataFrame, by: list[str], weight: str = "w") -> DataFrame:
+    """The 19 sums of each group: w, the weighted sums of s, q, r and d, and their central co-moments up to fourth order.
+
+    Means come first, then the sums about them, so large means cost no digits; both are partial and final aggregations.
+    """
+    w = F.col(weight).cast("double")
+    first = rows.groupBy(*by).agg(F.sum(w).alias("w_all"), *(F.sum(w * F.col(c)).alias(f"{c}_all") for c in FIRST))
+    near = rows.select(*by, w.alias("w_one"), *FIRST).join(first, by)
+    off = {c: F.col(c) - F.col(f"{c}_all") / F.col("w_all") for c in FIRST}
+    sums = near.groupBy(*by).agg(
+        F.first("w_all").alias("w"), *(F.first(f"{c}_all").alias(c) for c in FIRST),
+        *(F.sum(math.prod((off[c] for c in name), start=F.col("w_one"))).alias(name) for name in CENTRAL),
+    )
+    return sums
+
+
+def merge_co_moments(parts: DataFrame, by: list[str]) -> DataFrame:
+    """Combine partial results of ``co_moments``.
+
+    About the common mean, a part's product of deviations is the sum over all ways to take each factor from the part's own
+    deviation or from the distance of the means; own deviations alone sum to zero.
+    """
+    total = parts.groupBy(*by).agg(F.sum("w").alias("w_all"), *(F.sum(c).alias(f"{c}_all") for c in FIRST))
+    near = parts.join(total, by)
+    shift = {c: F.col(c) / F.col("w") - F.col(f"{c}_all") / F.col("w_all") for c in FIRST}
+
+    def about(name: str) -> Column:
+        out = F.lit(0.0)
+        for own in range(1 << len(name)):
+            letters = "".join(c for k, c in enumerate(name) if own >> k & 1)
+            if len(letters) != 1:
+                moment = F.col("w") if not letters else F.col(letters)
+                out = out + math.prod((shift[c] for k, c in enumerate(name) if not own >> k & 1), start=moment)
+        return out
+
+    return near.groupBy(*by).agg(F.first("w_all").alias("w"), *(F.first(f"{c}_all").alias(c) for c in FIRST), *(F.sum(about(name)).alias(name) for name in CENTRAL))
+
+
 def nearest_quantiser(targets: DataFrame, table: DataFrame) -> DataFrame:
     """(target_id, q): the entry closest to each target; ties to the one closest to the old q, then the lower.
 

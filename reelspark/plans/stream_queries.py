@@ -289,6 +289,28 @@ register(
 )
 
 
+def _rated(s, d):
+    return table(s, d, "lineitem").select(
+        "l_returnflag", "l_linestatus", F.col("l_quantity").alias("w"), (F.col("l_discount") * 100).alias("s"), (F.col("l_tax") * 100).alias("q"),
+        F.col("l_linenumber").cast("double").alias("r"), (F.col("l_extendedprice") / 1000).alias("d"),
+    )
+
+
+def _each(m, by):
+    return m.select(*by, *(F.round(F.col(c) / (F.col("w") if c != "w" else 1), 5).alias(c) for c in ("w", *rate.FIRST, *rate.CENTRAL)))
+
+
+def _co_sql(by: str) -> str:
+    central = ", ".join(f"round(sum(w * {' * '.join(f'({c} - m{c})' for c in name)}) / sum(w), 5) as {name}" for name in rate.CENTRAL)
+    return f"""with t as (select {by}, l_quantity as w, l_discount * 100 as s, l_tax * 100 as q, l_linenumber::double as r, l_extendedprice / 1000 as d from lineitem),
+        m as (select {by}, sum(w) as mw, {', '.join(f'sum(w * {c}) / sum(w) as m{c}' for c in rate.FIRST)} from t group by all)
+        select {by}, round(any_value(mw), 5) as w, {', '.join(f'round(any_value(m{c}), 5) as {c}' for c in rate.FIRST)}, {central} from t join m using ({by}) group by {by}"""
+
+
+register("co_moments", lambda s, d: _each(rate.co_moments(_rated(s, d), ["l_returnflag", "l_linestatus"]), ["l_returnflag", "l_linestatus"]), _co_sql("l_returnflag, l_linestatus"))
+register("co_moments_merge", lambda s, d: _each(rate.merge_co_moments(rate.co_moments(_rated(s, d), ["l_returnflag", "l_linestatus"]), ["l_returnflag"]), ["l_returnflag"]), _co_sql("l_returnflag"))
+
+
 def _quantisers(s, d):
     t = table(s, d, "part").select(F.col("p_partkey").alias("target_id"), (F.col("p_partkey") * 37 % 500).alias("target"), (F.col("p_size") % 32).cast("long").alias("old_q"))
     return rate.nearest_quantiser(t, s.range(32).select(F.col("id").alias("q"), (F.col("id") * 16).alias("log_q")))
@@ -412,10 +434,15 @@ register(
 
 def _bits_back(s, d):
     rows = table(s, d, "orders").select("o_orderkey", F.array(F.col("o_orderkey") % 8, F.col("o_custkey") % 1024, F.col("o_orderkey") % 2).alias("v"), F.array(F.lit(3), F.lit(10), F.lit(1)).alias("w"))
-    return rows.select("o_orderkey", B.unpack_lsb(B.pack_lsb("v", "w"), "w").alias("lsb"), B.unpack_msb(B.pack_msb("v", "w"), "w").alias("msb"))
+    packed = rows.select("o_orderkey", "w", B.pack_lsb("v", "w").alias("low"), B.pack_msb("v", "w").alias("high"))
+    return packed.select("o_orderkey", F.hex("low").alias("low"), F.hex("high").alias("high"), B.unpack_lsb("low", "w").alias("lsb"), B.unpack_msb("high", "w").alias("msb"))
 
 
-register("bit_packing", _bits_back, "select o_orderkey, [o_orderkey % 8, o_custkey % 1024, o_orderkey % 2] as lsb, [o_orderkey % 8, o_custkey % 1024, o_orderkey % 2] as msb from orders")
+register(
+    "bit_packing", _bits_back,
+    """with t as (select o_orderkey, o_orderkey % 8 as a, o_custkey % 1024 as b, o_orderkey % 2 as c from orders), p as (select *, a + b * 8 + c * 8192 as l, (a * 2048 + b * 2 + c) * 4 as h from t)
+    select o_orderkey, upper(lpad(to_hex(l % 256), 2, '0') || lpad(to_hex(l // 256), 2, '0')) as low, upper(lpad(to_hex(h), 4, '0')) as high, [a, b, c] as lsb, [a, b, c] as msb from p""",
+)
 # the 256 remainders of one byte by the rule; then a byte at a time
 _REMAINDERS = "list_transform(range(256), lambda b: list_reduce(list_prepend(b << 24, range(8)), lambda r, _: xor((r << 1) & 4294967295, case when r >= 2147483648 then 79764919 else 0 end)))"
 register(

@@ -30,49 +30,36 @@ MOTION = dict(
 )
 DC_LUMA = {"100": 0, "00": 1, "01": 2, "101": 3, "110": 4, "1110": 5, "11110": 6, "111110": 7, "1111110": 8}
 DC_CHROMA = {"00": 0, "01": 1, "10": 2, "110": 3, "1110": 4, "11110": 5, "111110": 6, "1111110": 7, "11111110": 8}
-#: values by code length, each in ascending order of the codes; with the first unused codes these fix all bit strings
-PATTERNS = (
-    (9, (39, 27, 59, 55, 47, 31)),
-    (8, (58, 54, 46, 30, 57, 53, 45, 29, 38, 26, 37, 25, 43, 23, 51, 15, 42, 22, 50, 14, 41, 21, 49, 13, 35, 19, 11, 7)),
-    (7, (34, 18, 10, 6, 33, 17, 9, 5)),
-    (6, (63, 3, 36, 24)),
-    (5, (62, 2, 61, 1, 56, 52, 44, 28, 40, 20, 48, 12)),
-    (4, (32, 16, 8, 4)),
-    (3, (60,)),
-)
-#: (run, level); None is the escape, "end" the end of a block
-LEVELS = (
-    (16, ((1, 18), (1, 17), (1, 16), (1, 15), (6, 3), (16, 2), (15, 2), (14, 2), (13, 2), (12, 2), (11, 2), (31, 1), (30, 1), (29, 1), (28, 1), (27, 1))),
-    (15, tuple((0, v) for v in range(40, 31, -1)) + tuple((1, v) for v in range(14, 7, -1))),
-    (14, tuple((0, v) for v in range(31, 15, -1))),
-    (13, ((10, 2), (9, 2), (5, 3), (3, 4), (2, 5), (1, 7), (1, 6), (0, 15), (0, 14), (0, 13), (0, 12), (26, 1), (25, 1), (24, 1), (23, 1), (22, 1))),
-    (12, ((0, 11), (8, 2), (4, 3), (0, 10), (2, 4), (7, 2), (21, 1), (20, 1), (0, 9), (19, 1), (18, 1), (1, 5), (3, 3), (0, 8), (6, 2), (17, 1))),
-    (10, ((16, 1), (5, 2), (0, 7), (2, 3), (1, 4), (15, 1), (14, 1), (4, 2))),
-    (6, (None,)),
-    (7, ((2, 2), (9, 1), (0, 4), (8, 1))),
-    (6, ((7, 1), (6, 1), (1, 2), (5, 1))),
-    (8, ((13, 1), (0, 6), (12, 1), (11, 1), (3, 2), (1, 3), (0, 5), (10, 1))),
-    (5, ((0, 3), (4, 1), (3, 1))),
-    (4, ((0, 2), (2, 1))),
-    (3, ((1, 1),)),
-    (2, ("end", (0, 1))),
-)
-
-
-def ordered_codes(groups, first: int, width: int) -> dict[str, object]:
-    """Bit strings of values that follow each other in code order, from ``first`` of ``width`` bits on."""
-    out, at = {}, first
-    for length, values in groups:
-        for v in values:
-            out[format(at >> (width - length), f"0{length}b")] = v
-            at += 1 << (width - length)
-    if at != 1 << width:
-        raise ValueError("the code isn't complete")
-    return out
-
-
-PATTERN = ordered_codes(PATTERNS, 2, 9)
-LEVEL = ordered_codes(LEVELS, 16, 16)
+#: block patterns, by code
+PATTERN = {
+    "000000010": 39, "000000011": 27, "000000100": 59, "000000101": 55, "000000110": 47, "000000111": 31, "00000100": 58, "00000101": 54, "00000110": 46, "00000111": 30,
+    "00001000": 57, "00001001": 53, "00001010": 45, "00001011": 29, "00001100": 38, "00001101": 26, "00001110": 37, "00001111": 25, "00010000": 43, "00010001": 23,
+    "00010010": 51, "00010011": 15, "00010100": 42, "00010101": 22, "00010110": 50, "00010111": 14, "00011000": 41, "00011001": 21, "00011010": 49, "00011011": 13,
+    "00011100": 35, "00011101": 19, "00011110": 11, "00011111": 7, "0010000": 34, "0010001": 18, "0010010": 10, "0010011": 6, "0010100": 33, "0010101": 17, "0010110": 9,
+    "0010111": 5, "001100": 63, "001101": 3, "001110": 36, "001111": 24, "01000": 62, "01001": 2, "01010": 61, "01011": 1, "01100": 56, "01101": 52, "01110": 44, "01111": 28,
+    "10000": 40, "10001": 20, "10010": 48, "10011": 12, "1010": 32, "1011": 16, "1100": 8, "1101": 4, "111": 60,
+}
+#: (run, level) by code; None is the escape, "end" the end of a block
+LEVEL: dict[str, object] = {
+    "0000000000010000": (1, 18), "0000000000010001": (1, 17), "0000000000010010": (1, 16), "0000000000010011": (1, 15), "0000000000010100": (6, 3),
+    "0000000000010101": (16, 2), "0000000000010110": (15, 2), "0000000000010111": (14, 2), "0000000000011000": (13, 2), "0000000000011001": (12, 2),
+    "0000000000011010": (11, 2), "0000000000011011": (31, 1), "0000000000011100": (30, 1), "0000000000011101": (29, 1), "0000000000011110": (28, 1),
+    "0000000000011111": (27, 1), "000000000010000": (0, 40), "000000000010001": (0, 39), "000000000010010": (0, 38), "000000000010011": (0, 37), "000000000010100": (0, 36),
+    "000000000010101": (0, 35), "000000000010110": (0, 34), "000000000010111": (0, 33), "000000000011000": (0, 32), "000000000011001": (1, 14), "000000000011010": (1, 13),
+    "000000000011011": (1, 12), "000000000011100": (1, 11), "000000000011101": (1, 10), "000000000011110": (1, 9), "000000000011111": (1, 8), "00000000010000": (0, 31),
+    "00000000010001": (0, 30), "00000000010010": (0, 29), "00000000010011": (0, 28), "00000000010100": (0, 27), "00000000010101": (0, 26), "00000000010110": (0, 25),
+    "00000000010111": (0, 24), "00000000011000": (0, 23), "00000000011001": (0, 22), "00000000011010": (0, 21), "00000000011011": (0, 20), "00000000011100": (0, 19),
+    "00000000011101": (0, 18), "00000000011110": (0, 17), "00000000011111": (0, 16), "0000000010000": (10, 2), "0000000010001": (9, 2), "0000000010010": (5, 3),
+    "0000000010011": (3, 4), "0000000010100": (2, 5), "0000000010101": (1, 7), "0000000010110": (1, 6), "0000000010111": (0, 15), "0000000011000": (0, 14),
+    "0000000011001": (0, 13), "0000000011010": (0, 12), "0000000011011": (26, 1), "0000000011100": (25, 1), "0000000011101": (24, 1), "0000000011110": (23, 1),
+    "0000000011111": (22, 1), "000000010000": (0, 11), "000000010001": (8, 2), "000000010010": (4, 3), "000000010011": (0, 10), "000000010100": (2, 4), "000000010101": (7, 2),
+    "000000010110": (21, 1), "000000010111": (20, 1), "000000011000": (0, 9), "000000011001": (19, 1), "000000011010": (18, 1), "000000011011": (1, 5), "000000011100": (3, 3),
+    "000000011101": (0, 8), "000000011110": (6, 2), "000000011111": (17, 1), "0000001000": (16, 1), "0000001001": (5, 2), "0000001010": (0, 7), "0000001011": (2, 3),
+    "0000001100": (1, 4), "0000001101": (15, 1), "0000001110": (14, 1), "0000001111": (4, 2), "000001": None, "0000100": (2, 2), "0000101": (9, 1), "0000110": (0, 4),
+    "0000111": (8, 1), "000100": (7, 1), "000101": (6, 1), "000110": (1, 2), "000111": (5, 1), "00100000": (13, 1), "00100001": (0, 6), "00100010": (12, 1),
+    "00100011": (11, 1), "00100100": (3, 2), "00100101": (1, 3), "00100110": (0, 5), "00100111": (10, 1), "00101": (0, 3), "00110": (4, 1), "00111": (3, 1), "0100": (0, 2),
+    "0101": (2, 1), "011": (1, 1), "10": "end", "11": (0, 1),
+}
 _SCAN = zigzag()
 
 

@@ -619,3 +619,12 @@ def test_motion_search_finds_far_moves(spark, move):
         assert found == (best[2], best[3], best[0])
     if dy >= -7:
         assert any(v == (dy, dx, 0) for v in got.values())
+
+
+def test_level_codes_are_complete():
+    """No code starts another, and what the tables leave free is known: the 16 and 2 lowest words are not used."""
+    from reelspark.sources import slices
+
+    for table, free in ((slices.LEVEL, 16 / 2**16), (slices.PATTERN, 2 / 2**9)):
+        assert sum(2.0 ** -len(c) for c in table) == 1 - free
+        assert not any(a != b and b.startswith(a) for a in table for b in table)
