@@ -214,6 +214,18 @@ def with_audio_syncs(frames: DataFrame, samples: int, file: str = "file", order:
     return rows.withColumn("ptype", F.explode(F.array(F.lit("audio_frame"), F.lit("audio_sync"))))
 
 
+def with_video_syncs(frames: DataFrame, file: str = "file", order: str = "seq") -> DataFrame:
+    """Two rows for each frame of codebook video: the frame, and the sync point that shows it; only the first is random access."""
+    period = F.row_number().over(Window.partitionBy(file).orderBy(order))
+    rows = frames.withColumn("period", period).withColumn("random_access", F.col("period") == 1)
+    return rows.withColumn("ptype", F.explode(F.array(F.lit("video_inline"), F.lit("video_sync"))))
+
+
+def decode_kept(frames: DataFrame, level: str, decode: Column, out: str = "decoded", file: str = "file", order: str = "seq") -> DataFrame:
+    """Frames that the drop policy keeps, decoded: dropped ones are filtered out before ``decode`` sees them."""
+    return drop_policy(frames, level, file, order).where(~F.col("dropped")).withColumn(out, decode)
+
+
 def header_bytes(size: Column, stream: Column) -> Column:
     """Bytes of a packet's header: 7 where the short form holds it, else 10."""
     return F.when((stream == 0) & (size < 32768), 7).otherwise(10)

@@ -12,6 +12,9 @@ from ..operators import blocks, rate, stream
 from . import store
 from .queries import BLOCKS_SQL, OPTIONS_SQL, PICTURES_SQL, macroblocks, options, packets, pictures, register, table
 
+# the 256 remainders of one byte by the rule; then a byte at a time
+_REMAINDERS = "list_transform(range(256), lambda b: list_reduce(list_prepend(b << 24, range(8)), lambda r, _: xor((r << 1) & 4294967295, case when r >= 2147483648 then 79764919 else 0 end)))"
+
 # ---------------------------------------------------------------- packets and pictures
 
 register(
@@ -193,6 +196,26 @@ register(
     f"select slice_id, mb_addr, greatest(0, least(255, part % 256 + diff)) as v from {BLOCKS_SQL}",
 )
 
+register(
+    "video_syncs", lambda s, d: stream.with_video_syncs(packets(s, d).where("ptype = 'view'").drop("ptype")).select("file", "seq", F.col("period").cast("long").alias("period"), "random_access", "ptype"),
+    """with t as (select user_id as file, event_id as seq, row_number() over (partition by user_id order by event_id) as period from events where event_type = 'view')
+    select file, seq, period, period = 1 as random_access, unnest(['video_inline', 'video_sync']) as ptype from t""",
+)
+
+
+def _kept(s, d):
+    shown = table(s, d, "events").select(F.col("event_id").alias("seq"), F.encode("props", "UTF-8").alias("payload"))
+    return stream.decode_kept(pictures(s, d).join(shown, "seq"), "bp", B.page_crc(F.col("payload")), "crc").select("file", "seq", "kind", "crc")
+
+
+register(
+    "decode_kept", _kept,
+    f"""with m as (select *, kind in ('B', 'P') as own, count(*) filter (kind = 'I') over (partition by file order by seq) as gop from {PICTURES_SQL}),
+    k as (select *, max(case when own and kind = 'P' then 1 else 0 end) over (partition by file, gop order by seq) as poisoned from m), x as (select {_REMAINDERS} as t),
+    b as (select event_id as seq, list_transform(regexp_extract_all(hex(encode(props)), '..'), lambda x: ('0x' || x)::bigint) as b from events)
+    select file, k.seq, kind, coalesce(list_reduce(list_prepend(0::bigint, b), lambda r, x: xor((r << 8) & 4294967295, t[xor(r >> 24, x) + 1])), 0) as crc from k join b using (seq), x where not own and poisoned = 0""",
+)
+
 # ---------------------------------------------------------------- rate and distortion
 
 _PARETO = f"""(select block_id, opt, bits, dist from (select *, min(dist) over (partition by block_id order by bits, dist, opt rows between unbounded preceding and 1 preceding) as best
@@ -443,8 +466,6 @@ register(
     """with t as (select o_orderkey, o_orderkey % 8 as a, o_custkey % 1024 as b, o_orderkey % 2 as c from orders), p as (select *, a + b * 8 + c * 8192 as l, (a * 2048 + b * 2 + c) * 4 as h from t)
     select o_orderkey, upper(lpad(to_hex(l % 256), 2, '0') || lpad(to_hex(l // 256), 2, '0')) as low, upper(lpad(to_hex(h), 4, '0')) as high, [a, b, c] as lsb, [a, b, c] as msb from p""",
 )
-# the 256 remainders of one byte by the rule; then a byte at a time
-_REMAINDERS = "list_transform(range(256), lambda b: list_reduce(list_prepend(b << 24, range(8)), lambda r, _: xor((r << 1) & 4294967295, case when r >= 2147483648 then 79764919 else 0 end)))"
 register(
     "page_checksum", lambda s, d: _payload(s, d).select("doc_id", B.page_crc(F.col("payload")).alias("crc")),
     f"""with t as (select {_REMAINDERS} as t), p as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),

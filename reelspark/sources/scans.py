@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytes import bits, field, page_crc_bytes
@@ -216,6 +216,28 @@ def wav_samples(files: DataFrame, frame: int = 1) -> DataFrame:
     return both.mapInArrow(run, "file string, n long, ch int, v int")
 
 
+def avi_streams(files: DataFrame) -> DataFrame:
+    """(file, stream, kind, handler, scale, rate, length): the stream headers of AVI files, numbered as they stand."""
+    heads = riff_chunks(files).where("path = '/AVI /hdrl/strl/strh'")
+    name = lambda at: F.decode(F.substring("payload", at + 1, 4), "ISO-8859-1")
+    number = lambda at: field(F.col("payload"), at, 4, little=True)
+    w = Window.partitionBy("file").orderBy("offset")
+    return heads.select("file", (F.row_number().over(w) - 1).alias("stream"), name(0).alias("kind"), name(4).alias("handler"), number(20).alias("scale"), number(24).alias("rate"), number(32).alias("length"))
+
+
+def avi_frames(files: DataFrame) -> DataFrame:
+    """(file, stream, n, offset, size, payload): the data chunks of AVI files, numbered by stream."""
+    data = riff_chunks(files).where("path like '/AVI /movi/%' and fourcc rlike '^[0-9]{2}(dc|db|wb)$'")
+    rows = data.select("file", F.substring("fourcc", 1, 2).cast("int").alias("stream"), "offset", "size", "payload")
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("file", "stream").orderBy("offset")) - 1)
+
+
+def cvid_header(payload: Column) -> Column:
+    """Struct of a Cinepak frame's header: flags, length, size and strips; numbers are big-endian."""
+    at = {"flags": (0, 1), "length": (1, 3), "width": (4, 2), "height": (6, 2), "strips": (8, 2)}
+    return F.struct(*(field(payload, a, n).alias(k) for k, (a, n) in at.items()))
+
+
 # ---------------------------------------------------------------- YUV4MPEG
 
 
@@ -245,6 +267,28 @@ def yuv_planes(files: DataFrame) -> DataFrame:
     return _flat(files, _planes, "file string, frame long, plane int, width int, height int, depth int, payload binary")
 
 
+def write_yuv(pixels: DataFrame, width: int, height: int, planes: int = 3, rate: str = "25:1") -> DataFrame:
+    """(file, content): pixels (file, frame, plane, y, x, v) as YUV4MPEG files of full-size planes; missing pixels are 0.
+
+    Frames are put together first, each on its own; a file is then the join of its frames, in order.
+    """
+    place = (F.col("plane") * height + F.col("y")) * width + F.col("x")
+    rows = pixels.groupBy("file", "frame").agg(F.collect_list(F.struct(place.cast("int").alias("at"), F.col("v").cast("int").alias("v"))).alias("px"))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                frame = np.zeros(planes * width * height, np.uint8)
+                px = batch.column("px")[k].values
+                frame[px.field("at").to_numpy()] = px.field("v").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in ("file", "frame")), pa.array([(b"FRAME\n" + frame.tobytes()).hex()])], ["file", "frame", "hex"])
+
+    frames = rows.mapInArrow(run, "file string, frame long, hex string")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("frame", "hex"))), lambda f: f["hex"]), "")
+    head = f"YUV4MPEG2 W{width} H{height} F{rate} Ip C{'444' if planes == 3 else 'mono'}\n".encode().hex()
+    return frames.groupBy("file").agg(F.unhex(F.concat(F.lit(head), body)).alias("content"))
+
+
 # ---------------------------------------------------------------- Ogg pages
 
 
@@ -332,8 +376,6 @@ def ogg_packets(pages: DataFrame) -> DataFrame:
     A packet ends at a segment under 255 bytes; a missing page number before any of its
     parts marks a hole.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("file", "serial").orderBy("page_no")
     good = pages.where("bad is null").withColumn("lost", F.coalesce(F.col("page_no") - F.lag("page_no").over(order) > 1, F.lit(False)))
     cut = good.withColumn("parts", F.transform(_fragments(), lambda p: F.struct(p["size"].alias("size"), p["done"].alias("done"), F.substring(F.col("body"), p["at"] + 1, p["size"]).alias("bytes"))))
