@@ -4,6 +4,10 @@ Each step is one partial aggregation and one join on narrow rows; edges are writ
 shared storage after every round, and the loop ends when a round changes nothing. Hubs
 with very many edges meet only in a minimum (combined before the shuffle) and in a join
 whose large side the engine may split.
+
+Defined results: edges with a null end say nothing and are left out, as are loops; repeated
+edges count once; ids without an edge to another are in no component; no edges, no rows. Only src
+and dst are read.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ def _state(edges: DataFrame) -> tuple:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, comp) for every id of ``edges`` (src, dst); comp is the component's smallest id."""
+    edges = edges.where("src is not null and dst is not null")
     both = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct()
     edges = materialise(both, "edges")
     seen = _state(edges)

@@ -2,6 +2,10 @@
 
 Trees are complete binary trees flattened into arrays (feature, threshold, leaf value
 by position), so a batch walks all trees at once by array look-ups.
+
+Defined results: features are finite numbers (callers give texts that are null the features of
+empty ones); without rows every prediction is 0.5; a feature of one value is never split on; of equally good
+splits the first feature and the lowest cut win, and rows that repeat count as often as they stand.
 """
 
 from __future__ import annotations

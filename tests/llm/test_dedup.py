@@ -195,7 +195,7 @@ def test_shingles_of_long_texts_are_whole():
 def test_components_of_a_long_chain_and_a_hub(spark):
     chain = [(k, k + 1) for k in range(60)]
     hub = [(1000, 1001 + k) for k in range(200)]
-    edges = spark.createDataFrame(chain + hub + [(5, 5)], "src long, dst long")
+    edges = spark.createDataFrame(chain + hub + [(5, 5), (None, 3), (4, None), (None, None), (0, 1)], "src long, dst long")
     got = {r.id: r.comp for r in connected_components(edges).collect()}
     assert got == {k: 0 for k in range(61)} | {1000 + k: 1000 for k in range(201)}
     assert connected_components(edges.where("src < 0")).count() == 0
