@@ -119,3 +119,22 @@ def ilog(v: Column) -> Column:
 def reciprocal(v: Column, bits: int = 16) -> Column:
     """2^bits / v, truncated."""
     return F.floor(F.lit(float(1 << bits)) / v).cast("long")
+
+
+def rsqrt(v: Column) -> Column:
+    """1 / sqrt(v) of a positive number; null else."""
+    return F.when(v > 0, 1 / F.sqrt(v.cast("double")))
+
+
+def cos_turns(v: Column) -> Column:
+    """Cosine of a number of quarter turns."""
+    return F.cos(v.cast("double") * float(np.pi / 2))
+
+
+def exp2(v: Column) -> Column:
+    return F.pow(F.lit(2.0), v.cast("double"))
+
+
+def log2(v: Column) -> Column:
+    """Logarithm to base 2 of a positive number; null else."""
+    return F.when(v > 0, F.log2(v.cast("double")))

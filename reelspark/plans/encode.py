@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..operators.rate import recur
+
 Stage = Callable[[DataFrame], DataFrame]
 
 
@@ -62,6 +64,26 @@ def two_pass_bits(frames: DataFrame, total_bits: int, clip: str = "clip", cost:
     return frames.join(sums, clip).withColumn("bits", F.greatest(F.lit(1).cast("long"), share)).drop("total")
 
 
+def reservoir_bits(frames: DataFrame, per_frame: int, delay: int, clip: str = "clip", order: str = "n", cost: str = "cost") -> DataFrame:
+    """(clip, n, bits): bits of each frame under a reservoir of ``delay`` frames' worth, half full at first.
+
+    Pass 1 sums what the next ``delay`` frames cost. Pass 2 goes through a clip: the bits that may be spent on those
+    frames, so that the reservoir is half full behind them, are shared in proportion to cost; a frame gets one bit at least
+    and never more than the reservoir holds, and what overflows is lost.
+    """
+    ahead = Window.partitionBy(clip).orderBy(order).rowsBetween(0, delay - 1)
+    rows = frames.select(clip, order, F.col(cost).cast("long").alias("cost")).withColumn("ahead", F.sum("cost").over(ahead)).withColumn("frames", F.count("*").over(ahead))
+    size = per_frame * delay
+
+    def step(state, cost, ahead, n):
+        held = (size // 2 if state is None else state) + per_frame
+        spend = max(0, held + (n - 1) * per_frame - size // 2)
+        bits = max(1, min(held, spend * cost // ahead if ahead else 0))
+        return bits, min(size, held - bits)
+
+    return recur(rows, clip, order, ["cost", "ahead", "frames"], "bits", step)
+
+
 def profiled(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
     """The same rows, and metrics that are summed while they pass."""
     seen = Observation()

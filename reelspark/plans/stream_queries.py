@@ -9,7 +9,7 @@ from ..functions import bytes as B
 from ..functions import tags, timebase, transforms
 from ..functions.pixels import clamp, div, median3
 from ..operators import blocks, rate, stream
-from . import store
+from . import encode, store
 from .queries import BLOCKS_SQL, OPTIONS_SQL, PICTURES_SQL, macroblocks, options, packets, pictures, register, table
 
 # the 256 remainders of one byte by the rule; then a byte at a time
@@ -396,6 +396,26 @@ register(
 )
 
 
+_PER, _AHEAD = 900, 8
+
+
+def _reservoir(s, d):
+    frames = _samples(s, d).select(F.col("stream").alias("clip"), "n", (F.col("v") + 1000).alias("cost"))
+    return encode.reservoir_bits(frames, _PER, _AHEAD)
+
+
+register(
+    "reservoir_bits", _reservoir,
+    f"""with recursive s as (select stream as clip, n, v + 1000 as cost, sum(v + 1000) over w as ahead, count(*) over w as frames from {_SAMPLES_SQL}
+        window w as (partition by stream order by n rows between current row and {_AHEAD - 1} following)),
+    r as (select clip, -1::bigint as n, 0::bigint as bits, {_PER * _AHEAD // 2}::bigint as held from s where n = 0
+        union all select clip, n, bits, least({_PER * _AHEAD}, held - bits)::bigint from (select s.clip, s.n, r.held + {_PER} as held,
+            greatest(1, least(r.held + {_PER}, greatest(0, r.held + s.frames * {_PER} - {_PER * _AHEAD // 2}) * s.cost // s.ahead))::bigint as bits
+        from s join r on r.clip = s.clip and s.n = r.n + 1))
+    select clip, n, bits from r where n >= 0""",
+)
+
+
 def _threshold(s, d):
     """Bisection on the driver over one aggregate: the bits threshold with the least total cost."""
     o = options(s, d).groupBy("bits").agg(F.sum("dist").alias("dist")).collect()  # at most one row for each number of bits
@@ -507,6 +527,17 @@ def _residuals(s, d):
     return table(s, d, "part").select("p_partkey", F.transform(i(), lambda k: ((F.col("p_partkey") * (k + 3)) % 97 - 48).cast("int")).alias("diff"))
 
 
+def _real(s, d):
+    k = F.col("o_orderkey")
+    values = {"rsqrt": transforms.rsqrt(k), "cosine": transforms.cos_turns(k / 7), "power": transforms.exp2(k % 40 / 8), "log": transforms.log2(k)}
+    return table(s, d, "orders").select("o_orderkey", *((F.round(v, 9) + 0.0).alias(c) for c, v in values.items()))
+
+
+register(
+    "real_maths", _real,
+    """select o_orderkey, case when o_orderkey > 0 then round(1 / sqrt(o_orderkey), 9) + 0.0 end as rsqrt, round(cos(o_orderkey / 7.0::double * pi() / 2), 9) + 0.0 as cosine,
+    round(pow(2.0::double, o_orderkey % 40 / 8.0::double), 9) + 0.0 as power, case when o_orderkey > 0 then round(log2(o_orderkey), 9) + 0.0 end as log from orders""",
+)
 _RESIDUALS_SQL = "(select p_partkey, list_transform(range(64), lambda k: cast((p_partkey * (k + 3)) % 97 - 48 as int)) as diff from part)"
 # a Hadamard coefficient's signs are the parities of the common bits of two numbers
 register(
