@@ -49,7 +49,7 @@ def _grams(words_: Column, width: Column | int) -> Column:
     )
 
 
-def _hashes(words_: Column, width: int) -> Column:
+def _hashes(words_: Column, width: Column) -> Column:
     """Hashes of all runs of ``width`` words."""
     return F.when(
         F.size(words_) >= width,
@@ -84,13 +84,15 @@ def contained(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     spelt = rows.select("doc_id", words(F.col("text")).alias("w"))
     widths = sorted(r.width for r in facts) or [width]
-    # one pass over the texts for all widths; runs of different widths differ as text
+    # one pass over the texts; a text's words are gone through once for each width, so no array outgrows them.
+    # runs of different widths differ as text
     probes = index.where("in_sketch").select("h", "item_id")
-    grams = spelt.select("doc_id", F.explode(F.concat(*(F.coalesce(_hashes(F.col("w"), size), F.expr("cast(array() as array<long>)")) for size in widths))).alias("h"))
+    each = F.explode(F.array(*map(F.lit, widths))).alias("width")
+    grams = spelt.select("doc_id", "w", each).select("doc_id", F.explode(_hashes(F.col("w"), F.col("width"))).alias("h"))
     pairs = materialise(grams.join(near(probes), "h").select("doc_id", "item_id").distinct(), "candidates")
 
     suspects = rows.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
-    grams = suspects.select("doc_id", F.explode(F.array_distinct(F.concat(*(_grams(F.col("w"), size) for size in widths)))).alias("shingle"))
+    grams = suspects.select("doc_id", "w", each).select("doc_id", F.explode(F.array_distinct(_grams(F.col("w"), F.col("width")))).alias("shingle"))
     shared = grams.join(near(index.select("item_id", "n", "shingle")), "shingle")
     counts = shared.groupBy("doc_id", "item_id", "n").agg(F.countDistinct("shingle").alias("n_found"))
     counts = counts.join(pairs, ["doc_id", "item_id"], "left_semi")
