@@ -119,12 +119,17 @@ def score(docs: DataFrame, model: gbdt.Trees, id_col: str = "doc_id", text_col:
 
 
 def keep(docs: DataFrame, model: gbdt.Trees, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more, in one pass and with all their columns."""
+    """The rows of ``docs`` that score ``least`` or more, in one pass and with all their columns.
+
+    They go back a slice at a time, so neither side holds a second batch of whole rows.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(model.predict(features(*text_buffer(batch.column(place)))) >= least))
+            buf, offsets = text_buffer(batch.column(place))
+            for a, b in slices(offsets):
+                yield batch.slice(a, b - a).filter(pa.array(model.predict(features(buf, offsets[a : b + 1])) >= least))
 
     return docs.mapInArrow(run, docs.schema)
 

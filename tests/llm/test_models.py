@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspark.llm import gbdt, labelled, quality, toxicity
-from reelspark.llm.common import text_buffer
+from reelspark.llm.common import SLICE_BYTES, text_buffer
 
 SF = "/root/testdata/sf0.1"
 ROWS = [(1, None, "a", 1.0), (2, "", "a", 1.0), (3, "x " * 300_000, "a", 1.0), (3, "plain words here", "a", 1.0), (None, "no id", "a", 1.0), (4, "\U0001F600 é \x00", "a", 1.0)]
@@ -94,6 +94,27 @@ def test_statistics_against_plain_counts():
     assert np.isclose(x[3, at("log_bytes")], np.log1p(3_000_002)) and np.isclose(x[3, at("log_words")], np.log1p(2))
 
 
+def test_kept_rows_go_back_in_slices():
+    """Whole rows leave ``keep`` at most a slice of text at a time (a longer text alone), none lost or changed."""
+
+    class Rows:
+        columns, schema = ["kept", "text"], None
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = random.Random(5)
+    texts = [None, "", "x " * (3 * SLICE_BYTES // 2), *(" ".join(rng.choice(["plain", "words", "AAA!!", "77"]) for _ in range(rng.randrange(4000))) for _ in range(400)), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["kept", "text"])
+    x = quality.features(*text_buffer(batch.column(1)))
+    model = gbdt.fit(x, (x[:, 1] > np.median(x[:, 1])).astype(float), trees=5, depth=2)
+    good = model.predict(x) >= 0.5
+    assert 50 < good.sum() < len(texts) - 50
+    out = list(quality.keep(Rows(), model, least=0.5)(iter([batch, batch.slice(0, 0)])))
+    assert pa.Table.from_batches(out).to_pylist() == batch.filter(pa.array(good)).to_pylist()
+    assert all(len(b) == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= SLICE_BYTES for b in out)
+
+
 @pytest.mark.parametrize("module,label,least", [(quality, "quality", 0.3), (toxicity, "toxic", 0.5)])
 def test_held_out_accuracy_and_awkward_rows(spark, module, label, least):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
