@@ -68,12 +68,19 @@ def upsample(a: DataFrame) -> DataFrame:
 
 
 def pad_edges(a: DataFrame, multiple: int = 16) -> DataFrame:
-    """Repeat the last column and row until both sizes are multiples of 16."""
-    size = a.groupBy("frame", "plane").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    up = lambda c: F.ceil(F.col(c) / multiple) * multiple
-    grid = size.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), up("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), up("w") - 1)))
-    src = grid.select("frame", "plane", "y", "x", F.least("y", F.col("h") - 1).alias("sy"), F.least("x", F.col("w") - 1).alias("sx"))
-    return src.join(a.select("frame", "plane", F.col("y").alias("sy"), F.col("x").alias("sx"), "v"), ["frame", "plane", "sy", "sx"]).select(*POSITION, "v")
+    """Repeat the last column and row until both sizes are multiples of 16.
+
+    A pixel of the last row or column is copied on; no grid is built to be joined, whose size a planner can't tell.
+    """
+    w = Window.partitionBy("frame", "plane")
+    sized = a.where("frame is not null and plane is not null").withColumn("h", F.max("y").over(w) + 1).withColumn("w", F.max("x").over(w) + 1)
+
+    def reach(c: str, size: str) -> Column:
+        at = F.col(c).cast("long")
+        padded = F.ceil(F.col(size) / multiple) * multiple
+        return F.explode(F.sequence(at, F.when(at == F.col(size) - 1, padded - 1).otherwise(at))).alias(c)
+
+    return sized.select("frame", "plane", reach("y", "h"), "x", "w", "v").select("frame", "plane", "y", reach("x", "w"), "v")
 
 
 def block_mean(a: DataFrame, size: int = 4) -> DataFrame:

@@ -629,3 +629,16 @@ def test_level_codes_are_complete():
     for table, free in ((slices.LEVEL, 16 / 2**16), (slices.PATTERN, 2 / 2**9)):
         assert sum(2.0 ** -len(c) for c in table) == 1 - free
         assert not any(a != b and b.startswith(a) for a in table for b in table)
+
+
+def test_padding_joins_no_grid(spark):
+    """The grid of all positions looked as small as the table of sizes, and was broadcast."""
+    from reelspark.operators import frames
+
+    sizes = {(0, 0): (5, 3), (0, 1): (16, 17), (7, 0): (1, 32)}
+    rows = [(f, p, y, x, (y * 40 + x + f) % 256) for (f, p), (h, w) in sizes.items() for y in range(h) for x in range(w)] + [(None, 0, 0, 0, 1)]
+    padded = frames.pad_edges(spark.createDataFrame(rows, "frame long, plane int, y int, x int, v int"))
+    got = {(r.frame, r.plane, r.y, r.x): r.v for r in padded.collect()}
+    up = lambda n: -(-n // 16) * 16
+    assert got == {(f, p, y, x): (min(y, h - 1) * 40 + min(x, w - 1) + f) % 256 for (f, p), (h, w) in sizes.items() for y in range(up(h)) for x in range(up(w))}
+    assert "Join" not in padded._jdf.queryExecution().optimizedPlan().toString()
