@@ -1,7 +1,9 @@
 """Scans of raw media files: start codes, audio frames, chunk trees, planar video, pages.
 
 Each takes a table (file, content) and yields rows; what follows from fixed positions
-is left to column expressions, so that it stays visible to the optimiser.
+is left to column expressions, so that it stays visible to the optimiser. With ``make``,
+a file's bytes are made of its content where they are read, in the same worker and one
+file at a time.
 """
 
 from __future__ import annotations
@@ -11,31 +13,45 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.bytes import bits, field, page_crc_bytes
 
 
-GATHER_ROWS, GATHER_BYTES = 20_000, 16 << 20
-MARK_BYTES = 2 << 20
+GATHER_ROWS, GATHER_BYTES = 20_000, 1 << 20
+MARK_BYTES = 256 << 10
 
 
-def _flat(files: DataFrame, fn, schema: str) -> DataFrame:
-    """Rows fn(content) yields, with the file's name in front."""
-    names = [c.strip().split()[0] for c in schema.split(",")]
+def _contents(batch: pa.RecordBatch, make):
+    """(file, content) of a batch, one at a time; ``make`` turns what the table holds into the file's bytes."""
+    for file, content in zip(batch.column("file"), batch.column("content")):
+        data = content.as_py() or b""
+        yield file.as_py(), make(data) if make else data
+
+
+def _flat(files: DataFrame, fn, schema: str, make=None) -> DataFrame:
+    """Rows fn(content) yields, with the file's name in front; a batch given back holds a bounded number of rows and bytes."""
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+
+    def gathered(rows):
+        return pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows), fields)], schema=fields)
 
     def run(batches):
-        for pdf in batches:
-            rows: list[tuple] = []
-            size = 0
-            for file, content in zip(pdf["file"], pdf["content"]):
-                rows += [(file, *r) for r in fn(bytes(content))]
-                size += len(content)
-                if len(rows) >= GATHER_ROWS or size >= GATHER_BYTES:  # few large frames, but bounded
-                    yield pd.DataFrame(rows, columns=names)
-                    rows, size = [], 0
-            yield pd.DataFrame(rows, columns=names)
+        rows: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for file, content in _contents(batch, make):
+                for r in fn(content):
+                    rows.append((file, *r))
+                    size += sum(len(v) for v in r if isinstance(v, bytes))
+                    if len(rows) >= GATHER_ROWS or size >= GATHER_BYTES:
+                        yield gathered(rows)
+                        rows, size = [], 0
+        if rows:
+            yield gathered(rows)
 
-    return files.select("file", "content").mapInPandas(run, schema)
+    return files.select("file", "content").mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- start codes
@@ -44,43 +60,44 @@ def _flat(files: DataFrame, fn, schema: str) -> DataFrame:
 HEAD = 12
 
 
-def _marks(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
-    """All start codes of some files; a mark and the bytes behind it stay within their file."""
+def _marks(held: list[tuple[str, bytes]]):
+    """Batches of all start codes of some files; a mark and the bytes behind it stay within their file."""
     sizes = np.array([len(c) for _, c in held])
     ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(c for _, c in held) + bytes(HEAD + 4), np.uint8)
-    at = np.flatnonzero(data[: len(data) - 2] == 0)
-    at = at[(data[at + 1] == 0) & (data[at + 2] == 1)]
-    own = np.searchsorted(ends, at, "right")
-    inside = own < len(held)
-    at, own = at[inside], own[inside]
-    keep = at + 3 < ends[own]
-    at, own = at[keep], own[keep]
-    length = np.minimum(HEAD, ends[own] - at - 4)
+    data = np.frombuffer(b"".join([*(c for _, c in held), bytes(HEAD + 4)]), np.uint8)
+    names = pa.array([f for f, _ in held], pa.string())
     spread = np.arange(HEAD)
-    head = data[at[:, None] + 4 + spread][spread < length[:, None]]
-    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-    heads = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(head.tobytes())])
-    names = pa.array([f for f, _ in held], pa.string()).take(pa.array(own))
-    return pa.RecordBatch.from_arrays(
-        [names, pa.array(at - (ends - sizes)[own]), pa.array(data[at + 3].astype(np.int32)), heads, pa.array(sizes[own])], ["file", "pos", "code", "head", "file_size"]
-    )
+    for first in range(0, len(data) - 2, MARK_BYTES):  # of a longer file, too, a piece at a time
+        at = first + np.flatnonzero(data[first : min(first + MARK_BYTES, len(data) - 2)] == 0)
+        at = at[(data[at + 1] == 0) & (data[at + 2] == 1)]
+        own = np.searchsorted(ends, at, "right")
+        inside = own < len(held)
+        at, own = at[inside], own[inside]
+        keep = at + 3 < ends[own]
+        at, own = at[keep], own[keep]
+        length = np.minimum(HEAD, ends[own] - at - 4)
+        head = data[at[:, None] + 4 + spread][spread < length[:, None]]
+        offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        heads = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(head.tobytes())])
+        yield pa.RecordBatch.from_arrays(
+            [names.take(pa.array(own)), pa.array(at - (ends - sizes)[own]), pa.array(data[at + 3].astype(np.int32)), heads, pa.array(sizes[own])], ["file", "pos", "code", "head", "file_size"]
+        )
 
 
-def start_codes(files: DataFrame) -> DataFrame:
+def start_codes(files: DataFrame, make=None) -> DataFrame:
     """(file, pos, code, head, file_size): every 00 00 01 xx with the 12 bytes behind it."""
 
     def run(batches):
         for batch in batches:
             held, size = [], 0
-            for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
-                held.append((file, content.as_py()))
-                size += len(held[-1][1])
+            for file, content in _contents(batch, make):
+                held.append((file, content))
+                size += len(content)
                 if size >= MARK_BYTES:  # few large frames, but bounded
-                    yield _marks(held)
+                    yield from _marks(held)
                     held, size = [], 0
             if held:
-                yield _marks(held)
+                yield from _marks(held)
 
     return files.select("file", "content").mapInArrow(run, "file string, pos long, code int, head binary, file_size long")
 
@@ -151,9 +168,9 @@ def _mp2_frames(data: bytes):
         at += size
 
 
-def mp2_frames(files: DataFrame) -> DataFrame:
+def mp2_frames(files: DataFrame, make=None) -> DataFrame:
     """Frames chained by their lengths, payload without header, checksum and padding; the first bad one ends a file."""
-    return _flat(files, _mp2_frames, "file string, pos long, rate int, kbits int, channels int, crc boolean, size int, payload binary, bad string")
+    return _flat(files, _mp2_frames, "file string, pos long, rate int, kbits int, channels int, crc boolean, size int, payload binary, bad string", make)
 
 
 # ---------------------------------------------------------------- RIFF
@@ -176,9 +193,9 @@ def _riff(data: bytes):
             yield f"{path}/{name}", depth, name, at + 8, size, data[at + 8 : last]
 
 
-def riff_chunks(files: DataFrame) -> DataFrame:
+def riff_chunks(files: DataFrame, make=None) -> DataFrame:
     """(file, path, depth, fourcc, offset, size, payload) of the chunk tree; odd sizes are padded. Look-ups are filters."""
-    return _flat(files, _riff, "file string, path string, depth int, fourcc string, offset long, size long, payload binary")
+    return _flat(files, _riff, "file string, path string, depth int, fourcc string, offset long, size long, payload binary", make)
 
 
 def wav_format(payload: Column) -> Column:
@@ -187,9 +204,9 @@ def wav_format(payload: Column) -> Column:
     return F.struct(*(field(payload, a, n, little=True).alias(k) for k, (a, n) in at.items()))
 
 
-def wav_samples(files: DataFrame, frame: int = 1) -> DataFrame:
+def wav_samples(files: DataFrame, frame: int = 1, make=None) -> DataFrame:
     """(file, n, ch, v): 8- and 16-bit samples as 16 bits; each channel is filled with zeros to whole frames."""
-    tree = riff_chunks(files)
+    tree = riff_chunks(files, make)
     fmt = tree.where("path = '/WAVE/fmt '").select("file", wav_format(F.col("payload")).alias("f")).select("file", "f.channels", "f.bits")
     both = tree.where("path = '/WAVE/data'").select("file", "payload").join(fmt, "file")
 
@@ -216,18 +233,18 @@ def wav_samples(files: DataFrame, frame: int = 1) -> DataFrame:
     return both.mapInArrow(run, "file string, n long, ch int, v int")
 
 
-def avi_streams(files: DataFrame) -> DataFrame:
+def avi_streams(files: DataFrame, make=None) -> DataFrame:
     """(file, stream, kind, handler, scale, rate, length): the stream headers of AVI files, numbered as they stand."""
-    heads = riff_chunks(files).where("path = '/AVI /hdrl/strl/strh'")
+    heads = riff_chunks(files, make).where("path = '/AVI /hdrl/strl/strh'")
     name = lambda at: F.decode(F.substring("payload", at + 1, 4), "ISO-8859-1")
     number = lambda at: field(F.col("payload"), at, 4, little=True)
     w = Window.partitionBy("file").orderBy("offset")
     return heads.select("file", (F.row_number().over(w) - 1).alias("stream"), name(0).alias("kind"), name(4).alias("handler"), number(20).alias("scale"), number(24).alias("rate"), number(32).alias("length"))
 
 
-def avi_frames(files: DataFrame) -> DataFrame:
+def avi_frames(files: DataFrame, make=None) -> DataFrame:
     """(file, stream, n, offset, size, payload): the data chunks of AVI files, numbered by stream."""
-    data = riff_chunks(files).where("path like '/AVI /movi/%' and fourcc rlike '^[0-9]{2}(dc|db|wb)$'")
+    data = riff_chunks(files, make).where("path like '/AVI /movi/%' and fourcc rlike '^[0-9]{2}(dc|db|wb)$'")
     rows = data.select("file", F.substring("fourcc", 1, 2).cast("int").alias("stream"), "offset", "size", "payload")
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("file", "stream").orderBy("offset")) - 1)
 
@@ -262,9 +279,9 @@ def _planes(data: bytes):
         n += 1
 
 
-def yuv_planes(files: DataFrame) -> DataFrame:
+def yuv_planes(files: DataFrame, make=None) -> DataFrame:
     """(file, frame, plane, width, height, depth, payload): raw planes, one row each."""
-    return _flat(files, _planes, "file string, frame long, plane int, width int, height int, depth int, payload binary")
+    return _flat(files, _planes, "file string, frame long, plane int, width int, height int, depth int, payload binary", make)
 
 
 def write_yuv(pixels: DataFrame, width: int, height: int, planes: int = 3, rate: str = "25:1") -> DataFrame:
@@ -346,9 +363,9 @@ def _pages(data: bytes):
         at, seq = found + size, seq + 1
 
 
-def ogg_pages(files: DataFrame) -> DataFrame:
+def ogg_pages(files: DataFrame, make=None) -> DataFrame:
     """Pages with a right checksum; damaged or skipped bytes are rows with ``bad``, and reading goes on at the next page."""
-    return _flat(files, _pages, "file string, seq long, pos long, flags int, granule long, serial long, page_no long, laces array<int>, body binary, bad string").withColumn(
+    return _flat(files, _pages, "file string, seq long, pos long, flags int, granule long, serial long, page_no long, laces array<int>, body binary, bad string", make).withColumn(
         "n_packets", F.size(F.filter("laces", lambda x: x < 255))
     )
 

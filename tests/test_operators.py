@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -642,3 +643,40 @@ def test_padding_joins_no_grid(spark):
     up = lambda n: -(-n // 16) * 16
     assert got == {(f, p, y, x): (min(y, h - 1) * 40 + min(x, w - 1) + f) % 256 for (f, p), (h, w) in sizes.items() for y in range(up(h)) for x in range(up(w))}
     assert "Join" not in padded._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scans_give_rows_back_in_bounded_batches(monkeypatch):
+    """A batch of many rows or bytes, even of one file, was handed back whole."""
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    one = scans.build_pages([(b"x" * 700, k) for k in range(400)], fill=4096)
+    batch = pa.RecordBatch.from_pydict({"file": ["1", None], "content": [one, None]})
+    cut = lambda data: ((k, data[k : k + 1000]) for k in range(0, len(data), 1000))
+    monkeypatch.setattr(scans, "GATHER_BYTES", 10_000)
+    got = list(scans._flat(Files(), cut, "file string, n int, b binary")([batch]))
+    assert b"".join(b for g in got for b in g.column("b").to_pylist()) == one and max(g.nbytes for g in got) < 12_000
+    made = list(scans._flat(Files(), cut, "file string, n int, b binary", make=lambda data: data[:5] + b"!")([batch]))
+    assert [r for g in made for r in g.to_pylist()] == [{"file": "1", "n": 0, "b": b"OggS\0!"}, {"file": None, "n": 0, "b": b"!"}]
+
+    monkeypatch.setattr(scans, "MARK_BYTES", 1000)
+    codes = b"".join(b"\0\0\1" + bytes([k % 256]) + b"head" * (k % 4) for k in range(3000))
+    marks = list(scans.start_codes(Files())([pa.RecordBatch.from_pydict({"file": ["1", "2"], "content": [codes, codes[:999]]})]))
+    rows = [r for m in marks for r in m.to_pylist() if r["file"] == "1"]
+    assert [r["code"] for r in rows] == [k % 256 for k in range(3000)] and all(codes[r["pos"] : r["pos"] + 3] == b"\0\0\1" and r["head"] == codes[r["pos"] + 4 : r["pos"] + 16] for r in rows)
+    assert max(len(m) for m in marks) <= 334
+
+
+def test_files_of_documents_are_made_in_the_scan(spark, tmp_path):
+    """Made in a stage of their own, files crossed to a second Python worker in batches of 10,000."""
+    from reelspark.plans.registry import QUERIES
+
+    folder = written(spark, tmp_path, ["a b", None, "c"])
+    for name in ("sequence_extensions", "sequence_headers", "start_codes", "ogg_damage", "riff_chunks", "yuv_planes", "mp2_frames", "avi_frames"):
+        plan = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapIn") == 1, (name, plan)
