@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..sources import codecs, container, scans
@@ -194,26 +195,47 @@ register("frame_export", _exported,
     select (frame // 8)::varchar as file, frame % 8 as frame, plane::int as plane, md5(unhex(h)) as md5 from b""")
 
 
-def _adpcm(s, d):
-    """Texts as packets: three bytes of state and codes for each of one channel."""
+#: text coded side by side: enough for many packets at each step, and a bound in memory
+ADPCM_BYTES = 8 << 20
+
+
+def _adpcm_rows(s, d, coded, schema):
+    """Rows of the documents, by coded(ids, contents) of ADPCM_BYTES of text at a time."""
 
     def run(batches):
-        for pdf in batches:
-            out = codecs.adpcm_decode_many([bytes([40, 0]) + (t or "").encode() for t in pdf["text"]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(o) for o in out], "total": [int(o.sum()) for o in out], "last": [int(o[-1]) if len(o) else 0 for o in out]})
+        for batch in batches:
+            ids, held, size = [], [], 0
+            for doc_id, content in zip(batch.column("doc_id"), batch.column("content")):
+                ids.append(doc_id.as_py())
+                held.append(content.as_py())
+                size += len(held[-1])
+                if size >= ADPCM_BYTES:  # side by side, but bounded
+                    yield pa.RecordBatch.from_pydict(coded(ids, held), fields)
+                    ids, held, size = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_pydict(coded(ids, held), fields)
 
-    return table(s, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, n long, total long, last long")
+    fields = pa.schema([(c.split()[0], pa.int64()) for c in schema.split(", ")])
+    content = F.coalesce(F.col("text").cast("binary"), F.expr("X''"))
+    return table(s, d, "documents").select("doc_id", content.alias("content")).mapInArrow(run, schema)
 
 
-register("adpcm_decode", _adpcm)
+def _adpcm(s, d):
+    """Texts as packets: three bytes of state and codes for each of one channel."""
+
+    def coded(ids, held):
+        out = codecs.adpcm_decode_many([bytes([40, 0]) + c for c in held])
+        return {"doc_id": ids, "n": [len(o) for o in out], "total": [int(o.sum(dtype=np.int64)) for o in out], "last": [int(o[-1]) if len(o) else 0 for o in out]}
+
+    return _adpcm_rows(s, d, coded, "doc_id long, n long, total long, last long")
 
 
-ADPCM_BYTES = 12 << 20
+register("adpcm_decode", _adpcm)
 
 
-def _adpcm_samples(text):
+def _adpcm_samples(content):
     """One sample a byte of the whole text; an odd last one is repeated, as a byte of codes holds two."""
-    v = (np.frombuffer((text or "").encode(), np.uint8).astype(np.int16) - 100) * 100
+    v = (np.frombuffer(content, np.uint8).astype(np.int16) - 100) * 100
     return np.append(v, v[-1:]) if len(v) % 2 else v
 
 
@@ -221,27 +243,15 @@ def _adpcm_back(s, d):
     """(doc_id, n, codes_crc, total, worst): whole texts encoded and decoded again."""
 
     def coded(ids, held):
+        held = [_adpcm_samples(c) for c in held]
         packets = codecs.adpcm_encode_many(held, 40)
         back = codecs.adpcm_decode_many(packets)
-        return pd.DataFrame({
-            "doc_id": ids, "n": [len(b) for b in back], "codes_crc": [zlib.crc32(p) for p in packets], "total": [int(b.sum()) for b in back],
-            "worst": [int(np.abs(b - v).max(initial=0)) for b, v in zip(back, held)],
-        })
-
-    def run(batches):
-        for pdf in batches:
-            ids, held, size = [], [], 0
-            for doc_id, t in zip(pdf["doc_id"], pdf["text"]):
-                ids.append(doc_id)
-                held.append(_adpcm_samples(t))
-                size += len(held[-1])
-                if size >= ADPCM_BYTES:  # side by side, but bounded
-                    yield coded(ids, held)
-                    ids, held, size = [], [], 0
-            if held:
-                yield coded(ids, held)
+        return {
+            "doc_id": ids, "n": [len(b) for b in back], "codes_crc": [zlib.crc32(p) for p in packets], "total": [int(b.sum(dtype=np.int64)) for b in back],
+            "worst": [int(np.abs(b.astype(np.int32) - v).max(initial=0)) for b, v in zip(back, held)],
+        }
 
-    return table(s, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, n long, codes_crc long, total long, worst long")
+    return _adpcm_rows(s, d, coded, "doc_id long, n long, codes_crc long, total long, worst long")
 
 
 register("adpcm_encode", _adpcm_back)  # a recurrence over whole texts is too deep for SQL: tests hold it against the plain coder

@@ -680,3 +680,36 @@ def test_files_of_documents_are_made_in_the_scan(spark, tmp_path):
     for name in ("sequence_extensions", "sequence_headers", "start_codes", "ogg_damage", "riff_chunks", "yuv_planes", "mp2_frames", "avi_frames"):
         plan = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapIn") == 1, (name, plan)
+
+
+def test_adpcm_takes_memory_in_proportion_to_what_is_coded(monkeypatch):
+    """Codes and samples took 32 bytes a byte of text, and a query coded all texts of a batch at once."""
+    import tracemalloc
+
+    from reelspark.plans import source_queries
+
+    rng = np.random.RandomState(3)
+    packets = [bytes([40, 0]) + rng.bytes(n) for n in [20_000] * 100 + [70_000]]
+    tracemalloc.start()
+    back = codecs.adpcm_decode_many(packets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * sum(map(len, packets))
+    for k in (0, 100):
+        assert back[k].tolist() == codecs.adpcm_decode(packets[k], 1)
+
+
+def test_adpcm_queries_code_texts_in_bounded_groups(spark, tmp_path, monkeypatch):
+    from reelspark.plans import source_queries
+
+    texts = [chr(97 + k % 26) * (k % 7 * 100) for k in range(60)]
+    folder = written(spark, tmp_path, texts)
+    want = {r.doc_id: r for r in source_queries._adpcm(spark, folder).collect()}
+    taken = []
+    fields, batch = "doc_id long, n long", pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "content": [t.encode() for t in texts]})
+    monkeypatch.setattr(source_queries, "ADPCM_BYTES", 5000)
+    kept = {}
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.mapInArrow", lambda self, run, schema: kept.update(run=run))
+    source_queries._adpcm_rows(spark, folder, lambda ids, held: taken.append(sum(map(len, held))) or {"doc_id": ids, "n": [2 * len(c) for c in held]}, fields)
+    rows = [r for b in kept["run"]([batch]) for r in b.to_pylist()]
+    assert rows == [{"doc_id": k, "n": want[k].n} for k in range(60)] and len(taken) > 3 and max(taken) < 5600
