@@ -713,3 +713,14 @@ def test_adpcm_queries_code_texts_in_bounded_groups(spark, tmp_path, monkeypatch
     source_queries._adpcm_rows(spark, folder, lambda ids, held: taken.append(sum(map(len, held))) or {"doc_id": ids, "n": [2 * len(c) for c in held]}, fields)
     rows = [r for b in kept["run"]([batch]) for r in b.to_pylist()]
     assert rows == [{"doc_id": k, "n": want[k].n} for k in range(60)] and len(taken) > 3 and max(taken) < 5600
+
+
+def test_adpcm_steps_all_packets_at_once_only_while_many_are_left(monkeypatch):
+    """A long packet took a step of array work for each of its samples; wide samples a search in Python each."""
+    rng, steps = np.random.RandomState(8), []
+    many = [rng.randint(-32768, 32768, n) for n in [100] * 80 + [40] * 9 + [3000, 0]] + [np.array([32767, -32768] * 50)]
+    one = codecs._nearest_codes
+    monkeypatch.setattr(codecs, "_nearest_codes", lambda *a: steps.append(len(a[0])) or one(*a))
+    packets = codecs.adpcm_encode_many(many, 60)
+    assert packets == [codecs.adpcm_encode(v.tolist(), 1, 60) for v in many] and len(steps) <= 100
+    assert all(b.tolist() == codecs.adpcm_decode(p, 1) for b, p in zip(codecs.adpcm_decode_many(packets), packets))
