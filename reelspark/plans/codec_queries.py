@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import entropy, pixels
@@ -133,18 +135,22 @@ def _slices(s, d):
     grouped = rows.groupBy("slice_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
+            m = batch.column("m")
+            ends = (np.asarray(m.offsets) - m.offsets[0].as_py()).tolist()
+            fields = [m.flatten().field(c).to_pylist() for c in ("mb", "y", "x", "at", "v")]
             out = []
-            for ms in pdf["m"]:
+            for first, end in zip(ends, ends[1:]):
                 items = []
-                for m in ms:
+                for mb, y, x, at, v in zip(*(c[first:end] for c in fields)):
                     block = [0] * 64
-                    block[int(m["at"])] = int(m["v"])
-                    items.append({"mb_addr": int(m["mb"]), "kind": "fp", "scale": 5, "forward": (int(m["y"]), int(m["x"])), "pattern": 32, "blocks": [block, *[None] * 5]})
+                    block[at] = v
+                    items.append({"mb_addr": mb, "kind": "fp", "scale": 5, "forward": (y, x), "pattern": 32, "blocks": [block, *[None] * 5]})
                 out.append(slices.build_slice(items, "P", 0, 8, 5))
-            yield pd.DataFrame({"file": "a", "frame": pdf["slice_id"], "picture": "P", "row": 0, "forward": 1, "backward": 1, "payload": out})
+            yield pa.RecordBatch.from_arrays([batch.column("slice_id"), pa.array(out, pa.binary())], ["frame", "payload"])
 
-    made = grouped.mapInPandas(run, "file string, frame long, picture string, row int, forward int, backward int, payload binary")
+    fixed = {"file": F.lit("a"), "picture": F.lit("P"), "row": F.lit(0), "forward": F.lit(1), "backward": F.lit(1)}
+    made = grouped.mapInArrow(run, "frame long, payload binary").withColumns(fixed)
     return slices.macroblocks(made, 8).select(
         "frame", "mb_addr", "kind", "scale", F.col("forward.y").alias("y"), F.col("forward.x").alias("x"), "pattern", F.array_max(F.col("blocks")[0]).alias("level"), F.array_position(F.col("blocks")[0], F.array_max(F.col("blocks")[0])).alias("place"), "bad"
     )

@@ -724,3 +724,37 @@ def test_adpcm_steps_all_packets_at_once_only_while_many_are_left(monkeypatch):
     packets = codecs.adpcm_encode_many(many, 60)
     assert packets == [codecs.adpcm_encode(v.tolist(), 1, 60) for v in many] and len(steps) <= 100
     assert all(b.tolist() == codecs.adpcm_decode(p, 1) for b, p in zip(codecs.adpcm_decode_many(packets), packets))
+
+
+def test_slices_take_one_lookup_a_code_and_come_back_in_bounded_batches(spark, monkeypatch):
+    """Each length of a code was tried in turn, codes were sought by their value, and a batch was handed back whole."""
+    from reelspark.sources import slices
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+    block = [0] * 63 + [255]
+    items = [{"mb_addr": k, "kind": "fp", "scale": 5, "forward": (k % 16, -k % 16), "backward": None, "pattern": 32, "blocks": [block, *[None] * 5], "bad": None} for k in range(5000)]
+    data = slices.build_slice(items, "P", 0, 8, 5)
+    for name in ("_STEP", "_MOTION", "_PATTERN", "_LEVEL"):
+        width, found = getattr(slices, name)
+        monkeypatch.setattr(slices, name, (width, Counted(found)))
+    assert slices.parse_slice(data, "P", 0, 8) == items and Counted.asked == 6 * len(items)
+
+    class Slices:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    row = {"file": "a", "frame": 1, "picture": "P", "row": 0, "forward": 1, "backward": 1, "payload": data}
+    got = list(slices.macroblocks(Slices(), 8)([pa.RecordBatch.from_pylist([row, row | {"frame": 2, "payload": b""}, row | {"frame": 3}])]))
+    assert max(len(b) for b in got) < 2 * slices.GATHER_ROWS
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["frame"] for r in rows] == [1] * 5000 + [2] + [3] * 5000 and rows[5000]["bad"] == "cut slice" and rows[5000]["blocks"] == [None] * 6
+    assert rows[7]["forward"] == {"y": 7, "x": 9} and rows[7]["backward"] is None and rows[7]["blocks"][0] == block
