@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: rows in a batch given back
+GATHER_ROWS = 20_000
+
 
 def pareto(options: DataFrame, block: str = "block_id") -> DataFrame:
     """Options (block, opt, bits, dist) that no other beats on both counts; of equal ones the first."""
@@ -69,9 +72,9 @@ def greedy_budget(hulls: DataFrame, frame: str, size_limit: int, entry_cost: int
     earlier choices. A group holds one frame's options.
     """
 
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+    def reduce(rows) -> tuple[dict[int, int], int]:
         lists: dict[int, list] = {}
-        for row in sorted(zip(*(pdf[c].tolist() for c in ("block_id", "step", "bits", "dist", "entry")))):
+        for row in rows:
             lists.setdefault(row[0], []).append(row[2:])
         at = dict.fromkeys(lists, 0)
         uses = Counter(rows[0][2] for rows in lists.values())
@@ -96,9 +99,30 @@ def greedy_budget(hulls: DataFrame, frame: str, size_limit: int, entry_cost: int
             uses[new[2]] += 1
             at[block] += 1
             push(block)
-        return pd.DataFrame([(pdf[frame].iloc[0], b, k, total) for b, k in at.items()], columns=[frame, "block_id", "step", "frame_bits"])
+        return at, total
+
+    names = [frame, "block_id", "step", "frame_bits"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+
+    def gathered(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return hulls.groupBy(frame).applyInPandas(reduce, f"{frame} long, block_id long, step int, frame_bits long")
+    def run(batches):
+        out: list[tuple] = []
+        for batch in batches:
+            for key, options in zip(batch.column(frame), batch.column("o")):  # one frame's options at a time
+                key, cells = key.as_py(), options.values
+                at, total = reduce(zip(*(c.to_pylist() for c in cells.flatten())))
+                out += [(key, b, k, total) for b, k in at.items()]
+                if len(out) >= GATHER_ROWS:
+                    yield gathered(out)
+                    out = []
+        if out:
+            yield gathered(out)
+
+    # many frames a batch: a pandas frame for each of them costs more than its reduction
+    rows = hulls.groupBy(frame).agg(F.sort_array(F.collect_list(F.struct("block_id", "step", "bits", "dist", "entry"))).alias("o"))
+    return rows.select(F.col(frame).cast("long").alias(frame), "o").mapInArrow(run, f"{frame} long, block_id long, step int, frame_bits long")
 
 
 def usage(choices: DataFrame, entry: str = "entry") -> DataFrame:

@@ -758,3 +758,23 @@ def test_slices_take_one_lookup_a_code_and_come_back_in_bounded_batches(spark, m
     rows = [r for b in got for r in b.to_pylist()]
     assert [r["frame"] for r in rows] == [1] * 5000 + [2] + [3] * 5000 and rows[5000]["bad"] == "cut slice" and rows[5000]["blocks"] == [None] * 6
     assert rows[7]["forward"] == {"y": 7, "x": 9} and rows[7]["backward"] is None and rows[7]["blocks"][0] == block
+
+
+def test_greedy_budget_takes_many_frames_a_batch(spark):
+    """Each frame crossed to Python as a pandas frame of its own."""
+    rng = random.Random(12)
+    rows = [(f, f * 10 + b, k, 90 - 20 * k - rng.randrange(9), 10 * k + rng.randrange(9), rng.randrange(-1, 4)) for f in range(40) for b in range(5) for k in range(rng.randrange(1, 5))]
+    df = spark.createDataFrame(rows, "frame long, block_id long, step int, bits long, dist long, entry long").repartition(7)
+    chosen = rate.greedy_budget(df, "frame", 300)
+    got = {(r.frame, r.block_id): (r.step, r.frame_bits) for r in chosen.collect()}
+    assert set(got) == {(r[0], r[1]) for r in rows} and "FlatMapGroupsInPandas" not in chosen._jdf.queryExecution().optimizedPlan().toString()
+    for f in range(40):
+        own = {(r[1], r[2]): r[3:] for r in rows if r[0] == f}
+        at = {b: 0 for b, _ in own}
+        size = lambda: sum(own[b, k][0] for b, k in at.items()) + 48 * len({own[b, k][2] for b, k in at.items()} - {-1})
+        while size() > 300:
+            steps = [((own[b, k + 1][1] - own[b, k][1]) / max(1, own[b, k][0] - own[b, k + 1][0]), b) for b, k in at.items() if (b, k + 1) in own]
+            if not steps:
+                break
+            at[min(steps)[1]] += 1
+        assert all(got[f, b] == (k, size()) for b, k in at.items())
